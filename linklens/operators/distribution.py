@@ -34,9 +34,10 @@ def value_counts(df: DataFrame, col: str, by=()) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(w))
 
 
-def entropy_of_counts(n: Column, total: Column) -> Column:
-    """Base-2 entropy from sum(n*log2 n) and the total: log2 N - sum(n log2 n)/N."""
-    return log2(total) - n / total
+def entropy_of_counts(nlogn: Column, total: Column) -> Column:
+    """Base-2 entropy from sum(n*log2 n) and the total: log2 N - sum(n log2 n)/N
+    (clamped at 0: one category gives a rounding residue below 0)."""
+    return F.greatest(log2(total) - nlogn / total, F.lit(0.0))
 
 
 def category_summary(df: DataFrame, col: str = "category", by=()) -> DataFrame:
@@ -55,7 +56,7 @@ def category_summary(df: DataFrame, col: str = "category", by=()) -> DataFrame:
         F.sum(F.col("n") * F.col("n")).alias("_n2"),
     )
     return agg.select(
-        *by, "n_categories", "n_records", "most_common", "least_common", "balance_ratio",
+        *by, "n_categories", F.col("n_records").cast("long").alias("n_records"), "most_common", "least_common", "balance_ratio",
         entropy_of_counts(F.col("_nlogn"), F.col("n_records")).alias("entropy"),
         (1 - F.col("_n2") / (F.col("n_records") * F.col("n_records"))).alias("gini_impurity"))
 

@@ -227,3 +227,143 @@ SELECT 'title' AS "column", avg(length(title)) AS mean, quantile_cont(length(tit
 FROM articles"""))
 def q_text_length_stats(spark, sf):
     return D.text_length_stats(arts(spark, sf))
+
+
+# ---------------------------------------------------- distribution / skew -----
+from linklens.plans import sqlgen as G  # noqa: E402
+
+
+def _ctes(*parts: str) -> str:
+    return ",".join(p for p in parts)
+
+
+@query("domain_distribution", with_views(", " + _ctes(G.domdist_ctes("articles", "publisher", []))
+                                         + "\nSELECT * FROM dd"))
+def q_domain_distribution(spark, sf):
+    return D.domain_distribution(arts(spark, sf), "publisher")
+
+
+@query("domain_skew", with_views(", " + G.skew_ctes("articles", "publisher", []) + "\nSELECT * FROM skew"))
+def q_domain_skew(spark, sf):
+    return D.domain_skew(arts(spark, sf), "publisher")
+
+
+@query("category_per_domain", with_views(", " + G.per_domain_ctes("articles", "publisher", "category", [])
+                                         + "\nSELECT domain AS publisher, * EXCLUDE (domain) FROM pd"))
+def q_category_per_domain(spark, sf):
+    return D.category_per_domain(arts(spark, sf), "publisher", "category")
+
+
+@query("category_per_domain_summary", with_views(
+    ", " + G.per_domain_ctes("articles", "publisher", "category", []) + "\nSELECT * FROM pd_sum"))
+def q_category_per_domain_summary(spark, sf):
+    return D.category_per_domain_summary(arts(spark, sf), "publisher", "category")
+
+
+@query("domain_category_cube", with_views("""
+SELECT publisher, category, count(*) AS n, grouping_id(publisher, category) AS grouping_id
+FROM articles GROUP BY CUBE (publisher, category)"""))
+def q_domain_category_cube(spark, sf):
+    return D.domain_category_cube(arts(spark, sf), "publisher", "category")
+
+
+@query("crosstab_shares", with_views("""
+SELECT publisher, category, count(*) AS n,
+       CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY publisher) AS share
+FROM articles WHERE publisher IS NOT NULL AND category IS NOT NULL GROUP BY publisher, category"""))
+def q_crosstab_shares(spark, sf):
+    return D.crosstab_shares(arts(spark, sf), "publisher", "category")
+
+
+@query("chi2_independence", with_views("""
+, cells AS (SELECT publisher, category, count(*) AS o FROM articles
+            WHERE publisher IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2),
+rws AS (SELECT publisher, sum(o) AS r_tot FROM cells GROUP BY 1),
+cls AS (SELECT category, sum(o) AS c_tot FROM cells GROUP BY 1),
+dims AS (SELECT (SELECT count(*) FROM rws) AS r, (SELECT count(*) FROM cls) AS c,
+                (SELECT CAST(sum(o) AS DOUBLE) FROM cells) AS n),
+st AS (SELECT n * (sum(CAST(o AS DOUBLE) * o / (r_tot * c_tot)) - 1) AS chi2, max(r) AS r, max(c) AS c, max(n) AS n
+       FROM cells JOIN rws USING (publisher) JOIN cls USING (category), dims GROUP BY n)
+SELECT chi2 AS chi2_statistic, CAST((r - 1) * (c - 1) AS BIGINT) AS degrees_of_freedom,
+       sqrt(chi2 / (n * (least(r, c) - 1))) AS cramers_v FROM st
+""".replace("\n, cells", ", cells", 1)))
+def q_chi2_independence(spark, sf):
+    return D.chi2_independence(arts(spark, sf), "publisher", "category", with_p_value=False)
+
+
+@query("chi2_test", None)
+def q_chi2_test(spark, sf):
+    """A16 with the p-value (rows-only: the p-value has no SQL form)."""
+    return D.chi2_independence(arts(spark, sf), "publisher", "category", with_p_value=True)
+
+
+@query("dataset_comparison", with_views(
+    ", " + _ctes(G.catsum_ctes("articles", "category", ["language"]),
+                 G.skew_ctes("articles", "publisher", ["language"]),
+                 G.per_domain_ctes("articles", "publisher", "category", ["language"])) + """
+SELECT language AS dataset, cs.n_records, cs.n_categories, skew.n_domains, skew.gini_coefficient,
+       skew.top_1_domain_share, pd_sum.single_category_domains_share,
+       pd_sum.records_in_single_category_domains_share
+FROM cs JOIN skew USING (language) JOIN pd_sum USING (language)"""))
+def q_dataset_comparison(spark, sf):
+    a = arts(spark, sf).withColumnRenamed("language", "dataset")
+    return D.dataset_comparison(a, "dataset", "publisher", "category")
+
+
+ARTICLE_COLS = ["article_id", "url", "title", "subtitle", "category", "publisher", "language", "noise"]
+
+
+@query("null_counts", with_views("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", CAST(count(*) - count({c}) AS BIGINT) AS n_null FROM articles"
+    for c in ARTICLE_COLS)))
+def q_null_counts(spark, sf):
+    return D.null_counts(arts(spark, sf).select(*ARTICLE_COLS))
+
+
+_DOMAIN = f"CASE WHEN {S.netloc('url')} = '' THEN 'unknown' ELSE {S.netloc('url')} END"
+
+
+@query("domain_concentration", with_views(f"""
+, d AS (SELECT {_DOMAIN} AS domain FROM articles),
+dc AS (SELECT domain, count(*) AS n FROM d WHERE domain <> 'unknown' AND domain <> '' GROUP BY 1),
+rk AS (SELECT domain, n, row_number() OVER (ORDER BY n DESC, domain) AS rank FROM dc),
+tot AS (SELECT CAST(sum(n) AS BIGINT) AS total_articles, count(*) AS unique_domains FROM dc),
+sh AS (SELECT sum(n) FILTER (WHERE rank <= 5) AS t5, sum(n) FILTER (WHERE rank <= 10) AS t10 FROM rk)
+SELECT domain, n, rank, total_articles, unique_domains,
+       CAST(t5 AS DOUBLE) / total_articles * 100 AS top5_share_pct,
+       CAST(t10 AS DOUBLE) / total_articles * 100 AS top10_share_pct,
+       CAST(n AS DOUBLE) / total_articles * 100 AS share_pct
+FROM rk, tot, sh WHERE rank <= 10""".replace("\n, d AS", ", d AS", 1)))
+def q_domain_concentration(spark, sf):
+    return D.domain_concentration(arts(spark, sf), "url", 10)
+
+
+@query("top_domain_topics", with_views(f"""
+, d AS (SELECT {_DOMAIN} AS domain, category FROM articles),
+top AS (SELECT domain FROM d GROUP BY domain ORDER BY count(*) DESC, domain LIMIT 5),
+cells AS (SELECT domain, category, count(*) AS n FROM d WHERE domain IN (SELECT domain FROM top) GROUP BY 1, 2)
+SELECT domain, count(*) AS n_topics, CAST(sum(n) AS BIGINT) AS n_articles,
+       greatest(log2(sum(n)) - sum(n * log2(n)) / sum(n), 0.0) AS entropy
+FROM cells GROUP BY domain""".replace("\n, d AS", ", d AS", 1)))
+def q_top_domain_topics(spark, sf):
+    a = arts(spark, sf).select(U.domain_or_unknown("url").alias("domain"), "category")
+    return D.top_domain_topics(a, "domain", "category", 5)
+
+
+@query("domain_topic_matrix", with_views(f"""
+, d AS (SELECT {_DOMAIN} AS domain, category FROM articles),
+td AS (SELECT domain FROM d GROUP BY domain ORDER BY count(*) DESC, domain LIMIT 10),
+tt AS (SELECT category FROM d GROUP BY category ORDER BY count(*) DESC, category LIMIT 10),
+cells AS (SELECT domain, category, count(*) AS n FROM d
+          WHERE domain IN (SELECT domain FROM td) AND category IN (SELECT category FROM tt) GROUP BY 1, 2)
+SELECT domain, category, n, CAST(n AS DOUBLE) * 100 / sum(n) OVER (PARTITION BY domain) AS pct FROM cells
+""".replace("\n, d AS", ", d AS", 1)))
+def q_domain_topic_matrix(spark, sf):
+    a = arts(spark, sf).select(U.domain_or_unknown("url").alias("domain"), "category")
+    return D.domain_topic_matrix(a, "domain", "category", 10, 10)
+
+
+@query("mean_per_domain", with_views("""
+SELECT CAST(count(*) AS DOUBLE) / count(DISTINCT publisher) AS mean_articles_per_domain FROM articles"""))
+def q_mean_per_domain(spark, sf):
+    return D.mean_per_domain(arts(spark, sf), "publisher")

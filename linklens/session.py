@@ -28,6 +28,7 @@ def build_session(master: str | None = None, app: str = "linklens",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
     }
     conf.update(extra or {})
