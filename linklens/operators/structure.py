@@ -48,7 +48,12 @@ def structure_by_publisher(struct: DataFrame, publisher: str = "publisher") -> D
     """Mean and sample std of the three lengths, mean of four flags."""
     aggs = []
     for c in STRUCT_MEASURES:
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std")]
+        mean, std = F.avg(c), F.stddev_samp(c)
+        if c == "avg_segment_length":
+            # a mean of per-URL ratios: fix it at 9 decimals so the result does
+            # not depend on the summation order across tasks
+            mean, std = F.round(mean, 9), F.round(std, 9)
+        aggs += [mean.alias(f"{c}_mean"), std.alias(f"{c}_std")]
     aggs += [F.avg(F.col(c).cast("double")).alias(f"{c}_mean") for c in STRUCT_FLAGS]
     return struct.where(F.col(publisher).isNotNull()).groupBy(publisher).agg(*aggs)
 

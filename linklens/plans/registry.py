@@ -367,3 +367,212 @@ def q_domain_topic_matrix(spark, sf):
 SELECT CAST(count(*) AS DOUBLE) / count(DISTINCT publisher) AS mean_articles_per_domain FROM articles"""))
 def q_mean_per_domain(spark, sf):
     return D.mean_per_domain(arts(spark, sf), "publisher")
+
+
+# ------------------------------------------------------- URL structure ---------
+from linklens.operators import metrics as M  # noqa: E402
+from linklens.operators import structure as ST  # noqa: E402
+
+
+def structure_frame(spark, sf):
+    return ST.url_structure(arts(spark, sf))
+
+
+def domain_perf(spark, sf):
+    return M.per_domain_metrics(T.predictions(spark, sf), "publisher")
+
+
+def combined_frame(spark, sf):
+    return ST.structure_performance(structure_frame(spark, sf), domain_perf(spark, sf))
+
+
+STRUCT_CTE = ("struct", _structure_sql())
+PERF_CTES = """
+conf AS (SELECT publisher, label, prediction, count(*) AS n FROM predictions GROUP BY ALL),
+""" + G.macro_ctes("conf", ["publisher"], "perf").lstrip()
+SBP = """
+sbp AS (SELECT publisher, avg(path_length) AS path_length_mean, stddev_samp(path_length) AS path_length_std,
+               avg(num_segments) AS num_segments_mean, stddev_samp(num_segments) AS num_segments_std,
+               round(avg(avg_segment_length), 9) AS avg_segment_length_mean,
+               round(stddev_samp(avg_segment_length), 9) AS avg_segment_length_std,
+               avg(CAST(has_numbers AS DOUBLE)) AS has_numbers_mean, avg(CAST(is_semantic AS DOUBLE)) AS is_semantic_mean,
+               avg(CAST(is_id_heavy AS DOUBLE)) AS is_id_heavy_mean,
+               avg(CAST(has_category_indicators AS DOUBLE)) AS has_category_indicators_mean
+        FROM struct WHERE publisher IS NOT NULL GROUP BY publisher),
+tc AS (SELECT publisher, url_type, count(*) AS n FROM struct WHERE publisher IS NOT NULL GROUP BY 1, 2),
+dom AS (SELECT publisher, arg_min(url_type, (-n, url_type)) AS dominant_url_type FROM tc GROUP BY 1),
+combined AS (SELECT p.publisher, p.accuracy, p.precision, p.recall, p.f1, p.n_samples AS support, sbp.* EXCLUDE (publisher),
+                    dom.dominant_url_type
+             FROM perf p JOIN sbp USING (publisher) JOIN dom USING (publisher))"""
+
+
+def struct_sql(body: str, combined: bool = False) -> str:
+    extra = [STRUCT_CTE]
+    head = with_views("", STRUCT_CTE, views=("predictions",))
+    tail = (",\n" + PERF_CTES + "," + SBP) if combined else ""
+    return head.rstrip() + tail + "\n" + body
+
+
+@query("structure_summary", struct_sql("""
+SELECT count(*) AS total_urls, count(DISTINCT domain) AS unique_domains, avg(path_length) AS avg_path_length,
+       avg(num_segments) AS avg_segments, avg(CAST(has_numbers AS DOUBLE)) * 100 AS pct_with_numbers,
+       avg(CAST(is_semantic AS DOUBLE)) * 100 AS pct_semantic, avg(CAST(is_id_heavy AS DOUBLE)) * 100 AS pct_id_heavy,
+       avg(CAST(has_category_indicators AS DOUBLE)) * 100 AS pct_with_categories,
+       stddev_samp(path_length) AS path_length_std, stddev_samp(num_segments) AS segments_std,
+       stddev_samp(avg_segment_length) AS avg_segment_length_std FROM struct"""))
+def q_structure_summary(spark, sf):
+    return ST.structure_summary(structure_frame(spark, sf))
+
+
+@query("url_type_distribution", struct_sql("SELECT url_type, count(*) AS n FROM struct GROUP BY 1"))
+def q_url_type_distribution(spark, sf):
+    return ST.url_type_distribution(structure_frame(spark, sf))
+
+
+@query("structure_by_publisher", struct_sql(",\n" + SBP.split("tc AS")[0].rstrip().rstrip(",")
+                                            + "\nSELECT * FROM sbp"))
+def q_structure_by_publisher(spark, sf):
+    return ST.structure_by_publisher(structure_frame(spark, sf))
+
+
+@query("dominant_url_type", struct_sql(""",
+tc AS (SELECT publisher, url_type, count(*) AS n FROM struct WHERE publisher IS NOT NULL GROUP BY 1, 2)
+SELECT publisher, arg_min(url_type, (-n, url_type)) AS dominant_url_type FROM tc GROUP BY 1"""))
+def q_dominant_url_type(spark, sf):
+    return ST.dominant_url_type(structure_frame(spark, sf))
+
+
+@query("structure_performance", struct_sql("SELECT * FROM combined", combined=True))
+def q_structure_performance(spark, sf):
+    return combined_frame(spark, sf)
+
+
+@query("publisher_overlap", struct_sql("""
+SELECT (SELECT count(DISTINCT publisher) FROM perf) AS performance_publishers,
+       (SELECT count(DISTINCT publisher) FROM struct WHERE publisher IS NOT NULL) AS structure_publishers,
+       (SELECT count(*) FROM (SELECT publisher FROM perf INTERSECT
+                              SELECT publisher FROM struct WHERE publisher IS NOT NULL)) AS overlap""",
+                                       combined=True))
+def q_publisher_overlap(spark, sf):
+    return ST.publisher_overlap(domain_perf(spark, sf), structure_frame(spark, sf))
+
+
+@query("performance_by_url_type", struct_sql("""
+SELECT dominant_url_type, avg(accuracy) AS accuracy_mean, stddev_samp(accuracy) AS accuracy_std,
+       count(accuracy) AS accuracy_count, avg(f1) AS f1_mean, stddev_samp(f1) AS f1_std, count(f1) AS f1_count,
+       CAST(sum(support) AS BIGINT) AS support_sum
+FROM combined GROUP BY 1""", combined=True))
+def q_performance_by_url_type(spark, sf):
+    return ST.performance_by_url_type(combined_frame(spark, sf))
+
+
+_SCOLS = ["path_length_mean", "path_length_std", "num_segments_mean", "num_segments_std",
+          "avg_segment_length_mean", "avg_segment_length_std", "has_numbers_mean", "is_semantic_mean",
+          "is_id_heavy_mean", "has_category_indicators_mean"]
+_CORR = "\nUNION ALL\n".join(
+    f"SELECT '{q}' AS quality_metric, '{s}' AS structure_metric, corr({q}, {s}) AS r FROM combined"
+    for q in ["accuracy", "precision", "recall", "f1"] for s in _SCOLS)
+
+
+@query("structure_correlations", struct_sql(f"""
+SELECT * FROM ({_CORR}) WHERE r IS NOT NULL AND NOT isnan(r)""", combined=True))
+def q_structure_correlations(spark, sf):
+    return ST.structure_correlations(combined_frame(spark, sf))
+
+
+@query("strongest_correlations", struct_sql(f"""
+SELECT * FROM ({_CORR}) WHERE r IS NOT NULL AND NOT isnan(r)
+ORDER BY abs(r) DESC, quality_metric, structure_metric LIMIT 5""", combined=True))
+def q_strongest_correlations(spark, sf):
+    return ST.strongest_correlations(ST.structure_correlations(combined_frame(spark, sf)), 5)
+
+
+@query("high_low_comparison", struct_sql(",\nmed AS (SELECT quantile_cont(f1, 0.5) AS m FROM combined)\n" +
+    "\nUNION ALL\n".join(
+        f"SELECT '{s}' AS metric, avg({s}) FILTER (WHERE f1 >= m) AS high_performance_mean, "
+        f"avg({s}) FILTER (WHERE f1 < m) AS low_performance_mean, "
+        f"avg({s}) FILTER (WHERE f1 >= m) - avg({s}) FILTER (WHERE f1 < m) AS difference FROM combined, med"
+        for s in _SCOLS), combined=True))
+def q_high_low_comparison(spark, sf):
+    return ST.high_low_comparison(combined_frame(spark, sf))
+
+
+@query("f1_by_semantic_share", struct_sql("""
+SELECT is_semantic_mean > 0.5 AS mostly_semantic, count(*) AS n, min(f1) AS min, quantile_cont(f1, 0.25) AS q25,
+       quantile_cont(f1, 0.5) AS median, quantile_cont(f1, 0.75) AS q75, max(f1) AS max
+FROM combined GROUP BY 1""", combined=True))
+def q_f1_by_semantic_share(spark, sf):
+    return ST.f1_by_semantic_share(combined_frame(spark, sf))
+
+
+@query("mean_f1_by_type", struct_sql("""
+SELECT dominant_url_type, avg(f1) AS f1_mean FROM combined GROUP BY 1""", combined=True))
+def q_mean_f1_by_type(spark, sf):
+    return ST.mean_f1_by_type(combined_frame(spark, sf))
+
+
+@query("support_describe", struct_sql("""
+SELECT count(support) AS count, avg(support) AS mean, stddev_samp(support) AS std,
+       CAST(min(support) AS DOUBLE) AS min, quantile_cont(support, 0.25) AS q25, quantile_cont(support, 0.5) AS q50,
+       quantile_cont(support, 0.75) AS q75, CAST(max(support) AS DOUBLE) AS max FROM combined""", combined=True))
+def q_support_describe(spark, sf):
+    return ST.describe_column(combined_frame(spark, sf), "support")
+
+
+@query("path_length_hist", struct_sql(""",
+rng0 AS (SELECT CAST(min(path_length) AS DOUBLE) AS lo0, CAST(max(path_length) AS DOUBLE) AS hi0 FROM struct),
+rng AS (SELECT CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+               CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM rng0),
+b AS (SELECT CAST(least(floor((path_length - lo) / ((hi - lo) / 30)), 29) AS INTEGER) AS bin, count(*) AS n
+      FROM struct, rng GROUP BY 1),
+g AS (SELECT CAST(range AS INTEGER) AS bin, lo, hi FROM range(0, 30), rng)
+SELECT g.bin, lo + g.bin * (hi - lo) / 30 AS bin_start, lo + (g.bin + 1) * (hi - lo) / 30 AS bin_end,
+       coalesce(n, 0) AS n FROM g LEFT JOIN b USING (bin)"""))
+def q_path_length_hist(spark, sf):
+    return ST.path_length_hist(structure_frame(spark, sf), 30)
+
+
+# ------------------------------------------------------------- URL audit -------
+
+@query("skeleton_counts", with_views(f"""
+SELECT {S.skeleton(S.path('url'))} AS skeleton, count(*) AS n FROM articles GROUP BY 1
+ORDER BY n DESC, skeleton LIMIT 10"""))
+def q_skeleton_counts(spark, sf):
+    return ST.skeleton_counts(arts(spark, sf), "url", top_n=10)
+
+
+@query("skeleton_counts_all", with_views(f"""
+SELECT {S.skeleton(S.path('url'))} AS skeleton, count(*) AS n FROM articles GROUP BY 1"""))
+def q_skeleton_counts_all(spark, sf):
+    return ST.skeleton_counts(arts(spark, sf), "url")
+
+
+@query("rule_counts", with_views(f"""
+, lab AS (SELECT {S.rule_label(S.path('url'))} AS rule FROM articles),
+names AS (SELECT * FROM (VALUES ('date_based'), ('numeric_id'), ('slug_only'), ('other')) t(rule))
+SELECT names.rule, count(lab.rule) AS n FROM names LEFT JOIN lab USING (rule) GROUP BY names.rule
+""".replace("\n, lab", ", lab", 1)))
+def q_rule_counts(spark, sf):
+    return ST.rule_counts(arts(spark, sf), "url")
+
+
+def _depth_sql() -> str:
+    sg = S.segs(S.path("url"))
+    d = f"len({sg})"
+    other = f"greatest({d} - 1, 0)"
+    num = f"len(list_filter({sg}[1:{d} - 1], lambda s: regexp_full_match(s, '[0-9]+')))"
+    cols = {"depth": d, "other_segments": other,
+            "other_numeric_segments": f"CASE WHEN {d} = 0 THEN 0 ELSE {num} END",
+            "other_text_segments": f"{other} - CASE WHEN {d} = 0 THEN 0 ELSE {num} END"}
+    sel = ", ".join(f"{v} AS {k}" for k, v in cols.items())
+    last = f"coalesce({d} > 0 AND regexp_matches({sg}[-1], '[0-9]'), false)"
+    aggs = []
+    for k in cols:
+        aggs += [f"min({k}) AS {k}_min", f"avg({k}) AS {k}_mean", f"max({k}) AS {k}_max"]
+    aggs.append("avg(CASE WHEN last_has_number THEN 1.0 ELSE 0.0 END) * 100 AS last_segment_contains_number_percent")
+    return f"SELECT {', '.join(aggs)} FROM (SELECT {sel}, {last} AS last_has_number FROM articles)"
+
+
+@query("depth_stats", with_views(_depth_sql()))
+def q_depth_stats(spark, sf):
+    return ST.depth_stats(arts(spark, sf), "url")
