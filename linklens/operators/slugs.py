@@ -21,9 +21,10 @@ UNKNOWN = "unknown"
 
 def usable_mapping(mapping: DataFrame) -> DataFrame:
     """Rows with a non-blank slug and category (S5 rules)."""
-    return mapping.where(F.col("slug").isNotNull() & (F.trim("slug") != "") &
-                         F.col("category").isNotNull() & (F.trim("category") != "") &
-                         (F.col("category") != "nan"))
+    m = mapping.select("slug_rank", F.trim("slug").alias("slug"), F.trim("category").alias("category"))
+    return m.where(F.col("slug").isNotNull() & (F.col("slug") != "") &
+                   F.col("category").isNotNull() & (F.col("category") != "") &
+                   (F.col("category") != "nan"))
 
 
 def slug_template(df: DataFrame, url: str = "url", top: int = 250) -> DataFrame:
@@ -37,8 +38,7 @@ def slug_template(df: DataFrame, url: str = "url", top: int = 250) -> DataFrame:
 
 def valid_categories(mapping: DataFrame) -> DataFrame:
     """Distinct mapped categories, sorted."""
-    return (usable_mapping(mapping).select(F.trim("category").alias("category"))
-                                   .distinct().orderBy("category"))
+    return usable_mapping(mapping).select("category").distinct().orderBy("category")
 
 
 def _map_frame(mapping: DataFrame, key: Column) -> DataFrame:
@@ -57,10 +57,10 @@ def section_label_join(df: DataFrame, mapping: DataFrame, url: str = "url",
                        text: str = "title") -> DataFrame:
     """Training pairs (x = text, y = category) for articles whose first
     URL section equals a mapped slug."""
-    m = usable_mapping(mapping).select(F.col("slug").alias("_section"), "category")
+    m = usable_mapping(mapping).select(F.col("slug").alias("_section"), F.col("category").alias("_y"))
     return (df.withColumn("_section", U.first_section(url))
               .join(broadcast_if_small(m), "_section")
-              .select("article_id", F.col(text).alias("x"), F.col("category").alias("y")))
+              .select("article_id", F.col(text).alias("x"), F.col("_y").alias("y")))
 
 
 def derive_labels(df: DataFrame, mapping: DataFrame, url: str = "url") -> DataFrame:

@@ -576,3 +576,286 @@ def _depth_sql() -> str:
 @query("depth_stats", with_views(_depth_sql()))
 def q_depth_stats(spark, sf):
     return ST.depth_stats(arts(spark, sf), "url")
+
+
+# ------------------------------------------------------ slugs / weak labels ----
+from linklens.operators import slugs as SL  # noqa: E402
+from linklens.operators import splits as SP  # noqa: E402
+
+MAP_CTE = ("m", "SELECT slug_rank, trim(slug) AS slug, trim(category) AS category FROM slug_map "
+                "WHERE trim(category) <> '' AND trim(slug) <> ''")
+
+
+def slug_sql(body: str, *extra) -> str:
+    return with_views(body, MAP_CTE, *extra, views=("articles", "slug_map"))
+
+
+def smap(spark):
+    return T.slug_map(spark)
+
+
+@query("slug_template", with_views(f"""
+SELECT {S.first_section('url')} AS slug, count(*) AS n, '' AS category FROM articles WHERE url IS NOT NULL
+GROUP BY 1 ORDER BY n DESC, slug LIMIT 250"""))
+def q_slug_template(spark, sf):
+    return SL.slug_template(arts(spark, sf), "url", 250)
+
+
+@query("section_label_join", slug_sql(f"""
+SELECT article_id, title AS x, m.category AS y FROM articles JOIN m ON {S.first_section('url')} = m.slug"""))
+def q_section_label_join(spark, sf):
+    return SL.section_label_join(arts(spark, sf), smap(spark), "url", "title")
+
+
+DERIVED = ("derived", f"SELECT a.article_id, a.category, m.category AS derived_label FROM articles a "
+                      f"LEFT JOIN m ON {S.first_section('a.url')} = m.slug")
+
+
+def derived_frame(spark, sf):
+    return SL.derive_labels(arts(spark, sf).select("article_id", "url", "category"), smap(spark)).drop("url")
+
+
+@query("derive_labels", slug_sql("SELECT * FROM derived", DERIVED))
+def q_derive_labels(spark, sf):
+    return derived_frame(spark, sf)
+
+
+@query("label_breakdown", slug_sql("""
+SELECT derived_label, count(*) AS n, CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER () AS pct
+FROM derived GROUP BY derived_label""", DERIVED))
+def q_label_breakdown(spark, sf):
+    return SL.label_breakdown(derived_frame(spark, sf))
+
+
+@query("label_agreement", slug_sql("""
+SELECT derived_label, avg(CASE WHEN derived_label = category THEN 1.0 ELSE 0.0 END) AS accuracy,
+       CAST(sum(CASE WHEN derived_label = category THEN 1 ELSE 0 END) AS BIGINT) AS matches, count(*) AS total
+FROM derived WHERE derived_label IS NOT NULL AND category IS NOT NULL GROUP BY 1""", DERIVED))
+def q_label_agreement(spark, sf):
+    return SL.label_agreement(derived_frame(spark, sf))
+
+
+@query("label_cross_view", slug_sql("""
+SELECT category, count(*) AS n FROM derived WHERE derived_label = 'PROMO' GROUP BY 1""", DERIVED))
+def q_label_cross_view(spark, sf):
+    return SL.label_cross_view(derived_frame(spark, sf), "PROMO")
+
+
+WEAK = ("weak", f"""
+WITH s AS (SELECT article_id, unnest(cs) AS slug, generate_subscripts(cs, 1) AS pos
+           FROM (SELECT article_id, {S.candidate_slugs(S.path('url'))} AS cs FROM articles)),
+hit AS (SELECT article_id, arg_min(m.slug, pos) AS matched_slug, arg_min(m.category, pos) AS url_category
+        FROM s JOIN m USING (slug) GROUP BY article_id)
+SELECT a.article_id, a.url, a.category, h.matched_slug, h.url_category,
+       coalesce(h.url_category, 'unknown') AS distant_label
+FROM articles a LEFT JOIN hit h USING (article_id)""")
+
+
+@query("weak_labels", slug_sql("SELECT article_id, matched_slug, url_category, distant_label FROM weak", WEAK))
+def q_weak_labels(spark, sf):
+    a = arts(spark, sf).select("article_id", "url")
+    return SL.weak_labels(a, smap(spark)).select("article_id", "matched_slug", "url_category", "distant_label")
+
+
+J7_ON = ("(contains(t, '/' || s || '/') OR ends_with(t, '/' || s) OR starts_with(t, s || '/') "
+         "OR contains(t, '/' || s || '?') OR contains(t, '/' || s || '#'))")
+
+
+@query("mapped_category", slug_sql(f"""
+, lm AS (SELECT slug_rank, lower(slug) AS s, category FROM m),
+t AS (SELECT article_id, lower(url) AS t, lower({S.path('url')}) AS tp FROM articles),
+h1 AS (SELECT article_id, arg_min(category, slug_rank) AS c FROM t JOIN lm ON {J7_ON} GROUP BY 1),
+h2 AS (SELECT article_id, arg_min(category, slug_rank) AS c FROM t JOIN lm ON {J7_ON.replace('(t,', '(tp,')}
+       GROUP BY 1)
+SELECT a.article_id, h1.c AS mapped_category, h2.c AS mapped_category_path
+FROM articles a LEFT JOIN h1 USING (article_id) LEFT JOIN h2 USING (article_id)""".replace("\n, lm", ", lm", 1)))
+def q_mapped_category(spark, sf):
+    a = arts(spark, sf).select("article_id", "url", U.url_path("url").alias("p"))
+    a = SL.mapped_category(a, smap(spark), "url", "mapped_category")
+    return SL.mapped_category(a, smap(spark), "p", "mapped_category_path").select(
+        "article_id", "mapped_category", "mapped_category_path")
+
+
+SAMPLE_SQL = "SELECT * FROM articles ORDER BY md5('42|' || article_id), article_id LIMIT 1000"
+
+
+@query("hash_sample", with_views(f"SELECT article_id, url FROM ({SAMPLE_SQL})"))
+def q_hash_sample(spark, sf):
+    return SL.hash_sample(arts(spark, sf).select("article_id", "url"), "article_id", 1000, 42)
+
+
+@query("url_tagging_check", slug_sql(f"""
+, smp AS ({SAMPLE_SQL}),
+s AS (SELECT article_id, unnest(cs) AS slug FROM (SELECT article_id, {S.candidate_slugs(S.path('url'))} AS cs FROM smp)),
+hit AS (SELECT DISTINCT article_id FROM s JOIN m USING (slug)),
+c AS (SELECT (SELECT count(*) FROM smp) AS sample_size, (SELECT count(*) FROM hit) AS matches)
+SELECT sample_size, matches, CAST(matches AS DOUBLE) / sample_size AS ratio,
+       sample_size > 50 AND CAST(matches AS DOUBLE) / sample_size >= 0.10 AS uses_url_tagging FROM c
+""".replace("\n, smp", ", smp", 1)))
+def q_url_tagging_check(spark, sf):
+    return SL.url_tagging_check(arts(spark, sf).select("article_id", "url"), smap(spark))
+
+
+GATE = ("gate", f"""
+WITH smp AS ({SAMPLE_SQL}),
+s AS (SELECT article_id, unnest(cs) AS slug FROM (SELECT article_id, {S.candidate_slugs(S.path('url'))} AS cs FROM smp)),
+hit AS (SELECT DISTINCT article_id FROM s JOIN m USING (slug))
+SELECT (SELECT count(*) FROM smp) > 50 AND
+       CAST((SELECT count(*) FROM hit) AS DOUBLE) / (SELECT count(*) FROM smp) >= 0.10 AS ok""")
+
+
+def weak_train(spark, sf):
+    return SL.weak_training_set(arts(spark, sf).select("article_id", "url", "category"), smap(spark))
+
+
+@query("weak_training_set", slug_sql("""
+SELECT article_id, category, distant_label AS category_label FROM weak, gate
+WHERE ok AND distant_label <> 'unknown'""", WEAK, GATE))
+def q_weak_training_set(spark, sf):
+    return weak_train(spark, sf).select("article_id", "category", "category_label")
+
+
+@query("weak_label_counts", slug_sql("""
+, c AS (SELECT distant_label AS category_label, count(*) AS n FROM weak, gate
+        WHERE ok AND distant_label <> 'unknown' GROUP BY 1)
+SELECT category_label, n, min(n) OVER () AS min_examples, min(n) OVER () < 10 AS few_examples FROM c
+""".replace("\n, c AS", ", c AS", 1), WEAK, GATE))
+def q_weak_label_counts(spark, sf):
+    return SL.weak_label_counts(weak_train(spark, sf))
+
+
+# ------------------------------------------------------------------ splits ----
+
+BUCKET = "('0x' || substr(md5('20240823|' || article_id), 1, 8))::BIGINT % 100"
+SPLIT = f"CASE WHEN {BUCKET} < 80 THEN 'train' WHEN {BUCKET} < 90 THEN 'val' ELSE 'test' END"
+
+
+@query("split_assign", with_views(f"SELECT article_id, {SPLIT} AS split FROM articles"))
+def q_split_assign(spark, sf):
+    return SP.assign_split(arts(spark, sf).select("article_id"))
+
+
+@query("split_counts", with_views(f"SELECT {SPLIT} AS split, count(*) AS n FROM articles GROUP BY 1"))
+def q_split_counts(spark, sf):
+    return SP.split_counts(SP.assign_split(arts(spark, sf).select("article_id")))
+
+
+BUCKET3 = "('0x' || substr(md5('20240823|' || article_id), 1, 8))::BIGINT % 1000"
+
+
+@query("split_assign_70_20_10", with_views(f"""
+SELECT CASE WHEN {BUCKET3} < 700 THEN 'train' WHEN {BUCKET3} < 901 THEN 'val' ELSE 'test' END AS split,
+       count(*) AS n FROM articles GROUP BY 1"""))
+def q_split_70(spark, sf):
+    a = SP.assign_split(arts(spark, sf).select("article_id"), cuts=(("train", 700), ("val", 901)),
+                        buckets=1000)
+    return SP.split_counts(a)
+
+
+@query("stratified_subset", with_views("""
+, d AS (SELECT article_id, category, md5('42|' || article_id) AS h FROM articles),
+cnt AS (SELECT category, count(*) AS nc FROM d GROUP BY 1),
+q AS (SELECT category, least(nc, greatest(1, floor(1000 * nc / (SELECT sum(nc) FROM cnt)))) AS quota FROM cnt),
+tot AS (SELECT sum(quota) AS s FROM q),
+r AS (SELECT d.*, row_number() OVER (PARTITION BY category ORDER BY h, article_id) AS rn FROM d),
+strat AS (SELECT r.article_id, r.category FROM r JOIN q USING (category) WHERE rn <= quota),
+plain AS (SELECT article_id, category FROM d ORDER BY h, article_id LIMIT 1000)
+SELECT strat.* FROM strat, tot WHERE s >= 1000
+UNION ALL SELECT plain.* FROM plain, tot WHERE s < 1000""".replace("\n, d AS", ", d AS", 1)))
+def q_stratified_subset(spark, sf):
+    a = arts(spark, sf).select("article_id", "category")
+    return SP.stratified_subset(a, 1000, "category", "article_id", 42, "reference")
+
+
+# ----------------------------------------------------------- feature text -----
+
+FEAT_BASE = f"SELECT *, {S.path('url')} AS path, {S.clean(S.path('url'))} AS path_clean FROM articles"
+FEATS = {"title_subtitle": "coalesce(title || ' ' || subtitle, '')", "title": "coalesce(title, '')",
+         "url_heading_subhead": "coalesce(url || ' ' || title || ' ' || subtitle, '')",
+         "url_raw": "coalesce(url, '')", "url_path_raw": "coalesce(path, '')",
+         "url_path_cleaned": "coalesce(path_clean, '')"}
+
+
+def feature_frame(spark, sf):
+    a = L.with_url_parts(arts(spark, sf))
+    cols = [TX.feature_text(f, "articles") for f in TX.FEATURES]
+    return a.select("article_id", "language", *[c.alias(f) for f, c in zip(TX.FEATURES, cols) if c is not None])
+
+
+@query("feature_text", with_views("SELECT article_id, " + ", ".join(f"{v} AS {k}" for k, v in FEATS.items())
+                                  + " FROM fb", ("fb", FEAT_BASE)))
+def q_feature_text(spark, sf):
+    return feature_frame(spark, sf).drop("language")
+
+
+@query("feature_availability", with_views("\nUNION ALL\n".join(
+    f"SELECT language AS dataset, '{k}' AS feature, avg(CASE WHEN {v} <> '' THEN 1.0 ELSE 0.0 END) AS share "
+    f"FROM fb GROUP BY language" for k, v in FEATS.items()), ("fb", FEAT_BASE)))
+def q_feature_availability(spark, sf):
+    f = feature_frame(spark, sf)
+    feats = [c for c in f.columns if c not in ("article_id", "language")]
+    wide = f.groupBy(F.col("language").alias("dataset")).agg(
+        *[F.avg((F.col(c) != "").cast("double")).alias(c) for c in feats])
+    stack = "stack({}, {}) as (feature, share)".format(len(feats), ", ".join(f"'{c}', `{c}`" for c in feats))
+    return wide.selectExpr("dataset", stack)
+
+
+@query("url_variants", with_views(f"""
+SELECT article_id, {S.path('url')} AS path, {S.netloc('url')} || {S.path('url')} AS netloc_path,
+       {S.clean(S.path('url'))} AS cleaned_path FROM articles"""))
+def q_url_variants(spark, sf):
+    return arts(spark, sf).select("article_id", U.url_path("url").alias("path"),
+                                  U.netloc_path("url").alias("netloc_path"),
+                                  U.clean_path(U.url_path("url")).alias("cleaned_path"))
+
+
+CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+ANSWER_SQL = ("CASE noise WHEN 0 THEN upper(category) WHEN 1 THEN 'it is ' || lower(category) WHEN 2 THEN '' "
+              "WHEN 3 THEN title WHEN 4 THEN ' ' || category || ' ' WHEN 5 THEN substr(lower(category), 1, 3) "
+              "ELSE 'zzz' END")
+
+
+def answers(spark, sf):
+    a = arts(spark, sf)
+    n = F.col("noise")
+    ans = (F.when(n == 0, F.upper("category")).when(n == 1, F.concat(F.lit("it is "), F.lower("category")))
+            .when(n == 2, F.lit("")).when(n == 3, F.col("title"))
+            .when(n == 4, F.concat(F.lit(" "), F.col("category"), F.lit(" ")))
+            .when(n == 5, F.substring(F.lower("category"), 1, 3)).otherwise(F.lit("zzz")))
+    return a.select("article_id", "category", ans.alias("answer"))
+
+
+def _map_answer_sql(col: str) -> str:
+    c = f"lower(trim({col}))"
+    exact = " ".join(f"WHEN {c} = '{k.lower()}' THEN '{k}'" for k in CATEGORIES)
+    part = " ".join(f"WHEN contains({c}, '{k.lower()}') OR contains('{k.lower()}', {c}) THEN '{k}'"
+                    for k in CATEGORIES)
+    return f"coalesce(CASE {exact} END, CASE {part} END)"
+
+
+ANS = ("ans", f"SELECT article_id, category, {ANSWER_SQL} AS answer FROM articles")
+
+
+@query("map_answer", with_views(f"SELECT article_id, answer, {_map_answer_sql('answer')} AS prediction FROM ans",
+                                ANS))
+def q_map_answer(spark, sf):
+    return answers(spark, sf).select("article_id", "answer",
+                                     TX.map_answer("answer", CATEGORIES).alias("prediction"))
+
+
+@query("success_rate", with_views(f"""
+SELECT count(*) AS submitted, count(p) AS valid, avg(CASE WHEN p IS NOT NULL THEN 1.0 ELSE 0.0 END) AS success_rate
+FROM (SELECT {_map_answer_sql('answer')} AS p FROM ans)""", ANS))
+def q_success_rate(spark, sf):
+    a = answers(spark, sf).select(TX.map_answer("answer", CATEGORIES).alias("prediction"))
+    return M.success_rate(a)
+
+
+PROMPT = "Classify the headline into one of: {categories}.\nHeadline: {text}\nCategory:"
+
+
+@query("prompt_text", with_views(
+    "SELECT article_id, replace(replace('" + PROMPT.replace("\n", "' || chr(10) || '") +
+    "', '{categories}', '" + ", ".join(CATEGORIES) + "'), '{text}', substr(title, 1, 30)) AS prompt FROM articles"))
+def q_prompt_text(spark, sf):
+    return arts(spark, sf).select("article_id", TX.prompt_text(PROMPT, CATEGORIES, "title", 30).alias("prompt"))
