@@ -42,8 +42,12 @@ def evaluation_runs(articles: DataFrame) -> DataFrame:
     ok = conf.groupBy(*keys).agg(
         (F.sum(F.when(F.col("prediction") != "UNSEEN", F.col("n")).otherwise(0)) /
          F.sum("n")).alias("success_rate"))
+    # metrics are fixed at 9 decimals so that runs with equal quality tie
+    # exactly (their averages otherwise differ in the last bits) and top-k
+    # ties fall to the key order
     return mac.join(ok, keys).select(
-        *keys, "accuracy", "precision", "recall", "f1", "n_samples", "success_rate",
+        *keys, *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
+        "n_samples", "success_rate",
         (F.col("n_samples") / F.col("mi")).alias("throughput"))
 
 

@@ -859,3 +859,312 @@ PROMPT = "Classify the headline into one of: {categories}.\nHeadline: {text}\nCa
     "', '{categories}', '" + ", ".join(CATEGORIES) + "'), '{text}', substr(title, 1, 30)) AS prompt FROM articles"))
 def q_prompt_text(spark, sf):
     return arts(spark, sf).select("article_id", TX.prompt_text(PROMPT, CATEGORIES, "title", 30).alias("prompt"))
+
+
+# ----------------------------------------------------------------- metrics ----
+from linklens.operators import results as R  # noqa: E402
+
+
+def preds(spark, sf):
+    return T.predictions(spark, sf)
+
+
+def pred_sql(body: str, *extra) -> str:
+    return with_views(body, *extra, views=("predictions",))
+
+
+CONF = ("conf", "SELECT label, prediction, count(*) AS n FROM predictions GROUP BY ALL")
+CONF_D = ("confd", "SELECT publisher, label, prediction, count(*) AS n FROM predictions GROUP BY ALL")
+CONF_DT = ("confdt", "SELECT publisher, label AS topic, label, prediction, count(*) AS n FROM predictions GROUP BY ALL")
+
+
+def _m(conf, keys, name):
+    body = G.macro_ctes(conf, keys, name).strip()
+    return body
+
+
+def pred_chain(body: str, *ctes: str) -> str:
+    head = with_views("", CONF, CONF_D, CONF_DT, views=("predictions",)).rstrip()
+    return head + "".join(",\n" + c for c in ctes) + "\n" + body
+
+
+@query("confusion", pred_sql("SELECT * FROM conf", CONF))
+def q_confusion(spark, sf):
+    return M.confusion(preds(spark, sf))
+
+
+@query("per_topic_metrics", pred_chain("""
+SELECT label, tp, fp, fn, support, precision, recall, f1 FROM mac_lab WHERE support > 0""",
+                                       _m("conf", [], "mac")))
+def q_per_topic_metrics(spark, sf):
+    return M.per_topic_metrics(M.confusion(preds(spark, sf)))
+
+
+@query("macro_metrics", pred_chain("SELECT * FROM mac", _m("conf", [], "mac")))
+def q_macro_metrics(spark, sf):
+    return M.macro_metrics(M.confusion(preds(spark, sf)))
+
+
+@query("micro_metrics", pred_chain("""
+SELECT CASE WHEN sum(tp + fp) > 0 THEN CAST(sum(tp) AS DOUBLE) / sum(tp + fp) ELSE 0.0 END AS micro_precision,
+       CASE WHEN sum(tp + fn) > 0 THEN CAST(sum(tp) AS DOUBLE) / sum(tp + fn) ELSE 0.0 END AS micro_recall,
+       CASE WHEN sum(tp) > 0 THEN 2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) ELSE 0.0 END AS micro_f1
+FROM mac_ls""", _m("conf", [], "mac")))
+def q_micro_metrics(spark, sf):
+    return M.micro_metrics(M.confusion(preds(spark, sf)))
+
+
+DOMAIN_CTES = (_m("confd", ["publisher"], "dm"), _m("confdt", ["publisher", "topic"], "dtm"))
+DOMAIN_SEL = ("dmo", "SELECT publisher AS domain, accuracy, precision, recall, f1, n_samples AS support, n_correct FROM dm")
+DT_SEL = ("dto", "SELECT publisher AS domain, topic, accuracy, precision, recall, f1, n_samples AS support, "
+                 "n_correct FROM dtm")
+
+
+@query("per_domain_metrics", pred_chain("SELECT * FROM dmo", *DOMAIN_CTES, f"{DOMAIN_SEL[0]} AS ({DOMAIN_SEL[1]})"))
+def q_per_domain_metrics(spark, sf):
+    return M.per_domain_metrics(preds(spark, sf), "publisher")
+
+
+@query("per_domain_topic_metrics", pred_chain("SELECT * FROM dto", *DOMAIN_CTES, f"{DT_SEL[0]} AS ({DT_SEL[1]})"))
+def q_per_domain_topic_metrics(spark, sf):
+    return M.per_domain_topic_metrics(preds(spark, sf), "publisher")
+
+
+LIFT = ("lift", """
+WITH tc AS (SELECT domain, topic, sum(support) AS support FROM dto GROUP BY 1, 2),
+g AS (SELECT domain, count(*) AS k, sum(support) AS t, max(support) AS mx,
+             sum(support * log2(support)) AS nlogn FROM tc GROUP BY 1)
+SELECT dmo.*, CASE WHEN k > 1 THEN (log2(t) - nlogn / t) / log2(k) ELSE 0.0 END AS entropy_norm,
+       CAST(mx AS DOUBLE) / t AS baseline_acc, accuracy - CAST(mx AS DOUBLE) / t AS accuracy_lift
+FROM dmo JOIN g USING (domain)""")
+
+
+def lift_frame(spark, sf):
+    p = preds(spark, sf)
+    return M.domain_lift(M.per_domain_metrics(p, "publisher"), M.per_domain_topic_metrics(p, "publisher"))
+
+
+LIFT_CHAIN = (*DOMAIN_CTES, f"{DOMAIN_SEL[0]} AS ({DOMAIN_SEL[1]})", f"{DT_SEL[0]} AS ({DT_SEL[1]})",
+              f"{LIFT[0]} AS ({LIFT[1]})")
+
+
+@query("domain_lift", pred_chain("SELECT * FROM lift", *LIFT_CHAIN))
+def q_domain_lift(spark, sf):
+    return lift_frame(spark, sf)
+
+
+@query("lift_correlations", pred_chain("""
+SELECT corr(log10(support), f1) AS r_log_support_f1, corr(entropy_norm, accuracy_lift) AS r_entropy_lift,
+       avg(CASE WHEN accuracy_lift > 0.05 THEN 1.0 ELSE 0.0 END) AS share_lift_gt_5pp,
+       avg(CASE WHEN accuracy_lift < -0.05 THEN 1.0 ELSE 0.0 END) AS share_lift_lt_neg_5pp FROM lift""",
+                                       *LIFT_CHAIN))
+def q_lift_correlations(spark, sf):
+    return M.lift_summary(lift_frame(spark, sf))
+
+
+@query("class_weights", with_views(f"""
+, c AS (SELECT category, count(*) AS n FROM articles WHERE {SPLIT} = 'train' GROUP BY 1)
+SELECT category, n, (SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * CAST(n AS DOUBLE)) AS weight FROM c
+""".replace("\n, c AS", ", c AS", 1)))
+def q_class_weights(spark, sf):
+    from linklens.operators import models as MD
+    tr = SP.assign_split(arts(spark, sf).select("article_id", "category")).where(F.col("split") == "train")
+    return MD.class_weights(tr, "category")
+
+
+# ------------------------------------------------------------ result tables ---
+
+_V = ", ".join(f"({mi}, '{m}', {fi}, '{f}', {ci}, '{c}')" for mi, m in R.RUN_MODELS
+               for fi, f in R.RUN_FEATURES for ci, c in R.RUN_CONDITIONS)
+RUN_KEYS = ["dataset", "model", "feature", "condition", "mi"]
+RUNS_CHAIN = (
+    "base AS (SELECT language AS dataset, category AS label, noise, count(*) AS n FROM articles GROUP BY ALL)",
+    f"v AS (SELECT * FROM (VALUES {_V}) t(mi, model, fi, feature, ci, condition))",
+    "rconf AS (SELECT dataset, model, feature, condition, mi, label, CASE WHEN noise < 3 + (mi * 2 + fi + ci) % 6 "
+    "THEN label WHEN noise % 2 = 0 THEN 'PROMO' ELSE 'UNSEEN' END AS prediction, sum(n) AS n "
+    "FROM base, v GROUP BY ALL)",
+    G.macro_ctes("rconf", RUN_KEYS, "rmac").strip(),
+    "rok AS (SELECT dataset, model, feature, condition, CAST(sum(CASE WHEN prediction <> 'UNSEEN' THEN n ELSE 0 END) "
+    "AS DOUBLE) / sum(n) AS success_rate FROM rconf GROUP BY ALL)",
+    "runs AS (SELECT dataset, model, feature, condition, round(accuracy, 9) AS accuracy, "
+    "round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, n_samples, success_rate, "
+    "n_samples / mi AS throughput FROM rmac JOIN rok USING (dataset, model, feature, condition))",
+)
+
+
+def runs_sql(body: str, *more: str) -> str:
+    head = with_views("").rstrip()
+    return head + "".join(",\n" + c for c in RUNS_CHAIN + more) + "\n" + body
+
+
+def runs(spark, sf):
+    return R.evaluation_runs(arts(spark, sf))
+
+
+@query("evaluation_runs", runs_sql("SELECT * FROM runs"))
+def q_evaluation_runs(spark, sf):
+    return runs(spark, sf)
+
+
+@query("topn_per_group", runs_sql("""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY f1 DESC, model, feature, condition) AS rank
+               FROM runs) WHERE rank <= 5"""))
+def q_topn_per_group(spark, sf):
+    return R.topn_per_group(runs(spark, sf), "dataset", "f1", 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("best_per_group", runs_sql("""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, dataset ORDER BY f1 DESC, feature, condition) AS rank
+               FROM runs) WHERE rank = 1"""))
+def q_best_per_group(spark, sf):
+    return R.topn_per_group(runs(spark, sf), ["model", "dataset"], "f1", 1).withColumn(
+        "rank", F.col("rank").cast("long"))
+
+
+@query("top_results", runs_sql("SELECT * FROM runs ORDER BY f1 DESC, dataset, model, feature, condition LIMIT 10"))
+def q_top_results(spark, sf):
+    return R.top_k(runs(spark, sf), "f1", 10, tiebreak=("dataset", "model", "feature", "condition"))
+
+
+@query("filtered_results", runs_sql("""
+SELECT * FROM runs WHERE model NOT IN ('tree-ensemble') AND throughput IS NOT NULL
+AND contains(lower(model), 'naive')"""))
+def q_filtered_results(spark, sf):
+    r = FL.exclude_values(runs(spark, sf), "model", ["tree-ensemble"]).where(F.col("throughput").isNotNull())
+    return FL.name_contains(r, "model", "NAIVE")
+
+
+ABL = ("abl", """
+SELECT dataset, model, feature, max(f1) FILTER (WHERE condition = 'with_dates') AS f1_with_dates,
+       max(f1) FILTER (WHERE condition = 'no_dates') AS f1_no_dates,
+       max(f1) FILTER (WHERE condition = 'no_dates') - max(f1) FILTER (WHERE condition = 'with_dates') AS delta_f1,
+       CASE WHEN max(f1) FILTER (WHERE condition = 'with_dates') > 0 THEN
+         (max(f1) FILTER (WHERE condition = 'no_dates') - max(f1) FILTER (WHERE condition = 'with_dates'))
+         / max(f1) FILTER (WHERE condition = 'with_dates') * 100 ELSE 0.0 END AS pct_change
+FROM runs GROUP BY 1, 2, 3
+HAVING count(*) = 2 AND count(*) FILTER (WHERE condition = 'with_dates') > 0
+   AND count(*) FILTER (WHERE condition = 'no_dates') > 0""")
+
+
+def ablation(spark, sf):
+    return M.ablation_compare(runs(spark, sf))
+
+
+@query("ablation_compare", runs_sql("SELECT * FROM abl", f"abl AS ({ABL[1]})"))
+def q_ablation_compare(spark, sf):
+    return ablation(spark, sf)
+
+
+@query("ablation_summary", runs_sql("""
+SELECT avg(delta_f1) AS mean_delta, stddev_samp(delta_f1) AS std_delta, max(delta_f1) AS max_delta,
+       min(delta_f1) AS min_delta, count(*) FILTER (WHERE delta_f1 > 0) AS improved,
+       count(*) FILTER (WHERE delta_f1 < 0) AS degraded, count(*) FILTER (WHERE delta_f1 = 0) AS unchanged,
+       count(*) AS n FROM abl""", f"abl AS ({ABL[1]})"))
+def q_ablation_summary(spark, sf):
+    return M.ablation_summary(ablation(spark, sf))
+
+
+@query("ablation_extremes", runs_sql("""
+SELECT * FROM (SELECT 'smallest' AS side, * FROM abl ORDER BY delta_f1, dataset, model, feature LIMIT 5)
+UNION ALL
+SELECT * FROM (SELECT 'largest' AS side, * FROM abl ORDER BY delta_f1 DESC, dataset, model, feature LIMIT 5)""",
+                                     f"abl AS ({ABL[1]})"))
+def q_ablation_extremes(spark, sf):
+    a = ablation(spark, sf)
+    tb = ("dataset", "model", "feature")
+    lo = R.top_k(a, "delta_f1", 5, ascending=True, tiebreak=tb).select(F.lit("smallest").alias("side"), "*")
+    hi = R.top_k(a, "delta_f1", 5, tiebreak=tb).select(F.lit("largest").alias("side"), "*")
+    return lo.unionByName(hi)
+
+
+@query("f1_pivot", runs_sql("""
+SELECT dataset, model, avg(f1) FILTER (WHERE feature = 'title') AS title,
+       avg(f1) FILTER (WHERE feature = 'url_raw') AS url_raw,
+       avg(f1) FILTER (WHERE feature = 'url_path_raw') AS url_path_raw FROM runs GROUP BY 1, 2"""))
+def q_f1_pivot(spark, sf):
+    return R.f1_pivot(runs(spark, sf))
+
+
+@query("model_summary", runs_sql("""
+SELECT model, avg(accuracy) AS accuracy_mean, avg(precision) AS precision_mean, avg(recall) AS recall_mean,
+       avg(f1) AS f1_mean, stddev_samp(f1) AS f1_std, quantile_cont(f1, 0.5) AS f1_median,
+       avg(throughput) AS throughput_mean, stddev_samp(throughput) AS throughput_std FROM runs GROUP BY 1"""))
+def q_model_summary(spark, sf):
+    return R.model_summary(runs(spark, sf))
+
+
+@query("feature_summary", runs_sql("""
+SELECT feature, avg(f1) AS f1_mean, stddev_samp(f1) AS f1_std FROM runs GROUP BY 1"""))
+def q_feature_summary(spark, sf):
+    return R.feature_summary(runs(spark, sf))
+
+
+@query("throughput_pivot", runs_sql("""
+SELECT model, avg(throughput) FILTER (WHERE dataset = 'en') AS en, avg(throughput) FILTER (WHERE dataset = 'es') AS es,
+       avg(throughput) FILTER (WHERE dataset = 'pt') AS pt FROM runs GROUP BY 1"""))
+def q_throughput_pivot(spark, sf):
+    return R.throughput_pivot(runs(spark, sf))
+
+
+@query("success_pivot", runs_sql("""
+SELECT feature, avg(success_rate) FILTER (WHERE dataset = 'en') AS en,
+       avg(success_rate) FILTER (WHERE dataset = 'es') AS es,
+       avg(success_rate) FILTER (WHERE dataset = 'pt') AS pt FROM runs GROUP BY 1"""))
+def q_success_pivot(spark, sf):
+    return R.success_pivot(runs(spark, sf))
+
+
+@query("mean_f1_by_dataset_model", runs_sql("SELECT dataset, model, avg(f1) AS f1_mean FROM runs GROUP BY 1, 2"))
+def q_mean_f1_by(spark, sf):
+    return R.mean_f1_by(runs(spark, sf))
+
+
+@query("top_domains", with_views("""
+SELECT * FROM (SELECT 'publisher' AS kind, publisher AS "key", count(*) AS n FROM articles GROUP BY 2
+               ORDER BY n DESC, "key" LIMIT 10)
+UNION ALL
+SELECT * FROM (SELECT 'category' AS kind, category AS "key", count(*) AS n FROM articles GROUP BY 2
+               ORDER BY n DESC, "key" LIMIT 10)"""))
+def q_top_domains(spark, sf):
+    a = arts(spark, sf)
+    p = R.top_k(D.domain_counts(a, "publisher"), "n", 10, tiebreak=("publisher",))
+    c = R.top_k(D.domain_counts(a, "category"), "n", 10, tiebreak=("category",))
+    return (p.select(F.lit("publisher").alias("kind"), F.col("publisher").alias("key"), "n")
+             .unionByName(c.select(F.lit("category").alias("kind"), F.col("category").alias("key"), "n")))
+
+
+@query("most_skewed_domains", with_views(", " + G.per_domain_ctes("articles", "publisher", "category", []) + """
+SELECT domain AS publisher, dominant_category, dominant_category_share, total_records FROM pd
+ORDER BY dominant_category_share DESC, publisher LIMIT 10"""))
+def q_most_skewed_domains(spark, sf):
+    pd_ = D.category_per_domain(arts(spark, sf), "publisher", "category")
+    return R.top_k(pd_, "dominant_category_share", 10, tiebreak=("publisher",)).select(
+        "publisher", "dominant_category", "dominant_category_share", "total_records")
+
+
+_SECTIONS = {
+    "categories": ("cs", ["n_categories", "n_records", "balance_ratio", "entropy", "gini_impurity"]),
+    "domain_skew": ("skew", ["n_domains", "total_records", "skewness", "kurtosis", "gini_coefficient",
+                             "top_1_domain_share", "top_5pct_domains_share", "top_10pct_domains_share",
+                             "herfindahl_hirschman_index", "effective_number_domains",
+                             "domains_with_single_record", "domains_with_lt_10_records",
+                             "domains_with_gt_100_records"]),
+    "category_per_domain": ("pd_sum", ["avg_entropy_per_domain", "std_entropy_per_domain",
+                                       "avg_dominant_category_share", "std_dominant_category_share",
+                                       "single_category_domains", "single_category_domains_share",
+                                       "records_in_single_category_domains",
+                                       "records_in_single_category_domains_share"]),
+    "domain_distribution": ("dd", ["n_domains", "mean", "median", "std", "min", "max", "q25", "q75"]),
+}
+
+
+@query("stats_report", with_views(
+    ", " + _ctes(G.catsum_ctes("articles", "category", ["language"]),
+                 G.skew_ctes("articles", "publisher", ["language"]),
+                 G.per_domain_ctes("articles", "publisher", "category", ["language"]),
+                 G.domdist_ctes("articles", "publisher", ["language"])) + "\n" +
+    "\nUNION ALL\n".join(f"SELECT language AS dataset, '{sec}' AS section, '{c}' AS metric, "
+                         f"CAST({c} AS DOUBLE) AS value FROM {cte}"
+                         for sec, (cte, cols) in _SECTIONS.items() for c in cols)))
+def q_stats_report(spark, sf):
+    return R.stats_report(arts(spark, sf).withColumnRenamed("language", "dataset"))
