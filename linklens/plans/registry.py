@@ -1168,3 +1168,70 @@ _SECTIONS = {
                          for sec, (cte, cols) in _SECTIONS.items() for c in cols)))
 def q_stats_report(spark, sf):
     return R.stats_report(arts(spark, sf).withColumnRenamed("language", "dataset"))
+
+
+# -------------------------------------------------- text features / NB --------
+from linklens.operators import textfeatures as TF  # noqa: E402
+
+
+def docs(spark, sf):
+    return T.read_table(spark, sf, "documents").select("doc_id", "text")
+
+
+@query("tfidf_terms", f"""
+WITH {G.tf_cte('documents', 'doc_id', 'text', 'tf')},
+n AS (SELECT count(*) AS n FROM documents),
+st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term),
+vocab AS (SELECT term, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM st, n
+          WHERE df >= 2 AND df <= 0.95 * n ORDER BY cf DESC, term LIMIT 5000),
+w AS (SELECT doc_id, term, tf, tf * idf AS w FROM tf JOIN vocab USING (term))
+SELECT doc_id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w""")
+def q_tfidf_terms(spark, sf):
+    return TF.tfidf(docs(spark, sf), "doc_id", "text", 5000, 2, 0.95)
+
+
+@query("term_counts", f"""
+WITH {G.tf_cte('documents', 'doc_id', 'text', 'tf')}
+SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term""")
+def q_term_counts(spark, sf):
+    return TF.term_counts(docs(spark, sf))
+
+
+DOC_BUCKET = "('0x' || substr(md5('20240823|' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 100"
+NB_SPLIT = f"""
+lab AS (SELECT d.doc_id, d.text, l.quality AS label, {DOC_BUCKET} < 80 AS is_train
+        FROM documents d JOIN labels l USING (doc_id)),
+tr AS (SELECT doc_id, text, label FROM lab WHERE is_train),
+te AS (SELECT doc_id, text, label FROM lab WHERE NOT is_train)"""
+
+
+def labelled_docs(spark, sf):
+    d = T.read_table(spark, sf, "documents").select("doc_id", "text")
+    lab = T.read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return SP.assign_split(d.join(lab, "doc_id"), key="doc_id")
+
+
+def nb_model(spark, sf):
+    ld = labelled_docs(spark, sf)
+    return TF.nb_fit(ld.where(F.col("split") == "train"), "doc_id", "text", "label"), ld
+
+
+@query("nb_term_logprob", f"WITH {NB_SPLIT},\n{G.nb_ctes('tr', 'te')}\nSELECT label, term, count, log_prob FROM nb_tlp")
+def q_nb_term_logprob(spark, sf):
+    (tlp, _), _ = nb_model(spark, sf)
+    return tlp
+
+
+@query("nb_classes", f"WITH {NB_SPLIT},\n{G.nb_ctes('tr', 'te')}\n"
+                     "SELECT label, n_docs, log_prior, total, vocab_size, ln(1.0 / den) AS unseen_log_prob FROM nb_cls")
+def q_nb_classes(spark, sf):
+    (_, cls), _ = nb_model(spark, sf)
+    return cls
+
+
+@query("nb_predict", f"WITH {NB_SPLIT},\n{G.nb_ctes('tr', 'te')}\n"
+                     "SELECT te.doc_id, te.label, nb_pred.prediction FROM te JOIN nb_pred USING (doc_id)")
+def q_nb_predict(spark, sf):
+    (tlp, cls), ld = nb_model(spark, sf)
+    te = ld.where(F.col("split") != "train")
+    return te.select("doc_id", "label").join(TF.nb_predict(tlp, cls, te, "doc_id", "text"), "doc_id")

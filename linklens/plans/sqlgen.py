@@ -123,3 +123,37 @@ def domdist_ctes(src: str, domain: str, by: list[str], name: str = "dd") -> str:
 {name} AS (SELECT {bc}count(*) AS n_domains, avg(n) AS mean, quantile_cont(n, 0.5) AS median,
                   stddev_samp(n) AS std, min(n) AS min, max(n) AS max,
                   quantile_cont(n, 0.25) AS q25, quantile_cont(n, 0.75) AS q75 FROM {name}_c {g})"""
+
+
+TOKEN_SQL = "[\\pL\\pN_]{2,}"
+
+
+def tf_cte(src: str, doc_id: str, text: str, name: str) -> str:
+    return (f"{name} AS (SELECT {doc_id} AS doc_id, term, count(*) AS tf FROM "
+            f"(SELECT {doc_id}, unnest(regexp_extract_all(lower({text}), '{TOKEN_SQL}')) AS term FROM {src}) "
+            f"GROUP BY ALL)")
+
+
+def nb_ctes(train: str, test: str, p: str = "nb") -> str:
+    """train(doc_id, text, label), test(doc_id, text) -> {p}_tlp, {p}_cls, {p}_pred(doc_id, prediction)."""
+    return ",\n".join([
+        tf_cte(train, "doc_id", "text", f"{p}_tftr"),
+        f"{p}_ct AS (SELECT label, term, sum(tf) AS count FROM {p}_tftr JOIN {train} USING (doc_id) GROUP BY ALL)",
+        f"{p}_v AS (SELECT count(DISTINCT term) AS vs FROM {p}_tftr)",
+        f"{p}_dp AS (SELECT label, count(*) AS n_docs FROM {train} GROUP BY 1)",
+        f"{p}_tot AS (SELECT label, sum(count) AS total FROM {p}_ct GROUP BY 1)",
+        f"{p}_cls AS (SELECT label, n_docs, ln(CAST(n_docs AS DOUBLE) / (SELECT sum(n_docs) FROM {p}_dp)) AS log_prior, "
+        f"CAST(coalesce(total, 0) AS BIGINT) AS total, vs AS vocab_size, coalesce(total, 0) + 1.0 * vs AS den "
+        f"FROM {p}_dp LEFT JOIN {p}_tot USING (label), {p}_v)",
+        f"{p}_tlp AS (SELECT label, term, CAST(count AS BIGINT) AS count, ln((count + 1.0) / den) AS log_prob "
+        f"FROM {p}_ct JOIN {p}_cls USING (label))",
+        tf_cte(test, "doc_id", "text", f"{p}_tfte"),
+        f"{p}_tfv AS (SELECT * FROM {p}_tfte WHERE term IN (SELECT term FROM {p}_tlp))",
+        f"{p}_pairs AS (SELECT d.doc_id, c.label, c.log_prior, c.den FROM (SELECT DISTINCT doc_id FROM {test}) d, {p}_cls c)",
+        f"{p}_contrib AS (SELECT pr.doc_id, pr.label, sum(t.tf * coalesce(tl.log_prob, ln(1.0 / pr.den))) AS s "
+        f"FROM {p}_pairs pr JOIN {p}_tfv t ON t.doc_id = pr.doc_id "
+        f"LEFT JOIN {p}_tlp tl ON tl.label = pr.label AND tl.term = t.term GROUP BY 1, 2)",
+        f"{p}_score AS (SELECT pr.doc_id, pr.label, pr.log_prior + coalesce(c.s, 0) AS score "
+        f"FROM {p}_pairs pr LEFT JOIN {p}_contrib c USING (doc_id, label))",
+        f"{p}_pred AS (SELECT doc_id, arg_min(label, (-score, label)) AS prediction FROM {p}_score GROUP BY 1)",
+    ])
