@@ -117,3 +117,24 @@ def nb_predict(term_logprob: DataFrame, classes: DataFrame, test: DataFrame, doc
                                            + F.coalesce("_s", F.lit(0.0))).alias("score")))
     return score.groupBy(doc_id).agg(
         F.min_by("label", F.struct(-F.col("score"), F.col("label"))).alias("prediction"))
+
+
+def two_stage_predict(test: DataFrame, train_weak: DataFrame, mapping: DataFrame,
+                      doc_id: str = "article_id", text: str = "url", truth: str = "category") -> DataFrame:
+    """M9: weak-label scoring. Stage 1 takes the mapping-order URL match
+    when its category is a trained label; stage 2 scores only the remaining
+    rows with the naive Bayes model trained on the weak labels."""
+    from linklens.operators.slugs import mapped_category
+    tr = train_weak.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
+                           F.col("category_label").alias("label"))
+    tlp, cls = nb_fit(tr, "doc_id", "text", "label")
+    trained = bounded_broadcast(cls.select(F.col("label").alias("_trained")))
+    m = mapped_category(test.select(doc_id, text, truth), mapping, text, "_mapped")
+    m = (m.join(trained, F.col("_mapped") == F.col("_trained"), "left")
+          .withColumn("_p1", F.when(F.col("_trained").isNotNull(), F.col("_mapped"))).drop("_trained"))
+    rest = m.where(F.col("_p1").isNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    p2 = nb_predict(tlp, cls, rest, "doc_id", "text").withColumnRenamed("doc_id", doc_id)
+    return (m.join(p2, doc_id, "left")
+             .select(doc_id, F.col(truth).alias("label"),
+                     F.coalesce("_p1", "prediction").alias("prediction"),
+                     F.when(F.col("_p1").isNotNull(), "mapping").otherwise("classifier").alias("source")))

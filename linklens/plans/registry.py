@@ -641,14 +641,18 @@ def q_label_cross_view(spark, sf):
     return SL.label_cross_view(derived_frame(spark, sf), "PROMO")
 
 
-WEAK = ("weak", f"""
+def weak_sql(src: str) -> str:
+    return f"""
 WITH s AS (SELECT article_id, unnest(cs) AS slug, generate_subscripts(cs, 1) AS pos
-           FROM (SELECT article_id, {S.candidate_slugs(S.path('url'))} AS cs FROM articles)),
+           FROM (SELECT article_id, {S.candidate_slugs(S.path('url'))} AS cs FROM {src})),
 hit AS (SELECT article_id, arg_min(m.slug, pos) AS matched_slug, arg_min(m.category, pos) AS url_category
         FROM s JOIN m USING (slug) GROUP BY article_id)
 SELECT a.article_id, a.url, a.category, h.matched_slug, h.url_category,
        coalesce(h.url_category, 'unknown') AS distant_label
-FROM articles a LEFT JOIN hit h USING (article_id)""")
+FROM {src} a LEFT JOIN hit h USING (article_id)"""
+
+
+WEAK = ("weak", weak_sql("articles"))
 
 
 @query("weak_labels", slug_sql("SELECT article_id, matched_slug, url_category, distant_label FROM weak", WEAK))
@@ -696,12 +700,16 @@ def q_url_tagging_check(spark, sf):
     return SL.url_tagging_check(arts(spark, sf).select("article_id", "url"), smap(spark))
 
 
-GATE = ("gate", f"""
-WITH smp AS ({SAMPLE_SQL}),
+def gate_sql(src: str) -> str:
+    return f"""
+WITH smp AS (SELECT * FROM {src} ORDER BY md5('42|' || article_id), article_id LIMIT 1000),
 s AS (SELECT article_id, unnest(cs) AS slug FROM (SELECT article_id, {S.candidate_slugs(S.path('url'))} AS cs FROM smp)),
 hit AS (SELECT DISTINCT article_id FROM s JOIN m USING (slug))
 SELECT (SELECT count(*) FROM smp) > 50 AND
-       CAST((SELECT count(*) FROM hit) AS DOUBLE) / (SELECT count(*) FROM smp) >= 0.10 AS ok""")
+       CAST((SELECT count(*) FROM hit) AS DOUBLE) / (SELECT count(*) FROM smp) >= 0.10 AS ok"""
+
+
+GATE = ("gate", gate_sql("articles"))
 
 
 def weak_train(spark, sf):
@@ -1235,3 +1243,42 @@ def q_nb_predict(spark, sf):
     (tlp, cls), ld = nb_model(spark, sf)
     te = ld.where(F.col("split") != "train")
     return te.select("doc_id", "label").join(TF.nb_predict(tlp, cls, te, "doc_id", "text"), "doc_id")
+
+
+TWO_STAGE = [
+    ("sa", f"SELECT article_id, url, category, {SPLIT} AS split FROM articles"),
+    ("trn", "SELECT article_id, url, category FROM sa WHERE split = 'train'"),
+    ("tst", "SELECT article_id, url, category FROM sa WHERE split = 'test'"),
+    ("wtrn", weak_sql("trn")), ("gtrn", gate_sql("trn")),
+    ("wt", "SELECT article_id AS doc_id, url AS text, distant_label AS label FROM wtrn, gtrn "
+           "WHERE ok AND distant_label <> 'unknown'"),
+    ("lm", "SELECT slug_rank, lower(slug) AS s, category FROM m"),
+    ("j7", f"SELECT article_id, arg_min(category, slug_rank) AS mapped FROM (SELECT article_id, lower(url) AS t FROM tst) "
+           f"JOIN lm ON {J7_ON} GROUP BY 1"),
+    ("s1", "SELECT tst.article_id, tst.url, tst.category, CASE WHEN j7.mapped IN (SELECT DISTINCT label FROM wt) "
+           "THEN j7.mapped END AS p1 FROM tst LEFT JOIN j7 USING (article_id)"),
+    ("rest", "SELECT article_id AS doc_id, url AS text FROM s1 WHERE p1 IS NULL"),
+]
+
+
+@query("two_stage_predict", slug_sql(
+    ",\n" + G.nb_ctes("wt", "rest") + """
+SELECT s1.article_id, s1.category AS label, coalesce(p1, nb_pred.prediction) AS prediction,
+       CASE WHEN p1 IS NOT NULL THEN 'mapping' ELSE 'classifier' END AS source
+FROM s1 LEFT JOIN nb_pred ON nb_pred.doc_id = s1.article_id""", *TWO_STAGE))
+def q_two_stage_predict(spark, sf):
+    a = SP.assign_split(arts(spark, sf).select("article_id", "url", "category"))
+    train = a.where(F.col("split") == "train")
+    test = a.where(F.col("split") == "test")
+    wt = SL.weak_training_set(train, smap(spark))
+    return TF.two_stage_predict(test, wt, smap(spark), "article_id", "url", "category")
+
+
+@query("two_stage_metrics", slug_sql(
+    ",\n" + G.nb_ctes("wt", "rest") + """,
+res AS (SELECT s1.category AS label, coalesce(p1, nb_pred.prediction) AS prediction
+        FROM s1 LEFT JOIN nb_pred ON nb_pred.doc_id = s1.article_id),
+conf AS (SELECT label, prediction, count(*) AS n FROM res GROUP BY ALL),
+""" + G.macro_ctes("conf", [], "mac").strip() + "\nSELECT * FROM mac", *TWO_STAGE))
+def q_two_stage_metrics(spark, sf):
+    return M.macro_metrics(M.confusion(q_two_stage_predict(spark, sf)))
