@@ -1282,3 +1282,118 @@ conf AS (SELECT label, prediction, count(*) AS n FROM res GROUP BY ALL),
 """ + G.macro_ctes("conf", [], "mac").strip() + "\nSELECT * FROM mac", *TWO_STAGE))
 def q_two_stage_metrics(spark, sf):
     return M.macro_metrics(M.confusion(q_two_stage_predict(spark, sf)))
+
+
+# ------------------------------------------------ Spark ML (rows-only checks) ---
+from linklens.operators import models as MD  # noqa: E402
+
+
+def _doc_model_run(spark, sf, model, **kw):
+    ld = labelled_docs(spark, sf).withColumn("label", F.col("label").cast("string"))
+    tr, te = ld.where(F.col("split") == "train"), ld.where(F.col("split") != "train")
+    m = MD.train_model(tr, model, "text", "label", **kw)
+    return MD.predict(m, te, ("doc_id", "label"))
+
+
+@query("predict_logreg")
+def q_predict_logreg(spark, sf):
+    return _doc_model_run(spark, sf, "log-reg")
+
+
+@query("predict_svm")
+def q_predict_svm(spark, sf):
+    return _doc_model_run(spark, sf, "svm", balanced=True)
+
+
+@query("predict_forest")
+def q_predict_forest(spark, sf):
+    return _doc_model_run(spark, sf, "forest")
+
+
+@query("predict_gbt")
+def q_predict_gbt(spark, sf):
+    return _doc_model_run(spark, sf, "gbt", params={"maxIter": 20})
+
+
+@query("predict_nb_ml")
+def q_predict_nb_ml(spark, sf):
+    return _doc_model_run(spark, sf, "naive-bayes", vectorizer={"max_features": None, "min_df": 1.0,
+                                                                "max_df": 1.0, "idf": False})
+
+
+@query("predict_gbt_embeddings")
+def q_predict_gbt_embeddings(spark, sf):
+    e = T.read_table(spark, sf, "embeddings")
+    e = MD.embedding_features(SP.assign_split(e, key="vec_id")).withColumn("label", F.col("label").cast("string"))
+    tr, te = e.where(F.col("split") == "train"), e.where(F.col("split") != "train")
+    m = MD.train_model(tr, "gbt", None, "label", features="features",
+                       params={"maxDepth": 6, "maxIter": 20})
+    return MD.predict(m, te, ("vec_id", "label"))
+
+
+def _url_runs(spark, sf, variants: dict, model="log-reg"):
+    """Train and score one model per feature column; macro metrics per run."""
+    a = SP.assign_split(L.load_articles(arts(spark, sf), "articles"))
+    out = None
+    for name, col in variants.items():
+        d = a.select("article_id", "category", col.alias("text"), "split")
+        tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+        m = MD.train_model(tr, model, "text", "category", params={"maxIter": 50})
+        p = MD.predict(m, te, ("article_id", "category")).withColumnRenamed("category", "label")
+        mm = M.macro_metrics(M.confusion(p)).withColumn("run", F.lit(name))
+        out = mm if out is None else out.unionByName(mm)
+    return out
+
+
+@query("date_ablation_run")
+def q_date_ablation_run(spark, sf):
+    """URL path feature with and without dates, same split."""
+    r = _url_runs(spark, sf, {"with_dates": U.clean_path(F.col("path")),
+                              "no_dates": U.clean_path(U.strip_dates(F.col("path")))})
+    r = r.withColumnRenamed("run", "condition").withColumn("dataset", F.lit("articles")) \
+         .withColumn("model", F.lit("log-reg")).withColumn("feature", F.lit("url_path_cleaned"))
+    return M.ablation_compare(r)
+
+
+@query("variant_run")
+def q_variant_run(spark, sf):
+    """One model per URL variant."""
+    return _url_runs(spark, sf, {"path": F.col("path"), "netloc_path": F.concat("netloc", "path"),
+                                 "cleaned_path": F.col("path_clean")})
+
+
+@query("learning_curve")
+def q_learning_curve(spark, sf):
+    """Fixed-size training subsets (reference rule), same test set."""
+    ld = labelled_docs(spark, sf).withColumn("label", F.col("label").cast("string"))
+    tr, te = ld.where(F.col("split") == "train"), ld.where(F.col("split") != "train")
+    out = None
+    for size in (100, 200, None):
+        sub = tr if size is None else SP.stratified_subset(tr, size, "label", "doc_id", 42)
+        m = MD.train_model(sub, "log-reg", "text", "label")
+        mm = M.macro_metrics(M.confusion(MD.predict(m, te))).withColumn(
+            "train_size", F.lit(size if size else -1)).withColumn("n_train", F.lit(sub.count()))
+        out = mm if out is None else out.unionByName(mm)
+    return out
+
+
+def keyword_scorer_factory():
+    """A stand-in batch scorer: answers with the category named in the text."""
+    cats = [c.lower() for c in CATEGORIES]
+
+    def score(texts):
+        out = []
+        for t in texts:
+            low = (t or "").lower()
+            hit = next((c.upper() for c in cats if c in low), None)
+            out.append(hit)
+        return out
+    return score
+
+
+@query("batch_score")
+def q_batch_score(spark, sf):
+    """Caller-supplied scorer over Arrow batches, then E9 success rate."""
+    a = answers(spark, sf).withColumnRenamed("answer", "text")
+    scored = MD.batch_score(a, keyword_scorer_factory, "text", ("article_id", "category"))
+    return scored
