@@ -60,11 +60,14 @@ def map_answer(answer, categories: list[str]) -> Column:
     else NULL."""
     a = F.col(answer) if isinstance(answer, str) else answer
     clean = F.lower(F.regexp_replace(a, r"(?U)^\s+|\s+$", ""))
-    cats = F.array(*[F.lit(c) for c in categories])
-    exact = F.get(F.filter(cats, lambda c: F.lower(c) == clean), 0)
-    partial = F.get(F.filter(cats, lambda c: F.contains(clean, F.lower(c)) |
-                             F.contains(F.lower(c), clean)), 0)
-    return F.coalesce(exact, partial)
+    exact = partial = None
+    for c in categories:
+        low = F.lit(c.lower())
+        e_cond = clean == low
+        p_cond = F.contains(clean, low) | F.contains(low, clean)
+        exact = F.when(e_cond, F.lit(c)) if exact is None else exact.when(e_cond, F.lit(c))
+        partial = F.when(p_cond, F.lit(c)) if partial is None else partial.when(p_cond, F.lit(c))
+    return F.coalesce(exact, partial) if categories else F.lit(None).cast("string")
 
 
 def parse_category_line(text, codes: dict[str, int]) -> Column:

@@ -100,23 +100,22 @@ def url_host(url) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(n, r"^.*@", ""), r":[0-9]*$", ""))
 
 
+def quote_regex(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def registered_host(url, suffixes=None) -> Column:
     """Host when it ends in a listed public suffix with at least one label
     before it; NULL otherwise (no host, IP address, unknown suffix)."""
-    sfx = F.array(*[F.lit(s) for s in (suffixes or PUBLIC_SUFFIXES)])
+    alts = "|".join(quote_regex(x) for x in (suffixes or PUBLIC_SUFFIXES))
     host = url_host(url)
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    # every proper suffix of the host: labels[i:] for i in 1..n-1
-    cands = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))),
-                        lambda i: F.array_join(F.slice(labels, i, n), "."))
-    ok = (n >= 2) & ~host.rlike(r"^[0-9.]+$") & F.exists(
-        cands, lambda c: F.array_contains(sfx, c) & (F.length(c) > 0))
+    ok = host.rlike(r"^.+\.(?:" + alts + ")$") & ~host.rlike(r"^[0-9.]+$")
     return F.when(ok, host)
 
 
 def path_segments(path) -> Column:
-    return F.filter(F.split(_c(path), "/"), lambda s: s != "")
+    """Non-empty path segments in order (maximal runs of non-'/' characters)."""
+    return F.regexp_extract_all(_c(path), F.lit("[^/]+"), 0)
 
 
 def candidate_slugs(path) -> Column:
@@ -144,12 +143,18 @@ def entry_slug(url) -> Column:
     return F.replace(F.split_part(tail, F.lit("_"), F.lit(1)), F.lit("-"), F.lit(" "))
 
 
+SEGMENT_START = r"(?<=^|/)"
+SEGMENT_END = r"(?=/|$)"
+
+
 def url_skeleton(path) -> Column:
-    segs = F.transform(path_segments(path), lambda s: (
-        F.when(s.rlike(_u(r"^\d+$")), F.lit("{num}"))
-         .when(s.rlike(r"^[0-9a-fA-F]{8,}$"), F.lit("{id}"))
-         .otherwise(s)))
-    return F.concat(F.lit("/"), F.array_join(segs, "/"))
+    """All-digit segments -> {num}, then hex runs of 8+ -> {id}, empty
+    segments dropped, '/' prefix. Segment-anchored regexes, no per-element
+    lambda."""
+    p = F.regexp_replace(_c(path), _u(SEGMENT_START + r"\d+" + SEGMENT_END), "{num}")
+    p = F.regexp_replace(p, SEGMENT_START + r"[0-9a-fA-F]{8,}" + SEGMENT_END, "{id}")
+    p = F.regexp_replace(F.regexp_replace(p, "/+", "/"), "^/|/$", "")
+    return F.concat(F.lit("/"), p)
 
 
 def strip_dates(path, replacement: str = "") -> Column:
@@ -165,10 +170,12 @@ def _count_matches(col: Column, negated_class: str) -> Column:
     return F.length(F.regexp_replace(col, negated_class, ""))
 
 
-def structure_columns(path) -> dict[str, Column]:
-    """All structure flags, lengths and the URL type of one path."""
+def structure_columns(path, segs=None) -> dict[str, Column]:
+    """All structure flags, lengths and the URL type of one path.
+    Pass column names (or columns) already projected for ``path`` and its
+    ``segs`` so the regexes run once per row."""
     p = _c(path)
-    segs = path_segments(p)
+    segs = path_segments(p) if segs is None else _c(segs)
     n_seg = F.size(segs)
     digits = _count_matches(p, _u(r"\D"))
     alpha = _count_matches(p, r"[^a-zA-Z]")
@@ -183,12 +190,13 @@ def structure_columns(path) -> dict[str, Column]:
     cols["has_file_extension"] = p.rlike(HAS_FILE_EXTENSION)
     cols["is_id_heavy"] = (digits + alpha > 0) & (digits * 2 > digits + alpha)
     cols["is_semantic"] = F.lower(p).rlike(semantic_re)
-    cols["has_category_indicators"] = (n_seg >= 2) & F.lower(F.get(segs, 0)).isin(
-        CATEGORY_FIRST_SEGMENTS)
+    cols["has_category_indicators"] = (n_seg >= 2) & F.coalesce(
+        F.lower(F.get(segs, 0)).isin(CATEGORY_FIRST_SEGMENTS), F.lit(False))
     cols["path_length"] = F.length(p)
     cols["num_segments"] = n_seg
+    # segment characters are exactly the non-'/' characters of the path
     cols["avg_segment_length"] = F.when(n_seg == 0, F.lit(0.0)).otherwise(
-        F.aggregate(segs, F.lit(0), lambda acc, s: acc + F.length(s)) / n_seg)
+        F.length(F.regexp_replace(p, "/", "")) / n_seg)
     c = cols
     cols["url_type"] = (
         F.when(c["is_id_heavy"] & ~c["is_semantic"], "id_based")
@@ -210,18 +218,20 @@ def rule_label(path, rules: "OrderedDict[str, str] | None" = None) -> Column:
     return expr.otherwise(F.lit("other"))
 
 
-def depth_columns(path) -> dict[str, Column]:
+def depth_columns(path, segs=None) -> dict[str, Column]:
     """Path depth and the composition of the segments before the last one."""
-    segs = path_segments(path)
+    p = _c(path)
+    segs = path_segments(p) if segs is None else _c(segs)
     d = F.size(segs)
-    others = F.slice(segs, 1, F.greatest(d - 1, F.lit(0)))
-    n_other = F.size(others)
-    n_num = F.size(F.filter(others, lambda s: s.rlike(_u(r"^\d+$"))))
+    last = F.try_element_at(segs, F.lit(-1))
+    n_num_all = F.size(F.regexp_extract_all(p, F.lit(_u(SEGMENT_START + r"\d+" + SEGMENT_END)), 0))
+    last_num = F.coalesce(last.rlike(_u(r"^\d+$")), F.lit(False))
+    n_other = F.greatest(d - 1, F.lit(0))
+    n_num = n_num_all - F.when(last_num, 1).otherwise(0)
     return OrderedDict([
         ("depth", d),
         ("other_segments", n_other),
         ("other_numeric_segments", n_num),
         ("other_text_segments", n_other - n_num),
-        ("last_has_number", F.coalesce(F.try_element_at(segs, F.lit(-1)).rlike(_u(r"\d")) & (d > 0),
-                                       F.lit(False))),
+        ("last_has_number", F.coalesce(last.rlike(_u(r"\d")), F.lit(False))),
     ])

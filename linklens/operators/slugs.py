@@ -41,11 +41,9 @@ def valid_categories(mapping: DataFrame) -> DataFrame:
     return usable_mapping(mapping).select("category").distinct().orderBy("category")
 
 
-def _map_frame(mapping: DataFrame, key: Column) -> DataFrame:
-    """One row holding key -> struct(slug_rank, category, slug), lowest rank per key."""
-    best = (mapping.groupBy(key.alias("k"))
-                   .agg(F.min(F.struct("slug_rank", "category", "slug")).alias("v")))
-    return best.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_slug_map"))
+def _quoted(c: Column) -> Column:
+    """Column value as a literal regex fragment (\Q...\E)."""
+    return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
 def _fits_in_row(mapping: DataFrame) -> bool:
@@ -53,6 +51,30 @@ def _fits_in_row(mapping: DataFrame) -> bool:
     return size is not None and size <= DEFAULT_BROADCAST_BYTES // 8
 
 
+def _j6_frame(m: DataFrame) -> DataFrame:
+    """One row: the J6 slug regex and slug -> category (lowest rank per slug).
+    Slugs that can never be candidates (<= 2 chars, all digits) are left out."""
+    cand = m.where((F.length("slug") > 2) & ~F.col("slug").rlike(r"(?U)^\d+$"))
+    best = cand.groupBy("slug").agg(F.min(F.struct("slug_rank", "category")).alias("v"))
+    return best.agg(
+        F.concat(F.lit(r"(?U)(?<=^|/)\s*("), F.array_join(F.collect_list(_quoted(F.col("slug"))), "|"),
+                 F.lit(r")\s*(?=/|$)")).alias("_j6_pat"),
+        F.map_from_entries(F.collect_list(F.struct(F.col("slug"), F.col("v.category")))).alias("_j6_map"))
+
+
+def _j7_frame(m: DataFrame) -> DataFrame:
+    """One row: the J7 regex over lower-cased slugs, the slugs in mapping
+    order and lower slug -> category of its lowest rank."""
+    low = m.select("slug_rank", F.lower("slug").alias("s"), "category")
+    best = low.groupBy("s").agg(F.min(F.struct("slug_rank", "category")).alias("v"))
+    alts = F.array_join(F.collect_list(_quoted(F.col("s"))), "|")
+    return best.agg(
+        F.concat(F.lit("(?<=/)("), alts, F.lit(")(?=[/?#]|$)|^("), alts, F.lit(")(?=/)")).alias("_j7_pat"),
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col("v.slug_rank"), F.col("s")))),
+                    lambda x: x["s"]).alias("_j7_ranked"),
+        F.map_from_entries(F.collect_list(F.struct(F.col("s"), F.col("v.category")))).alias("_j7_map"))
+
+
 def section_label_join(df: DataFrame, mapping: DataFrame, url: str = "url",
                        text: str = "title") -> DataFrame:
     """Training pairs (x = text, y = category) for articles whose first
@@ -74,17 +96,21 @@ def derive_labels(df: DataFrame, mapping: DataFrame, url: str = "url") -> DataFr
 
 def weak_labels(df: DataFrame, mapping: DataFrame, url: str = "url") -> DataFrame:
     """First candidate slug (path order, case-sensitive) found in the
-    mapping -> distant_label ('unknown' when none), url_category, matched_slug."""
+    mapping -> distant_label ('unknown' when none), url_category, matched_slug.
+
+    The mapping becomes one regex over path segments whose leftmost match is
+    the first mapped segment; it is built inside Spark from the mapping and
+    broadcast as a one-row frame. Mappings too large for one row fall back
+    to explode + equi-join + per-article minimum."""
     m = usable_mapping(mapping)
-    slugs = U.candidate_slugs(U.url_path(url))
     if _fits_in_row(m):
-        mf = bounded_broadcast(_map_frame(m, F.col("slug")))
-        hit = F.get(F.filter(slugs, lambda s: F.map_contains_key(F.col("_slug_map"), s)), 0)
-        out = df.crossJoin(mf).withColumn("matched_slug", hit)
-        cat = F.try_element_at(F.col("_slug_map"), F.col("matched_slug"))["category"]
-        out = out.withColumn("url_category", F.when(F.col("matched_slug").isNotNull(), cat))
-        out = out.drop("_slug_map")
+        mf = bounded_broadcast(_j6_frame(m))
+        hit = F.regexp_extract(U.url_path(url), F.col("_j6_pat"), 1)
+        out = (df.crossJoin(mf).withColumn("matched_slug", F.nullif(hit, F.lit("")))
+                 .withColumn("url_category", F.try_element_at(F.col("_j6_map"), F.col("matched_slug")))
+                 .drop("_j6_pat", "_j6_map"))
     else:
+        slugs = U.candidate_slugs(U.url_path(url))
         ex = (df.select("article_id", F.posexplode(slugs).alias("_pos", "_slug"))
                 .join(m.select(F.col("slug").alias("_slug"), "category"), "_slug")
                 .groupBy("article_id")
@@ -95,32 +121,20 @@ def weak_labels(df: DataFrame, mapping: DataFrame, url: str = "url") -> DataFram
     return out.withColumn("distant_label", F.coalesce("url_category", F.lit(UNKNOWN)))
 
 
-def slug_tokens(text) -> Column:
-    """Lower-cased tokens t such that the text has '/t/', ends with '/t',
-    starts with 't/', or has '/t?' or '/t#' (J7)."""
-    parts = F.split(F.lower(F.col(text) if isinstance(text, str) else text), "/")
-    k = F.size(parts) - 1
-    tail = F.slice(parts, 2, F.greatest(k, F.lit(0)))
-    cut = F.transform(tail, lambda t: F.regexp_extract(t, r"^([^?#]*)", 1))
-    # a cut token only counts when something followed it (or it is the last one)
-    cut_ok = F.filter(F.arrays_zip(tail.alias("t"), cut.alias("c")),
-                      lambda z: (z["t"] != z["c"]))
-    first = F.when(k >= 1, F.array(F.get(parts, 0))).otherwise(F.array().cast("array<string>"))
-    middle_and_last = tail
-    return F.concat(first, middle_and_last, F.transform(cut_ok, lambda z: z["c"]))
-
-
 def mapped_category(df: DataFrame, mapping: DataFrame, text: str = "text",
                     out: str = "mapped_category") -> DataFrame:
     """The category of the first mapping row (file order) whose slug
-    appears in the lower-cased text as a path component; NULL when none."""
-    m = usable_mapping(mapping)
-    toks = slug_tokens(text)
-    mf = bounded_broadcast(_map_frame(m, F.lower("slug")))
-    hits = F.filter(F.transform(toks, lambda t: F.try_element_at(F.col("_slug_map"), t)),
-                    lambda v: v.isNotNull())
-    best = F.array_min(hits)
-    return df.crossJoin(mf).withColumn(out, best["category"]).drop("_slug_map")
+    appears in the lower-cased text as a path component ('/s/', ends '/s',
+    starts 's/', '/s?', '/s#'); NULL when none. One regex finds every mapped
+    component; array_intersect with the slugs in mapping order picks the
+    lowest rank."""
+    mf = bounded_broadcast(_j7_frame(usable_mapping(mapping)))
+    t = F.col(text) if isinstance(text, str) else text
+    found = F.regexp_extract_all(F.lower(t), F.col("_j7_pat"), 0)
+    first = F.get(F.array_intersect(F.col("_j7_ranked"), found), 0)
+    return (df.crossJoin(mf)
+              .withColumn(out, F.when(F.size(found) > 0, F.try_element_at(F.col("_j7_map"), first)))
+              .drop("_j7_pat", "_j7_ranked", "_j7_map"))
 
 
 def hash_sample(df: DataFrame, key: str = "article_id", n: int = 1000, seed: int = 42) -> DataFrame:

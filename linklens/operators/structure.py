@@ -18,11 +18,12 @@ QUALITY = ["accuracy", "precision", "recall", "f1"]
 def url_structure(df: DataFrame, url: str = "url", keep=("article_id", "category",
                                                         "publisher")) -> DataFrame:
     """One row per URL with every flag, lengths, URL type and the host."""
-    path = U.url_path(url)
-    cols = U.structure_columns(path)
-    return df.select(*[c for c in keep if c in df.columns], F.col(url).alias("url"),
-                     U.url_netloc(url).alias("domain"),
-                     *[v.alias(k) for k, v in cols.items()])
+    base = df.select(*[c for c in keep if c in df.columns], F.col(url).alias("url"),
+                     U.url_netloc(url).alias("domain"), U.url_path(url).alias("_path"))
+    base = base.withColumn("_segs", U.path_segments("_path"))
+    cols = U.structure_columns("_path", "_segs")
+    return base.select(*[c for c in keep if c in df.columns], "url", "domain",
+                       *[v.alias(k) for k, v in cols.items()])
 
 
 def structure_summary(struct: DataFrame) -> DataFrame:
@@ -189,8 +190,10 @@ def rule_counts(df: DataFrame, url: str = "url", rules=None) -> DataFrame:
 def depth_stats(df: DataFrame, url: str = "url") -> DataFrame:
     """min/mean/max of depth and of the segment counts before the last
     segment; percent of URLs whose last segment has a digit."""
-    cols = U.depth_columns(U.url_path(url))
-    d = df.select(*[v.alias(k) for k, v in cols.items()])
+    base = df.select(U.url_path(url).alias("_path"))
+    base = base.withColumn("_segs", U.path_segments("_path"))
+    cols = U.depth_columns("_path", "_segs")
+    d = base.select(*[v.alias(k) for k, v in cols.items()])
     aggs = []
     for k in ["depth", "other_segments", "other_numeric_segments", "other_text_segments"]:
         aggs += [F.min(k).alias(f"{k}_min"), F.avg(k).alias(f"{k}_mean"), F.max(k).alias(f"{k}_max")]
