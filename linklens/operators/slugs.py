@@ -105,7 +105,8 @@ def weak_labels(df: DataFrame, mapping: DataFrame, url: str = "url") -> DataFram
     m = usable_mapping(mapping)
     if _fits_in_row(m):
         mf = bounded_broadcast(_j6_frame(m))
-        hit = F.regexp_extract(U.url_path(url), F.col("_j6_pat"), 1)
+        # the pattern is a column (built from the mapping), compiled once per task
+        hit = F.call_function("regexp_extract", U.url_path(url), F.col("_j6_pat"), F.lit(1))
         out = (df.crossJoin(mf).withColumn("matched_slug", F.nullif(hit, F.lit("")))
                  .withColumn("url_category", F.try_element_at(F.col("_j6_map"), F.col("matched_slug")))
                  .drop("_j6_pat", "_j6_map"))

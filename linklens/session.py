@@ -64,7 +64,8 @@ def plan_size_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the optimized plan (an upper bound for scans,
     filters and projections); None when it cannot be read."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(v) if isinstance(v, int) else int(v.toString())
     except Exception:  # pragma: no cover - e.g. Spark Connect
         return None
 

@@ -97,5 +97,21 @@ SLUG_MAP_SCHEMA = T.StructType([
 ])
 
 
+def inline_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small parameter table as an inline VALUES relation: unlike an
+    RDD-backed frame it carries exact size statistics, so size checks and
+    broadcast decisions see its real size."""
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return repr(v)
+    values = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    names = ", ".join(f.name for f in schema.fields)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def slug_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SLUG_MAP_ROWS, SLUG_MAP_SCHEMA)
+    return inline_table(spark, SLUG_MAP_ROWS, SLUG_MAP_SCHEMA)
