@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linklens.functions import urls as U
-from linklens.session import bounded_broadcast, broadcast_if_small
+from linklens.session import bounded_broadcast, broadcast_if_small, materialize
 
 
 def _keys(by) -> list[str]:
@@ -311,15 +311,16 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def domain_concentration(df: DataFrame, url: str = "url", top: int = 10) -> DataFrame:
     """Host from the URL ('unknown' when absent; such rows dropped),
-    totals, top-5 and top-10 shares by rank (percent), and the top list."""
+    totals, top-5 and top-10 shares by rank (percent), and the top list.
+    One scan builds the per-domain counts; the rest reads that aggregate."""
     d = df.select(U.domain_or_unknown(url).alias("domain"))
     d = d.where((F.col("domain") != "unknown") & (F.col("domain") != ""))
-    dc = d.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    dc = materialize(d.groupBy("domain").agg(F.count(F.lit(1)).alias("n")))
     k = max(top, 10)
     # the top list is a TakeOrdered of k rows; totals come from one small agg
     topk = dc.orderBy(F.col("n").desc(), F.col("domain")).limit(k)
     ranked = topk.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.col("n").desc(), F.col("domain"))))
+        Window.orderBy(F.col("n").desc(), F.col("domain"))).cast("long"))
     tot = dc.agg(F.sum("n").alias("total_articles"), F.count(F.lit(1)).alias("unique_domains"))
     shares = ranked.agg(F.sum(F.when(F.col("rank") <= 5, F.col("n"))).alias("_t5"),
                         F.sum(F.when(F.col("rank") <= 10, F.col("n"))).alias("_t10"))
@@ -331,15 +332,21 @@ def domain_concentration(df: DataFrame, url: str = "url", top: int = 10) -> Data
                   .withColumn("share_pct", F.col("n") / F.col("total_articles") * 100))
 
 
+def _cells(df: DataFrame, domain: str, topic: str) -> DataFrame:
+    """(domain, topic, n) counted once and materialised: every later step of
+    the domain x topic reports reads this aggregate, not the rows."""
+    return materialize(df.groupBy(domain, topic).agg(F.count(F.lit(1)).alias("n")))
+
+
 def top_domain_topics(df: DataFrame, domain: str = "domain", topic: str = "category",
                       top: int = 5) -> DataFrame:
     """Number of topics and topic entropy of the top domains."""
-    dc = df.groupBy(domain).agg(F.count(F.lit(1)).alias("n"))
+    cells = _cells(df, domain, topic)
+    dc = cells.groupBy(domain).agg(F.sum("n").alias("n"))
     topd = bounded_broadcast(dc.orderBy(F.col("n").desc(), F.col(domain)).limit(top)
                                .select(domain))
-    cells = (df.join(topd, domain, "left_semi").groupBy(domain, topic)
-               .agg(F.count(F.lit(1)).alias("n")))
-    return cells.groupBy(domain).agg(
+    sel = cells.join(topd, domain, "left_semi")
+    return sel.groupBy(domain).agg(
         F.count(F.lit(1)).alias("n_topics"), F.sum("n").alias("n_articles"),
         F.sum(F.col("n") * log2(F.col("n"))).alias("_nlogn")).select(
         domain, "n_topics", "n_articles",
@@ -350,15 +357,15 @@ def domain_topic_matrix(df: DataFrame, domain: str = "domain", topic: str = "cat
                         top_domains: int = 10, top_topics: int = 10) -> DataFrame:
     """Percent of each top domain's articles per top topic (rows sum to
     100 over the kept topics), long form."""
-    dc = df.groupBy(domain).agg(F.count(F.lit(1)).alias("n"))
-    tc = df.groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
+    cells = _cells(df, domain, topic)
+    dc = cells.groupBy(domain).agg(F.sum("n").alias("n"))
+    tc = cells.groupBy(topic).agg(F.sum("n").alias("n"))
     td = bounded_broadcast(dc.orderBy(F.col("n").desc(), F.col(domain)).limit(top_domains)
                              .select(domain))
     tt = bounded_broadcast(tc.orderBy(F.col("n").desc(), F.col(topic)).limit(top_topics)
                              .select(topic))
-    cells = (df.join(td, domain, "left_semi").join(tt, topic, "left_semi")
-               .groupBy(domain, topic).agg(F.count(F.lit(1)).alias("n")))
-    return cells.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(domain)))
+    sel = cells.join(td, domain, "left_semi").join(tt, topic, "left_semi")
+    return sel.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(domain)))
 
 
 def mean_per_domain(df: DataFrame, domain: str = "publisher") -> DataFrame:

@@ -42,7 +42,7 @@ def valid_categories(mapping: DataFrame) -> DataFrame:
 
 
 def _quoted(c: Column) -> Column:
-    """Column value as a literal regex fragment (\Q...\E)."""
+    """Column value as a literal regex fragment (quoted with Q...E)."""
     return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linklens.session import bounded_broadcast, broadcast_if_small
+from linklens.session import bounded_broadcast, broadcast_if_small, ensure_checkpoint_dir
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -69,7 +69,7 @@ def tfidf(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_featu
 # ---- multinomial naive Bayes (alpha smoothing), relational -------------------
 
 def nb_fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label",
-           alpha: float = 1.0):
+           alpha: float = 1.0, materialize: bool = True):
     """Returns (term_logprob, classes):
     term_logprob(label, term, count, log_prob) for terms seen with a class,
     classes(label, n_docs, log_prior, total, unseen_log_prob, vocab_size).
@@ -91,7 +91,15 @@ def nb_fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
     cls = broadcast_if_small(classes.select("label", "_den"))
     tlp = ct.join(cls, "label").select("label", "term", "count",
                                        F.log((F.col("count") + alpha) / F.col("_den")).alias("log_prob"))
-    return tlp, classes.drop("_den")
+    classes = classes.drop("_den")
+    if materialize:
+        # the fitted model is written once to the shared checkpoint folder:
+        # scoring reuses it in several branches and must not re-plan (or, after
+        # a lost executor, recompute) the whole training lineage
+        ensure_checkpoint_dir(train.sparkSession)
+        classes = classes.checkpoint(eager=True)
+        tlp = tlp.checkpoint(eager=True)
+    return tlp, classes
 
 
 def nb_predict(term_logprob: DataFrame, classes: DataFrame, test: DataFrame, doc_id: str = "doc_id",

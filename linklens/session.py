@@ -87,3 +87,11 @@ def bounded_broadcast(df: DataFrame) -> DataFrame:
     with the data (one-row totals, top-k lists, shares above a threshold,
     fixed parameter tables). Callers state the bound at the call site."""
     return F.broadcast(df)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a small shared sub-result (an aggregate read by several branches
+    of one query) to the checkpoint folder once. Reliable checkpoints survive
+    lost executors; the lineage above them is cut."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
