@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linklens.functions import urls as U
-from linklens.session import DEFAULT_BROADCAST_BYTES, bounded_broadcast, broadcast_if_small, plan_size_bytes
+from linklens.session import (DEFAULT_BROADCAST_BYTES, bounded_broadcast, broadcast_if_small,
+                              materialize, plan_size_bytes)
 
 UNKNOWN = "unknown"
 
@@ -160,7 +161,8 @@ def url_tagging_check(df: DataFrame, mapping: DataFrame, url: str = "url", n: in
 def weak_training_set(df: DataFrame, mapping: DataFrame, url: str = "url", **check) -> DataFrame:
     """D5 gate -> J6 -> known labels -> non-null label. When the gate
     fails no row is labelled (all stay unlabelled)."""
-    gate = url_tagging_check(df, mapping, url, **check).select("uses_url_tagging")
+    # the gate is a one-row decision over a sample: decide it once
+    gate = materialize(url_tagging_check(df, mapping, url, **check).select("uses_url_tagging"))
     lab = weak_labels(df, mapping, url).crossJoin(bounded_broadcast(gate))
     return (lab.where(F.col("uses_url_tagging") & (F.col("distant_label") != UNKNOWN))
                .withColumn("category_label", F.col("distant_label"))

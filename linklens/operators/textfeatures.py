@@ -73,13 +73,21 @@ def nb_fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
     """Returns (term_logprob, classes):
     term_logprob(label, term, count, log_prob) for terms seen with a class,
     classes(label, n_docs, log_prior, total, unseen_log_prob, vocab_size).
-    log_prob = ln((count + alpha) / (total_c + alpha * |V|))."""
-    tf = term_frequencies(train, doc_id, text)
-    lab = train.select(doc_id, F.col(label).alias("label"))
-    # labels are one per document: join on the document id, both sides keyed by it
-    ct = (tf.join(lab, doc_id).groupBy("label", "term").agg(F.sum("tf").alias("count")))
-    vsize = tf.select("term").distinct().agg(F.count(F.lit(1)).alias("vocab_size"))
-    docs_per = lab.groupBy("label").agg(F.count(F.lit(1)).alias("n_docs"))
+    log_prob = ln((count + alpha) / (total_c + alpha * |V|)).
+
+    The sufficient statistics (label, term) -> count come from one pass over
+    the training rows and are written once; the class table and the
+    log-probabilities are small derivations of them."""
+    tr = train.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"),
+                      F.col(label).alias("label"))
+    ct = (tr.select("label", F.explode(tokens("_text")).alias("term"))
+            .groupBy("label", "term").agg(F.count(F.lit(1)).alias("count")))
+    docs_per = tr.groupBy("label").agg(F.count(F.lit(1)).alias("n_docs"))
+    if materialize:
+        ensure_checkpoint_dir(train.sparkSession)
+        ct = ct.checkpoint(eager=True)
+        docs_per = docs_per.checkpoint(eager=True)
+    vsize = ct.select("term").distinct().agg(F.count(F.lit(1)).alias("vocab_size"))
     totals = ct.groupBy("label").agg(F.sum("count").alias("total"))
     n_all = docs_per.agg(F.sum("n_docs").alias("_N"))
     classes = (docs_per.join(totals, "label", "left").crossJoin(bounded_broadcast(vsize))
@@ -88,18 +96,12 @@ def nb_fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
                                F.coalesce("total", F.lit(0)).alias("total"), "vocab_size")
                        .withColumn("_den", F.col("total") + F.lit(alpha) * F.col("vocab_size"))
                        .withColumn("unseen_log_prob", F.log(F.lit(alpha) / F.col("_den"))))
+    if materialize:
+        classes = classes.checkpoint(eager=True)
     cls = broadcast_if_small(classes.select("label", "_den"))
     tlp = ct.join(cls, "label").select("label", "term", "count",
                                        F.log((F.col("count") + alpha) / F.col("_den")).alias("log_prob"))
-    classes = classes.drop("_den")
-    if materialize:
-        # the fitted model is written once to the shared checkpoint folder:
-        # scoring reuses it in several branches and must not re-plan (or, after
-        # a lost executor, recompute) the whole training lineage
-        ensure_checkpoint_dir(train.sparkSession)
-        classes = classes.checkpoint(eager=True)
-        tlp = tlp.checkpoint(eager=True)
-    return tlp, classes
+    return tlp, classes.drop("_den")
 
 
 def nb_predict(term_logprob: DataFrame, classes: DataFrame, test: DataFrame, doc_id: str = "doc_id",

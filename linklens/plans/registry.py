@@ -1333,7 +1333,10 @@ def q_predict_gbt_embeddings(spark, sf):
 
 def _url_runs(spark, sf, variants: dict, model="log-reg"):
     """Train and score one model per feature column; macro metrics per run."""
-    a = SP.assign_split(L.load_articles(arts(spark, sf), "articles"))
+    from linklens.session import materialize
+    # one written copy of the split article table feeds every run
+    a = materialize(SP.assign_split(L.load_articles(arts(spark, sf), "articles"))
+                    .select("article_id", "category", "netloc", "path", "path_clean", "split"))
     out = None
     for name, col in variants.items():
         d = a.select("article_id", "category", col.alias("text"), "split")
