@@ -1394,7 +1394,9 @@ def keyword_scorer_factory():
     return score
 
 
-@query("batch_score")
+@query("batch_score", with_views("SELECT article_id, category, CASE " + " ".join(
+    f"WHEN contains(lower(coalesce(answer, '')), '{c.lower()}') THEN '{c}'" for c in CATEGORIES)
+    + " END AS prediction FROM ans", ANS))
 def q_batch_score(spark, sf):
     """Caller-supplied scorer over Arrow batches, then E9 success rate."""
     a = answers(spark, sf).withColumnRenamed("answer", "text")
