@@ -84,3 +84,17 @@ def prompt_text(template: str, categories: list[str], text, max_len: int = 2500)
     t = F.col(text) if isinstance(text, str) else text
     filled = F.replace(F.lit(template), F.lit("{categories}"), F.lit(", ".join(categories)))
     return F.replace(filled, F.lit("{text}"), F.substring(t, 1, max_len))
+
+
+def relabel(col, mapping: dict[str, str], keep_unknown: bool = True) -> Column:
+    """Display names through a lookup; unknown values kept (or NULL)."""
+    c = F.col(col) if isinstance(col, str) else col
+    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
+    hit = F.try_element_at(m, c)
+    return F.coalesce(hit, c) if keep_unknown else hit
+
+
+def replace_text(col, old: str, new: str) -> Column:
+    """Substring relabel (e.g. a renamed feature)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.replace(c, F.lit(old), F.lit(new))

@@ -383,3 +383,18 @@ def dataset_comparison(df: DataFrame, by: str = "dataset", domain: str = "publis
     pd_ = category_per_domain_summary(df, domain, y, by).select(
         by, "single_category_domains_share", "records_in_single_category_domains_share")
     return cs.join(sk, by).join(pd_, by)
+
+
+def basic_stats(df: DataFrame) -> DataFrame:
+    """A2: rows, number of columns and the column names."""
+    return df.agg(F.count(F.lit(1)).alias("n_records")).select(
+        "n_records", F.lit(len(df.columns)).cast("long").alias("n_features"),
+        F.lit(",".join(df.columns)).alias("column_names"))
+
+
+def label_codes(df: DataFrame, col: str = "category") -> DataFrame:
+    """P38/M14 (relational form): label -> code in alphabetical order
+    (0-based), as LabelEncoder / StringIndexer(alphabetAsc) assign them.
+    The window runs over the distinct labels only."""
+    labels = df.where(F.col(col).isNotNull()).select(col).distinct()
+    return labels.withColumn("code", (F.dense_rank().over(Window.orderBy(col)) - 1).cast("long"))

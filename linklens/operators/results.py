@@ -126,3 +126,40 @@ def stats_report(df: DataFrame, by: str = "dataset", domain: str = "publisher",
         part = frame.selectExpr(by, f"'{name}' AS section", stack)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def evaluation_topic_runs(articles: DataFrame) -> DataFrame:
+    """Per-topic metrics of every run of the evaluation grid (input of W3)."""
+    base = (articles.groupBy(F.col("language").alias("dataset"), F.col("category").alias("label"),
+                             "noise").agg(F.count(F.lit(1)).alias("n")))
+    grid = F.array(*[F.struct(F.lit(mi).alias("mi"), F.lit(m).alias("model"), F.lit(fi).alias("fi"),
+                              F.lit(f).alias("feature"), F.lit(ci).alias("ci"),
+                              F.lit(c).alias("condition"))
+                     for mi, m in RUN_MODELS for fi, f in RUN_FEATURES for ci, c in RUN_CONDITIONS])
+    x = base.select("label", "noise", "n", F.explode(grid).alias("v")).select("label", "noise", "n", "v.*")
+    keep = 3 + (F.col("mi") * 2 + F.col("fi") + F.col("ci")) % 6
+    pred = (F.when(F.col("noise") < keep, F.col("label"))
+             .when(F.col("noise") % 2 == 0, "PROMO").otherwise("UNSEEN"))
+    keys = ["model", "feature", "condition"]
+    conf = (x.withColumn("prediction", pred).groupBy(*keys, "label", "prediction")
+              .agg(F.sum("n").alias("n")))
+    pt = M.per_topic_metrics(conf, keys)
+    return pt.select(*keys, F.col("label").alias("topic"), F.round("f1", 9).alias("f1"), "support")
+
+
+def best_per_topic(topic_runs: DataFrame) -> DataFrame:
+    """Best (model, feature, condition) per topic by f1 (ties by keys)."""
+    return topn_per_group(topic_runs, "topic", "f1", 1).drop("rank")
+
+
+def url_type_extremes(struct: DataFrame, combined: DataFrame) -> DataFrame:
+    """The most common URL type and the dominant type with the best mean f1."""
+    common = (struct.groupBy("url_type").agg(F.count(F.lit(1)).alias("n"))
+                    .orderBy(F.col("n").desc(), "url_type").limit(1)
+                    .select(F.lit("most_common").alias("kind"), F.col("url_type").alias("url_type"),
+                            F.col("n").cast("double").alias("value")))
+    best = (combined.groupBy("dominant_url_type").agg(F.avg("f1").alias("f1_mean"))
+                    .orderBy(F.col("f1_mean").desc(), "dominant_url_type").limit(1)
+                    .select(F.lit("best_mean_f1").alias("kind"), F.col("dominant_url_type").alias("url_type"),
+                            F.col("f1_mean").alias("value")))
+    return common.unionByName(best)

@@ -1402,3 +1402,82 @@ def q_batch_score(spark, sf):
     a = answers(spark, sf).withColumnRenamed("answer", "text")
     scored = MD.batch_score(a, keyword_scorer_factory, "text", ("article_id", "category"))
     return scored
+
+
+# ------------------------------------------------------ remaining inventory ----
+
+@query("basic_stats", with_views("""
+SELECT count(*) AS n_records, CAST(8 AS BIGINT) AS n_features,
+       'article_id,url,title,subtitle,category,publisher,language,noise' AS column_names FROM articles"""))
+def q_basic_stats(spark, sf):
+    return D.basic_stats(arts(spark, sf).select(*ARTICLE_COLS))
+
+
+@query("label_codes", with_views("""
+SELECT category, CAST(dense_rank() OVER (ORDER BY category) - 1 AS BIGINT) AS code
+FROM (SELECT DISTINCT category FROM articles WHERE category IS NOT NULL)"""))
+def q_label_codes(spark, sf):
+    return D.label_codes(arts(spark, sf), "category")
+
+
+TOPIC_RUNS = (
+    "tconf AS (SELECT model, feature, condition, label, CASE WHEN noise < 3 + (mi * 2 + fi + ci) % 6 "
+    "THEN label WHEN noise % 2 = 0 THEN 'PROMO' ELSE 'UNSEEN' END AS prediction, sum(n) AS n "
+    "FROM base, v GROUP BY ALL)",
+    G.macro_ctes("tconf", ["model", "feature", "condition"], "tmac").strip(),
+    "truns AS (SELECT model, feature, condition, label AS topic, round(f1, 9) AS f1, support "
+    "FROM tmac_lab WHERE support > 0)",
+)
+
+
+@query("best_per_topic", runs_sql("""
+SELECT model, feature, condition, topic, f1, support FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY f1 DESC, model, feature, condition) AS rk FROM truns)
+WHERE rk = 1""", *TOPIC_RUNS))
+def q_best_per_topic(spark, sf):
+    return R.best_per_topic(R.evaluation_topic_runs(arts(spark, sf)))
+
+
+@query("url_type_extremes", struct_sql("""
+SELECT * FROM (SELECT 'most_common' AS kind, url_type, CAST(count(*) AS DOUBLE) AS value FROM struct
+               GROUP BY url_type ORDER BY count(*) DESC, url_type LIMIT 1)
+UNION ALL
+SELECT * FROM (SELECT 'best_mean_f1' AS kind, dominant_url_type AS url_type, avg(f1) AS value FROM combined
+               GROUP BY 2 ORDER BY avg(f1) DESC, dominant_url_type LIMIT 1)""", combined=True))
+def q_url_type_extremes(spark, sf):
+    return R.url_type_extremes(structure_frame(spark, sf), combined_frame(spark, sf))
+
+
+_CM = ["accuracy", "f1", "path_length_mean", "num_segments_mean", "is_semantic_mean", "is_id_heavy_mean"]
+
+
+@query("structure_correlation_matrix", struct_sql("\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS r FROM combined" for a in _CM for b in _CM),
+    combined=True))
+def q_structure_correlation_matrix(spark, sf):
+    return ST.correlation_matrix(combined_frame(spark, sf), _CM)
+
+
+SECTION_NB = [
+    ("sa", f"SELECT article_id, url, title, category, {SPLIT} AS split FROM articles"),
+    ("str", f"SELECT a.article_id AS doc_id, a.title AS text, m.category AS label FROM sa a "
+            f"JOIN m ON {S.first_section('a.url')} = m.slug WHERE a.split = 'train'"),
+    ("ste", "SELECT article_id AS doc_id, title AS text, category AS label FROM sa WHERE split = 'test'"),
+]
+
+
+@query("section_nb_predict", slug_sql(
+    ",\n" + G.nb_ctes("str", "ste") + """
+SELECT ste.doc_id AS article_id, ste.label, nb_pred.prediction FROM ste JOIN nb_pred USING (doc_id)""",
+    *SECTION_NB))
+def q_section_nb_predict(spark, sf):
+    """Section-join weak labels on the training split train a naive
+    Bayes text classifier that scores the test split."""
+    a = SP.assign_split(arts(spark, sf).select("article_id", "url", "title", "category"))
+    pairs = SL.section_label_join(a.where(F.col("split") == "train"), smap(spark), "url", "title")
+    tlp, cls = TF.nb_fit(pairs.select(F.col("article_id").alias("doc_id"), F.col("x").alias("text"),
+                                      F.col("y").alias("label")))
+    te = a.where(F.col("split") == "test").select(F.col("article_id").alias("doc_id"),
+                                                  F.col("title").alias("text"), F.col("category").alias("label"))
+    return (te.join(TF.nb_predict(tlp, cls, te), "doc_id")
+              .select(F.col("doc_id").alias("article_id"), "label", "prediction"))
