@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linklens.session import bounded_broadcast, broadcast_if_small
+from linklens.session import bounded_broadcast, broadcast_if_small, materialize
 
 SEED = 20240823
 
@@ -63,15 +63,15 @@ def stratified_subset(df: DataFrame, size: int, label: str = "label", key: str =
         r = F.row_number().over(Window.orderBy((exact - F.floor(exact)).desc(), F.col(label)))
         q = q.withColumn("_quota", F.col("_quota") + F.when(
             (r <= short) & (F.col("_quota") < F.col("_nc")), 1).otherwise(0))
-    q = q.withColumn("_sum", F.sum("_quota").over(Window.partitionBy()))
+    # the per-class quota table has one row per class: write it once and read
+    # the one scalar that decides which plan to build
+    q = materialize(q.select(label, "_quota"))
+    cols = df.columns
+    if mode == "reference":
+        total_quota = q.agg(F.sum("_quota")).first()[0] or 0
+        if total_quota < size:
+            return d.orderBy("_h", key).limit(size).select(*cols)
     ranked = d.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy("_h", key)))
     ranked = ranked.where(F.col("_rn") <= size)
-    strat = (ranked.join(broadcast_if_small(q.select(label, "_quota", "_sum")), label)
-                   .where(F.col("_rn") <= F.col("_quota")))
-    cols = df.columns
-    if mode != "reference":
-        return strat.select(*cols)
-    use_plain = F.broadcast(q.agg(F.first("_sum").alias("_s")).where(F.col("_s") < size))
-    use_strat = F.broadcast(q.agg(F.first("_sum").alias("_s")).where(F.col("_s") >= size))
-    plain = d.orderBy("_h", key).limit(size).crossJoin(use_plain).select(*cols)
-    return strat.crossJoin(use_strat).select(*cols).unionByName(plain)
+    return (ranked.join(broadcast_if_small(q), label)
+                  .where(F.col("_rn") <= F.col("_quota")).select(*cols))
