@@ -314,8 +314,11 @@ def domain_concentration(df: DataFrame, url: str = "url", top: int = 10) -> Data
     totals, top-5 and top-10 shares by rank (percent), and the top list.
     One scan builds the per-domain counts; the rest reads that aggregate."""
     d = df.select(U.domain_or_unknown(url).alias("domain"))
-    d = d.where((F.col("domain") != "unknown") & (F.col("domain") != ""))
+    # dropping 'unknown'/'' keys after grouping equals dropping the rows
+    # before it; applied to the written aggregate, the filter cannot be pushed
+    # back onto (and re-evaluate) the URL expression per row
     dc = materialize(d.groupBy("domain").agg(F.count(F.lit(1)).alias("n")))
+    dc = dc.where((F.col("domain") != "unknown") & (F.col("domain") != ""))
     k = max(top, 10)
     # the top list is a TakeOrdered of k rows; totals come from one small agg
     topk = dc.orderBy(F.col("n").desc(), F.col("domain")).limit(k)

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linklens.session import bounded_broadcast, broadcast_if_small, ensure_checkpoint_dir
+from linklens.session import bounded_broadcast, broadcast_if_small
+from linklens.session import materialize as materialize_table
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -84,9 +85,8 @@ def nb_fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
             .groupBy("label", "term").agg(F.count(F.lit(1)).alias("count")))
     docs_per = tr.groupBy("label").agg(F.count(F.lit(1)).alias("n_docs"))
     if materialize:
-        ensure_checkpoint_dir(train.sparkSession)
-        ct = ct.checkpoint(eager=True)
-        docs_per = docs_per.checkpoint(eager=True)
+        ct = materialize_table(ct)
+        docs_per = materialize_table(docs_per)
     vsize = ct.select("term").distinct().agg(F.count(F.lit(1)).alias("vocab_size"))
     totals = ct.groupBy("label").agg(F.sum("count").alias("total"))
     n_all = docs_per.agg(F.sum("n_docs").alias("_N"))
@@ -97,7 +97,7 @@ def nb_fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
                        .withColumn("_den", F.col("total") + F.lit(alpha) * F.col("vocab_size"))
                        .withColumn("unseen_log_prob", F.log(F.lit(alpha) / F.col("_den"))))
     if materialize:
-        classes = classes.checkpoint(eager=True)
+        classes = materialize_table(classes)
     cls = broadcast_if_small(classes.select("label", "_den"))
     tlp = ct.join(cls, "label").select("label", "term", "count",
                                        F.log((F.col("count") + alpha) / F.col("_den")).alias("log_prob"))

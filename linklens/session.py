@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,8 +91,13 @@ def bounded_broadcast(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a small shared sub-result (an aggregate read by several branches
-    of one query) to the checkpoint folder once. Reliable checkpoints survive
-    lost executors; the lineage above them is cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a shared sub-result (e.g. a small aggregate read by several
+    branches of one query, or a fitted model's statistics) once as a parquet
+    table in the shared folder named by spark.checkpoint.dir, and read it
+    back. One computation (an eager RDD checkpoint of an unpersisted plan
+    computes it twice), the lineage is cut, the files survive lost executors,
+    and the read-back carries exact size statistics for broadcast checks."""
+    root = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{root.rstrip('/')}/linklens-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
