@@ -45,18 +45,40 @@ def url_type_distribution(struct: DataFrame) -> DataFrame:
     return struct.groupBy("url_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def structure_by_publisher(struct: DataFrame, publisher: str = "publisher") -> DataFrame:
-    """Mean and sample std of the three lengths, mean of four flags."""
-    aggs = []
+def publisher_profile(struct: DataFrame, publisher: str = "publisher") -> DataFrame:
+    """A24 + W6 in one pass: group by (publisher, url_type) keeping counts,
+    sums and sums of squares, then fold to per-publisher mean and sample std
+    of the three lengths, mean of four flags, and the dominant URL type
+    (count desc, type asc). One shuffle of partially aggregated rows."""
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for c in STRUCT_MEASURES:
+        x = F.col(c).cast("double")
+        aggs += [F.sum(x).alias(f"_s_{c}"), F.sum(x * x).alias(f"_q_{c}")]
+    aggs += [F.sum(F.col(c).cast("long")).alias(f"_s_{c}") for c in STRUCT_FLAGS]
+    g = struct.where(F.col(publisher).isNotNull()).groupBy(publisher, "url_type").agg(*aggs)
+    sums = [F.sum(f"_s_{c}").alias(f"_s_{c}") for c in STRUCT_MEASURES + STRUCT_FLAGS]
+    sums += [F.sum(f"_q_{c}").alias(f"_q_{c}") for c in STRUCT_MEASURES]
+    p = g.groupBy(publisher).agg(
+        F.sum("_n").alias("_n"), *sums,
+        F.min_by("url_type", F.struct(-F.col("_n"), F.col("url_type"))).alias("dominant_url_type"))
+    n = F.col("_n").cast("double")
+    out = []
     for c in STRUCT_MEASURES:
-        mean, std = F.avg(c), F.stddev_samp(c)
+        mean = F.col(f"_s_{c}") / n
+        var = F.greatest((F.col(f"_q_{c}") - F.col(f"_s_{c}") * F.col(f"_s_{c}") / n) / (n - 1), F.lit(0.0))
+        std = F.when(n > 1, F.sqrt(var))
         if c == "avg_segment_length":
-            # a mean of per-URL ratios: fix it at 9 decimals so the result does
+            # a mean of per-URL ratios: fixed at 9 decimals so the value does
             # not depend on the summation order across tasks
             mean, std = F.round(mean, 9), F.round(std, 9)
-        aggs += [mean.alias(f"{c}_mean"), std.alias(f"{c}_std")]
-    aggs += [F.avg(F.col(c).cast("double")).alias(f"{c}_mean") for c in STRUCT_FLAGS]
-    return struct.where(F.col(publisher).isNotNull()).groupBy(publisher).agg(*aggs)
+        out += [mean.alias(f"{c}_mean"), std.alias(f"{c}_std")]
+    out += [(F.col(f"_s_{c}") / n).alias(f"{c}_mean") for c in STRUCT_FLAGS]
+    return p.select(publisher, *out, "dominant_url_type")
+
+
+def structure_by_publisher(struct: DataFrame, publisher: str = "publisher") -> DataFrame:
+    """Mean and sample std of the three lengths, mean of four flags."""
+    return publisher_profile(struct, publisher).drop("dominant_url_type")
 
 
 def dominant_url_type(struct: DataFrame, publisher: str = "publisher") -> DataFrame:
@@ -70,11 +92,10 @@ def dominant_url_type(struct: DataFrame, publisher: str = "publisher") -> DataFr
 def structure_performance(struct: DataFrame, domain_metrics: DataFrame,
                           publisher: str = "publisher") -> DataFrame:
     """Per-publisher quality joined with structure stats and the
-    dominant URL type (inner joins on publisher; all three are per-publisher
-    aggregates, so each join is between frames of one row per publisher)."""
+    dominant URL type; both come from one pass over the structure rows, and
+    the join is between two per-publisher aggregates."""
     perf = domain_metrics.select(F.col("domain").alias(publisher), *QUALITY, "support")
-    return (perf.join(structure_by_publisher(struct, publisher), publisher)
-                .join(dominant_url_type(struct, publisher), publisher))
+    return perf.join(publisher_profile(struct, publisher), publisher)
 
 
 def publisher_overlap(perf: DataFrame, struct: DataFrame, publisher: str = "publisher") -> DataFrame:
