@@ -71,7 +71,25 @@ def stratified_subset(df: DataFrame, size: int, label: str = "label", key: str =
         total_quota = q.agg(F.sum("_quota")).first()[0] or 0
         if total_quota < size:
             return d.orderBy("_h", key).limit(size).select(*cols)
-    ranked = d.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy("_h", key)))
-    ranked = ranked.where(F.col("_rn") <= size)
+    ranked = top_per_group(d, label, ["_h", key], size)
     return (ranked.join(broadcast_if_small(q), label)
                   .where(F.col("_rn") <= F.col("_quota")).select(*cols))
+
+
+def top_per_group(df: DataFrame, group: str, order: list[str], k: int, salts: int = 64) -> DataFrame:
+    """Rows ranked 1..k within each group (ascending ``order``), with the rank
+    in ``_rn``. Up to spark.sql.optimizer.windowGroupLimitThreshold Spark cuts
+    every task to k rows per group before the shuffle. Beyond it the group is
+    first split into ``salts`` buckets by an independent hash and ranked per
+    (group, bucket), so a group holding a third of all rows is spread over
+    many tasks; the union of the buckets' top k holds the group's top k, and
+    the final ranking runs on at most k * salts rows per group."""
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    w = Window.partitionBy(group).orderBy(*order)
+    if k <= threshold:
+        return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salts))
+    first = (df.withColumn("_salt", salt)
+               .withColumn("_rs", F.row_number().over(Window.partitionBy(group, "_salt").orderBy(*order)))
+               .where(F.col("_rs") <= k).drop("_salt", "_rs"))
+    return first.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)

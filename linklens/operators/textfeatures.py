@@ -110,14 +110,17 @@ def nb_predict(term_logprob: DataFrame, classes: DataFrame, test: DataFrame, doc
     log_prior + sum_t tf * log_prob(c, t) over in-vocabulary terms; ties go
     to the smallest label (first in sorted order)."""
     tf = term_frequencies(test, doc_id, text)
-    vocab = term_logprob.select("term").distinct()
+    # model-side tables are broadcast when their size check passes: test
+    # tokens are heavily skewed on common terms, and a broadcast join keeps
+    # them where they are
+    vocab = broadcast_if_small(term_logprob.select("term").distinct())
     tfv = tf.join(vocab, "term", "left_semi")
     n_in = tfv.groupBy(doc_id).agg(F.sum("tf").alias("_nv"))
     # seen (class, term) pairs add tf * (log_prob - unseen_log_prob) on top of
     # the unseen baseline that every in-vocabulary token gets
     delta = (term_logprob.join(broadcast_if_small(classes.select("label", "unseen_log_prob")), "label")
                          .select("label", "term", (F.col("log_prob") - F.col("unseen_log_prob")).alias("_d")))
-    seen = (tfv.join(delta, "term").groupBy(doc_id, "label")
+    seen = (tfv.join(broadcast_if_small(delta), "term").groupBy(doc_id, "label")
                .agg(F.sum(F.col("tf") * F.col("_d")).alias("_s")))
     ids = test.select(doc_id).distinct().join(n_in, doc_id, "left")
     # every document is scored against every class; classes are the label set

@@ -128,3 +128,15 @@ def test_topn_per_group_and_pivot(spark):
     assert [r.model for r in top] == ["m7", "m6", "m5"]
     piv = R.f1_pivot(res.withColumn("throughput", F.lit(1.0))).collect()
     assert len(piv) == 8 and set(piv[0].asDict()) == {"dataset", "model", "title", "url_raw", "url_path_raw"}
+
+
+def test_top_per_group_salted_matches_window(spark):
+    df = spark.range(30000).select(F.col("id"), F.when(F.col("id") % 10 < 6, "hot").otherwise("cold").alias("g"),
+                                   F.md5(F.col("id").cast("string")).alias("h"))
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+    try:
+        salted = {(r.g, r.id, r._rn) for r in SP.top_per_group(df, "g", ["h", "id"], 50).collect()}
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    plain = {(r.g, r.id, r._rn) for r in SP.top_per_group(df, "g", ["h", "id"], 50).collect()}
+    assert salted == plain and len(plain) == 100
