@@ -86,6 +86,19 @@ def model_summary(results: DataFrame) -> DataFrame:
         F.stddev_samp("throughput").alias("throughput_std"))
 
 
+def model_perf_summary(results: DataFrame, decimals: int | None = 4) -> DataFrame:
+    """f1, accuracy and throughput mean/std per model, rounded half-even
+    like the reference's round(4)."""
+    out = results.groupBy("model").agg(
+        F.avg("f1").alias("f1_mean"), F.stddev_samp("f1").alias("f1_std"),
+        F.avg("accuracy").alias("accuracy_mean"), F.stddev_samp("accuracy").alias("accuracy_std"),
+        F.avg("throughput").alias("throughput_mean"), F.stddev_samp("throughput").alias("throughput_std"))
+    if decimals is not None:
+        for c in out.columns[1:]:
+            out = out.withColumn(c, F.bround(c, decimals))
+    return out
+
+
 def feature_summary(results: DataFrame) -> DataFrame:
     """f1 mean/std per feature, best first."""
     return (results.groupBy("feature").agg(F.avg("f1").alias("f1_mean"),

@@ -1481,3 +1481,25 @@ def q_section_nb_predict(spark, sf):
                                                   F.col("title").alias("text"), F.col("category").alias("label"))
     return (te.join(TF.nb_predict(tlp, cls, te), "doc_id")
               .select(F.col("doc_id").alias("article_id"), "label", "prediction"))
+
+
+@query("accuracy", pred_sql("""
+SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy FROM predictions"""))
+def q_accuracy(spark, sf):
+    """E10."""
+    return M.accuracy(preds(spark, sf))
+
+
+@query("best_per_dataset", runs_sql("""
+SELECT * EXCLUDE (rank) FROM (SELECT *, row_number() OVER (PARTITION BY dataset
+                              ORDER BY f1 DESC, model, feature, condition) AS rank FROM runs) WHERE rank = 1"""))
+def q_best_per_dataset(spark, sf):
+    """The best run per dataset."""
+    return R.topn_per_group(runs(spark, sf), "dataset", "f1", 1).drop("rank")
+
+
+@query("model_perf_summary")
+def q_model_perf_summary(spark, sf):
+    """R6 (rounded half-even to 4 decimals; pytest compares it with the
+    unrounded summary)."""
+    return R.model_perf_summary(runs(spark, sf), 4)

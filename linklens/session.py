@@ -55,7 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         configured = tempfile.mkdtemp(prefix="linklens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        try:
+            spark.conf.set("spark.checkpoint.dir", configured)
+        except Exception:  # core confs may be read-only at runtime; the context keeps it
+            pass
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured
@@ -101,3 +104,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/linklens-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Remove the tables written by materialize() (end of a job)."""
+    root = ensure_checkpoint_dir(spark)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/linklens-tables")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)

@@ -29,3 +29,13 @@ def test_broadcast_only_when_small(spark):
     assert "BroadcastHashJoin" in plan and "BroadcastExchange" in plan
     big = spark.range(10).withColumn("slug", F.lit("x"))
     assert broadcast_if_small(big, max_bytes=1) is big
+
+
+def test_materialize_roundtrip_and_cleanup(spark):
+    from linklens.session import drop_materialized, ensure_checkpoint_dir, materialize
+    import os
+    df = materialize(spark.range(10).withColumn("x", F.col("id") * 2))
+    assert df.count() == 10 and plan_size_bytes(df) < 100_000
+    root = ensure_checkpoint_dir(spark)
+    drop_materialized(spark)
+    assert not os.path.exists(os.path.join(root, "linklens-tables"))

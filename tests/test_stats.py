@@ -140,3 +140,14 @@ def test_top_per_group_salted_matches_window(spark):
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
     plain = {(r.g, r.id, r._rn) for r in SP.top_per_group(df, "g", ["h", "id"], 50).collect()}
     assert salted == plain and len(plain) == 100
+
+
+def test_model_perf_summary_rounding(spark):
+    data = [("en", "a", "title", "with_dates", 0.123456, 0.5, 10.0),
+            ("en", "a", "url_raw", "with_dates", 0.654321, 0.25, 30.0)]
+    res = rows(spark, data, "dataset string, model string, feature string, condition string, "
+                            "f1 double, accuracy double, throughput double")
+    r = R.model_perf_summary(res, 4).first()
+    raw = R.model_perf_summary(res, None).first()
+    assert r.f1_mean == round(raw.f1_mean, 4) and abs(r.f1_std - raw.f1_std) < 1e-4
+    assert r.throughput_mean == 20.0
