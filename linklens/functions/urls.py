@@ -192,8 +192,8 @@ def structure_columns(path, segs=None) -> dict[str, Column]:
     cols["is_semantic"] = F.lower(p).rlike(semantic_re)
     cols["has_category_indicators"] = (n_seg >= 2) & F.coalesce(
         F.lower(F.get(segs, 0)).isin(CATEGORY_FIRST_SEGMENTS), F.lit(False))
-    cols["path_length"] = F.length(p)
-    cols["num_segments"] = n_seg
+    cols["path_length"] = F.length(p).cast("long")
+    cols["num_segments"] = n_seg.cast("long")
     # segment characters are exactly the non-'/' characters of the path
     cols["avg_segment_length"] = F.when(n_seg == 0, F.lit(0.0)).otherwise(
         F.length(F.regexp_replace(p, "/", "")) / n_seg)
@@ -229,10 +229,10 @@ def depth_columns(path, segs=None) -> dict[str, Column]:
     n_other = F.greatest(d - 1, F.lit(0))
     n_num = n_num_all - F.when(last_num, 1).otherwise(0)
     return OrderedDict([
-        ("depth", d),
-        ("other_segments", n_other),
-        ("other_numeric_segments", n_num),
-        ("other_text_segments", n_other - n_num),
+        ("depth", d.cast("long")),
+        ("other_segments", n_other.cast("long")),
+        ("other_numeric_segments", n_num.cast("long")),
+        ("other_text_segments", (n_other - n_num).cast("long")),
         ("last_has_number", F.coalesce(last.rlike(_u(r"\d")), F.lit(False))),
     ])
 

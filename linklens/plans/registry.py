@@ -105,7 +105,8 @@ FROM articles"""))
 def q_path_segments(spark, sf):
     a = arts(spark, sf)
     s = U.path_segments(U.url_path("url"))
-    return a.select("article_id", F.array_join(s, "|").alias("segments"), F.size(s).alias("n_segments"))
+    return a.select("article_id", F.array_join(s, "|").alias("segments"),
+                    F.size(s).cast("long").alias("n_segments"))
 
 
 @query("candidate_slugs", with_views(f"""
@@ -208,7 +209,7 @@ def q_category_counts(spark, sf):
 
 @query("category_summary", with_views("""
 , c AS (SELECT category, count(*) AS n FROM articles WHERE category IS NOT NULL GROUP BY 1)
-SELECT count(*) AS n_categories, sum(n) AS n_records,
+SELECT count(*) AS n_categories, CAST(sum(n) AS BIGINT) AS n_records,
        arg_min(category, (-n, category)) AS most_common,
        arg_max(category, (-n, category)) AS least_common,
        CAST(min(n) AS DOUBLE) / max(n) AS balance_ratio,
@@ -1200,7 +1201,7 @@ def q_tfidf_terms(spark, sf):
 
 @query("term_counts", f"""
 WITH {G.tf_cte('documents', 'doc_id', 'text', 'tf')}
-SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term""")
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term""")
 def q_term_counts(spark, sf):
     return TF.term_counts(docs(spark, sf))
 

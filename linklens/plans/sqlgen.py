@@ -20,9 +20,10 @@ def macro_ctes(conf: str, keys: list[str], name: str = "macro") -> str:
              FROM {conf} GROUP BY {kc}label),
 {name}_p AS (SELECT {kc}prediction AS label, sum(n) AS predicted FROM {conf}
              WHERE prediction IS NOT NULL GROUP BY {kc}prediction),
-{name}_ls AS (SELECT {co}coalesce(t.label, p.label) AS label, coalesce(tp, 0) AS tp,
-                     coalesce(predicted, 0) - coalesce(tp, 0) AS fp,
-                     coalesce(support, 0) - coalesce(tp, 0) AS fn, coalesce(support, 0) AS support
+{name}_ls AS (SELECT {co}coalesce(t.label, p.label) AS label, CAST(coalesce(tp, 0) AS BIGINT) AS tp,
+                     CAST(coalesce(predicted, 0) - coalesce(tp, 0) AS BIGINT) AS fp,
+                     CAST(coalesce(support, 0) - coalesce(tp, 0) AS BIGINT) AS fn,
+                     CAST(coalesce(support, 0) AS BIGINT) AS support
               FROM {name}_t t FULL OUTER JOIN {name}_p p ON {on}),
 {name}_pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision,
                         CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall
