@@ -30,8 +30,11 @@ def value_counts(df: DataFrame, col: str, by=()) -> DataFrame:
     """A4: (by.., col, n, share); null keys dropped, share over non-null rows."""
     by = _keys(by)
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by)
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(w))
+    # totals per group are a small aggregate joined back (broadcast when the
+    # check passes); an unpartitioned window would pull every key into one task
+    tot = counts.groupBy(*by).agg(F.sum("n").alias("_t"))
+    j = counts.join(broadcast_if_small(tot), by) if by else counts.crossJoin(bounded_broadcast(tot))
+    return j.withColumn("share", F.col("n") / F.col("_t")).drop("_t")
 
 
 def entropy_of_counts(nlogn: Column, total: Column) -> Column:
