@@ -1338,14 +1338,18 @@ def _url_runs(spark, sf, variants: dict, model="log-reg"):
     # one written copy of the split article table feeds every run
     a = materialize(SP.assign_split(L.load_articles(arts(spark, sf), "articles"))
                     .select("article_id", "category", "netloc", "path", "path_clean", "split"))
+    def job(name, col):
+        def run():
+            d = a.select("article_id", "category", col.alias("text"), "split")
+            tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+            m = MD.train_model(tr, model, "text", "category", params={"maxIter": 50})
+            p = MD.predict(m, te, ("article_id", "category")).withColumnRenamed("category", "label")
+            return materialize(M.macro_metrics(M.confusion(p)).withColumn("run", F.lit(name)))
+        return run
+    done = MD.fit_many({name: job(name, col) for name, col in variants.items()})
     out = None
-    for name, col in variants.items():
-        d = a.select("article_id", "category", col.alias("text"), "split")
-        tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-        m = MD.train_model(tr, model, "text", "category", params={"maxIter": 50})
-        p = MD.predict(m, te, ("article_id", "category")).withColumnRenamed("category", "label")
-        mm = M.macro_metrics(M.confusion(p)).withColumn("run", F.lit(name))
-        out = mm if out is None else out.unionByName(mm)
+    for name in variants:
+        out = done[name] if out is None else out.unionByName(done[name])
     return out
 
 
@@ -1371,13 +1375,20 @@ def q_learning_curve(spark, sf):
     """Fixed-size training subsets (reference rule), same test set."""
     ld = labelled_docs(spark, sf).withColumn("label", F.col("label").cast("string"))
     tr, te = ld.where(F.col("split") == "train"), ld.where(F.col("split") != "train")
+    from linklens.session import materialize
+
+    def job(size):
+        def run():
+            sub = tr if size is None else SP.stratified_subset(tr, size, "label", "doc_id", 42)
+            m = MD.train_model(sub, "log-reg", "text", "label")
+            return materialize(M.macro_metrics(M.confusion(MD.predict(m, te))).withColumn(
+                "train_size", F.lit(size if size else -1)).withColumn("n_train", F.lit(sub.count())))
+        return run
+    sizes = (100, 200, None)
+    done = MD.fit_many({str(s_): job(s_) for s_ in sizes})
     out = None
-    for size in (100, 200, None):
-        sub = tr if size is None else SP.stratified_subset(tr, size, "label", "doc_id", 42)
-        m = MD.train_model(sub, "log-reg", "text", "label")
-        mm = M.macro_metrics(M.confusion(MD.predict(m, te))).withColumn(
-            "train_size", F.lit(size if size else -1)).withColumn("n_train", F.lit(sub.count()))
-        out = mm if out is None else out.unionByName(mm)
+    for s_ in sizes:
+        out = done[str(s_)] if out is None else out.unionByName(done[str(s_)])
     return out
 
 
