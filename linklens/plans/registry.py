@@ -408,7 +408,6 @@ combined AS (SELECT p.publisher, p.accuracy, p.precision, p.recall, p.f1, p.n_sa
 
 
 def struct_sql(body: str, combined: bool = False) -> str:
-    extra = [STRUCT_CTE]
     head = with_views("", STRUCT_CTE, views=("predictions",))
     tail = (",\n" + PERF_CTES + "," + SBP) if combined else ""
     return head.rstrip() + tail + "\n" + body
