@@ -270,8 +270,9 @@ def chi2_independence(df: DataFrame, domain: str = "publisher", y: str = "catego
     the non-empty cells: chi2 = N * (sum O^2 / (R C) - 1), dof = (r-1)(c-1),
     Cramer's V; Yates' correction when dof = 1 (2x2, all four cells).
     The p-value comes from a one-row Arrow UDF."""
-    cells = (df.where(F.col(domain).isNotNull() & F.col(y).isNotNull())
-               .groupBy(domain, y).agg(F.count(F.lit(1)).alias("o")))
+    # every statistic below reads the cell counts: count them once
+    cells = materialize(df.where(F.col(domain).isNotNull() & F.col(y).isNotNull())
+                          .groupBy(domain, y).agg(F.count(F.lit(1)).alias("o")))
     rows = cells.groupBy(domain).agg(F.sum("o").alias("r_tot"))
     cols = cells.groupBy(y).agg(F.sum("o").alias("c_tot"))
     dims = rows.agg(F.count(F.lit(1)).alias("r"), F.sum("r_tot").alias("n")).crossJoin(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from linklens.operators import distribution as D
 from linklens.operators import metrics as M
+from linklens.session import materialize
 
 # Evaluation grid of the derived run table: rule-based predictors that keep
 # the true label for a share of rows that depends on (model, feature,
@@ -24,8 +25,10 @@ def evaluation_runs(articles: DataFrame) -> DataFrame:
     The rows are first reduced to (dataset, label, noise) counts, and the
     run grid is expanded on that small aggregate (pre-aggregation before the
     30x fan-out), so the cost is one scan of the article table."""
-    base = (articles.groupBy(F.col("language").alias("dataset"), F.col("category").alias("label"),
-                             "noise").agg(F.count(F.lit(1)).alias("n")))
+    # one scan: the (dataset, label, noise) counts are written once and the
+    # metric and success-rate branches both read them
+    base = materialize(articles.groupBy(F.col("language").alias("dataset"), F.col("category").alias("label"),
+                                        "noise").agg(F.count(F.lit(1)).alias("n")))
     grid = F.array(*[F.struct(F.lit(mi).alias("mi"), F.lit(m).alias("model"), F.lit(fi).alias("fi"),
                               F.lit(f).alias("feature"), F.lit(ci).alias("ci"),
                               F.lit(c).alias("condition"))
@@ -45,10 +48,10 @@ def evaluation_runs(articles: DataFrame) -> DataFrame:
     # metrics are fixed at 9 decimals so that runs with equal quality tie
     # exactly (their averages otherwise differ in the last bits) and top-k
     # ties fall to the key order
-    return mac.join(ok, keys).select(
+    return materialize(mac.join(ok, keys).select(
         *keys, *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
         "n_samples", "success_rate",
-        (F.col("n_samples") / F.col("mi")).alias("throughput"))
+        (F.col("n_samples") / F.col("mi")).alias("throughput")))
 
 
 def topn_per_group(df: DataFrame, by, order: str = "f1", k: int = 5,

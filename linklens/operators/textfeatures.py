@@ -144,7 +144,11 @@ def two_stage_predict(test: DataFrame, train_weak: DataFrame, mapping: DataFrame
     trained = bounded_broadcast(cls.select(F.col("label").alias("_trained")))
     m = mapped_category(test.select(doc_id, text, truth), mapping, text, "_mapped")
     m = (m.join(trained, F.col("_mapped") == F.col("_trained"), "left")
-          .withColumn("_p1", F.when(F.col("_trained").isNotNull(), F.col("_mapped"))).drop("_trained"))
+          .withColumn("_p1", F.when(F.col("_trained").isNotNull(), F.col("_mapped")))
+          .select(doc_id, text, truth, "_p1"))
+    # stage 1 output is read twice (rows left for stage 2, final answer):
+    # write the scored split once
+    m = materialize_table(m)
     rest = m.where(F.col("_p1").isNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     p2 = nb_predict(tlp, cls, rest, "doc_id", "text").withColumnRenamed("doc_id", doc_id)
     return (m.join(p2, doc_id, "left")

@@ -384,7 +384,9 @@ def domain_perf(spark, sf):
 
 
 def combined_frame(spark, sf):
-    return ST.structure_performance(structure_frame(spark, sf), domain_perf(spark, sf))
+    # one row per publisher, read by several branches of the reports below
+    from linklens.session import materialize
+    return materialize(ST.structure_performance(structure_frame(spark, sf), domain_perf(spark, sf)))
 
 
 STRUCT_CTE = ("struct", _structure_sql())
