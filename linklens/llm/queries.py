@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linklens.llm.quality import op9_quality_rules
 from linklens.llm.substring_dedup import op1_substring_dedup
 from linklens.llm.suffix_index import op8_suffix_dedup
+from linklens.llm.token_counts import op5_token_counts
+from linklens.llm.token_orc import op4_token_orc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": lambda spark, d: op1_substring_dedup(_table(spark, d, "documents")),
+    "op4_token_orc": lambda spark, d: op4_token_orc(_table(spark, d, "documents")),
+    "op5_token_counts": lambda spark, d: op5_token_counts(_table(spark, d, "documents")),
     "op8_suffix_dedup": lambda spark, d: op8_suffix_dedup(_table(spark, d, "documents")),
+    "op9_quality_rules": lambda spark, d: op9_quality_rules(
+        _table(spark, d, "documents"), _table(spark, d, "labels")),
 }
 ORACLES: dict[str, str] = {}
