@@ -28,25 +28,32 @@ from pyspark.sql import functions as F
 from linklens.llm.steps import Steps
 from linklens.session import broadcast_if_small
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# runs of the contract's word characters before and after A-Z are lower-cased are the same runs
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()),
-                                F.lit(WORD), F.lit(0))
+def raw_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def exact(words: Column) -> Column:
+    """The words with A-Z lower-cased and nothing else."""
+    return F.transform(words, lambda w: F.translate(w, UPPER, UPPER.lower()))
 
 
 def training(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, words) of the training documents."""
+    """(doc_id, th, words) of the training documents, words as written. The index compares
+    terms in full lower case, which is coarser and quicker; matches are confirmed exactly."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.hash(F.coalesce("text", F.lit(""))).alias("th"), words(F.col("text")).alias("words"))
+                       F.hash(F.coalesce("text", F.lit(""))).alias("th"),
+                       raw_words(F.col("text")).alias("words"))
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """(item_id, no, words): different windows of every item with words."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
-                             words(F.col("text")).alias("all")).filter(F.size("all") > 0)
+                             exact(raw_words(F.col("text"))).alias("all")).filter(F.size("all") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("all") - window, F.lit(0)))
     return (items.select("item_id", "all", F.explode(starts).alias("no"))
             .select("item_id", F.slice("all", F.col("no") + 1, window).alias("words"))
@@ -61,14 +68,15 @@ class PositionalIndex:
         self.window = window
         self.steps = steps or Steps(docs.sparkSession, "postings")
         table = self.steps.table
-        terms = table(windows.select(F.explode("words").alias("term")).distinct(), "terms")
+        terms = table(windows.select(F.explode("words").alias("term"))
+                      .select(F.lower("term").alias("term")).distinct(), "terms")
         found = (docs.transform(training).select(F.explode("words").alias("term"))
-                 .join(broadcast_if_small(terms), "term"))
+                 .select(F.lower("term").alias("term")).join(broadcast_if_small(terms), "term"))
         counts = table(found.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")
 
         # terms of each window, rarest first, with their offset (the first, if repeated)
         placed = (windows.select("item_id", "no", "words", F.posexplode("words").alias("at", "term"))
-                  .join(counts, "term", "left"))
+                  .withColumn("term", F.lower("term")).join(counts, "term", "left"))
         ranked = (placed.groupBy("item_id", "no", "words")
                   .agg(F.sort_array(F.collect_list(F.struct("n", "term", "at"))).alias("order"))
                   .filter(F.col("order")[0]["n"].isNotNull()))
@@ -79,7 +87,7 @@ class PositionalIndex:
         wanted = table(self.windows.select(F.explode("rare.term").alias("term")).distinct(), "wanted")
         self.postings = table(
             docs.transform(training).select("doc_id", "th", F.posexplode("words").alias("pos", "term"))
-            .join(broadcast_if_small(wanted), "term"), "postings")
+            .withColumn("term", F.lower("term")).join(broadcast_if_small(wanted), "term"), "postings")
         self.rarest = rarest
 
     def candidates(self) -> DataFrame:
@@ -142,11 +150,11 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Data
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
                        F.col("doc_id").cast("long").alias("doc_id"),
                        F.hash(F.coalesce(docs["text"], F.lit(""))).alias("th"),
-                       words(docs["text"]).alias("words"))
+                       raw_words(docs["text"]).alias("words"))
     joined = rows.join(broadcast_if_small(places), F.col("doc_id").eqNullSafe(F.col("c_id"))
                        & (F.col("th") == F.col("c_th")), "left")
-    real = F.filter("places", lambda c: F.slice(
-        "all", c["start"] + 1, F.size(c["words"])) == c["words"])
+    real = F.filter("places", lambda c: exact(F.slice(
+        F.col("all"), c["start"] + 1, F.size(c["words"]))) == c["words"])
     hits = F.transform(real, lambda c: F.struct(
         c["item_id"].alias("item_id"), c["start"].alias("start"), F.size(c["words"]).alias("length")))
     return (joined.withColumnRenamed("words", "all")

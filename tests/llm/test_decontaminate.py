@@ -35,11 +35,13 @@ def brute(docs, items):
 def test_brute_force(spark, docs_df, small_docs):
     rng = random.Random(9)
     items = [(i, " ".join(split(small_docs[i][1])[2:2 + rng.choice([5, 13, 20, 40])])) for i in range(1, 30, 3)]
-    items += [(50, "W1, w2"), (51, "w1 w1 w1"), (52, None), (53, " .. "), (54, "Ünï w55"), (55, "ÜNÏ"),
+    items += [(50, "W1, w2"), (51, "w1 w1 w1"), (52, None), (53, " .. "), (54, "Ünï w55"), (55, "ÜNÏ"), (57, "ΑΣ w9"), (58, "ΑΣB"),
               (56, "absent words " * 8), (10, "ab ab ab"), (10, "edit7")]
     df = spark.createDataFrame(items, ITEM)
-    got = sorted((tuple(r) for r in op10_decontaminate(docs_df, df).collect()), key=str)
-    assert got == brute(small_docs, items)
+    odd = [(300, "ας ΑΣ'x ΑΣ. W9 ασ w9 ΑΣ W9", None, None, None), (301, "ΑΣb ΑΣ:B ΑΣB", None, None, None)]
+    more = docs_df.unionByName(spark.createDataFrame(odd, DOC))
+    got = sorted((tuple(r) for r in op10_decontaminate(more, df).collect()), key=str)
+    assert got == brute(small_docs + odd, items)
 
 
 def test_equals_sql(spark):
