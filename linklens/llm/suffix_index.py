@@ -108,7 +108,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 200, gram: int = 48,
               .select("doc_id", "th", "start", "n"))
     copies = steps.table(copies, "copies")
     pending = hulls.select("kmer", "at.*", "val")
-    split = R.resolve(pending, keyed, unit, R.ANYWHERE, (16, 4, 1), steps)
+    split = R.resolve(pending, keyed, unit, R.ANYWHERE, (8, 1), steps)
 
     with_gone = R.covered(keyed, [whole, copies, *split])
 

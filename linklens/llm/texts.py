@@ -1,7 +1,7 @@
 """Numpy views of text columns, used inside mapInArrow tasks.
 
 A column of strings arrives from Spark as one Arrow buffer. ``pieces`` cuts it
-between documents into slices of about a megabyte (a longer document is a slice
+between documents into slices of a quarter megabyte (a longer document is a slice
 of its own, never cut), so the arrays below stay small whatever the batch size.
 Nulls read as empty texts.
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _M = 0x9E3779B97F4A7C15          # odd multiplier of the polynomial
 _M_INV = pow(_M, -1, 1 << 64)
 
