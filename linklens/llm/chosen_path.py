@@ -8,7 +8,9 @@ child) and sends each class to the child of its value there. Nodes of at most
 ``leaf`` classes are compared exhaustively. Larger ones branch on, to ``depth``;
 what is still large then is a crowd of near copies, whose members are first
 compared to the node's smallest class, and then those outside its component to
-all others.
+``heads`` members spread over the node. Links of a crowd that no tree separates
+into a leaf are found through these members or not at all: this is where recall
+depends on the number of trees.
 
 Candidates are dropped only by set sizes and by 8-bit samples of 32 signature
 values that agree in fewer than 12 places (chance under 1e-7 for a linked pair).
@@ -197,33 +199,23 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return two.mapInArrow(run, "a long, b long")
 
 
-def _outliers(large: DataFrame, member: DataFrame, steps: Steps, percent: int) -> DataFrame:
-    """Pairs of large last nodes that cross components: members outside the component
-    of their node's smallest class, with every member of another component."""
+def _outliers(large: DataFrame, member: DataFrame, heads: int, steps: Steps) -> DataFrame:
+    """Second pairs of crowds: members outside the component of their node's smallest
+    class, with ``heads`` spread members of the node (the smallest of each hash class)."""
     rows = steps.table(large.join(member, "sid", "left")
-                       .withColumn("component", F.coalesce("component", "sid")), "crowds")
-    heads = (rows.groupBy("node").agg(F.min(F.struct("sid", "component")).alias("h"))
-             .select("node", F.col("h.component").alias("head")))
-    out = (rows.join(heads, "node").filter("component != head")
-           .select("node", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("sample").alias("s_b"),
-                   F.col("component").alias("c_b")))
-    out = steps.table(out, "outliers")
-    both = (rows.join(out, "node").filter("component != c_b")
-            .select(F.col("sid").alias("a"), "b", "n", "n_b", "sample", "s_b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = _maybe(b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64),
-                        _fixed(b.column(4), np.uint8, SAMPLE), _fixed(b.column(5), np.uint8, SAMPLE), percent)
-            p, q = b.column(0).to_numpy()[ok], b.column(1).to_numpy()[ok]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees: int = 16,
-                    leaf: int = 24, depth: int = 8) -> DataFrame:
+                       .withColumn("component", F.coalesce("component", "sid"))
+                       .select("node", "sid", "component"), "crowds")
+    first = (rows.groupBy("node").agg(F.min(F.struct("sid", "component")).alias("h"))
+             .select("node", F.col("h.component").alias("main")))
+    some = (rows.groupBy("node", F.pmod(F.hash("sid"), F.lit(heads)).alias("part"))
+            .agg(F.min("sid").alias("head")).select("node", "head"))
+    out = rows.join(first, "node").filter("component != main").select("node", "sid")
+    return (out.join(steps.table(some, "heads"), "node").filter("sid != head")
+            .select(F.least("sid", "head").alias("a"), F.greatest("sid", "head").alias("b")).distinct())
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees: int = 12,
+                    leaf: int = 24, depth: int = 3, heads: int = 16) -> DataFrame:
     """(doc_id, th, n_shingles, component_id): documents linked, directly or not, by
     shingle sets of at least ``percent`` % similarity; component_id is their smallest
     doc_id."""
@@ -276,7 +268,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
     member = steps.table(components(links, steps).withColumnRenamed("id", "sid"), "member")
 
     # then whatever still lies between different components
-    rest = pairs.unionByName(stars).unionByName(_outliers(large, member, steps, percent)).distinct()
+    rest = pairs.unionByName(stars).unionByName(_outliers(large, member, heads, steps)).distinct()
     side = member.select(F.col("sid").alias("a"), F.col("component").alias("ca"))
     other = member.select(F.col("sid").alias("b"), F.col("component").alias("cb"))
     rest = (rest.join(first, ["a", "b"], "left_anti").join(side, "a", "left").join(other, "b", "left")

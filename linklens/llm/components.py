@@ -25,11 +25,11 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
         moved = steps.table(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                             .filter("u != v").distinct(), "large")
         # small star: smaller neighbours and the id itself move to the smallest
-        low = steps.table(moved.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = moved.groupBy("u").agg(F.min("v").alias("m"))
         small = (moved.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
         small = steps.table(small, "small")
-        steps.drop(edges, least, moved, low)
+        steps.drop(edges, least, moved)
         edges = small
         state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
                                 F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
