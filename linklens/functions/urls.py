@@ -109,7 +109,8 @@ def registered_host(url, suffixes=None) -> Column:
     before it; NULL otherwise (no host, IP address, unknown suffix)."""
     alts = "|".join(quote_regex(x) for x in (suffixes or PUBLIC_SUFFIXES))
     host = url_host(url)
-    ok = host.rlike(r"^.+\.(?:" + alts + ")$") & ~host.rlike(r"^[0-9.]+$")
+    ok = (host.rlike(r"^.+\.(?:" + alts + ")$") & ~host.rlike("^(?:" + alts + ")$")
+          & ~host.rlike(r"^[0-9.]+$"))
     return F.when(ok, host)
 
 

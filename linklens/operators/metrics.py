@@ -30,17 +30,23 @@ def confusion(pred: DataFrame, keys=(), label: str = "label", prediction: str =
 def _label_stats(conf: DataFrame, keys) -> DataFrame:
     """Per (keys, label) over labels of y_true union y_pred: tp, fp, fn, support."""
     keys = _k(keys)
-    t = conf.groupBy(*keys, "label").agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("tp"))
-    p = (conf.where(F.col("prediction").isNotNull())
-             .groupBy(*keys, F.col("prediction").alias("label")).agg(F.sum("n").alias("predicted")))
-    j = t.join(p, keys + ["label"], "full_outer")
-    tp = F.coalesce("tp", F.lit(0))
-    sup = F.coalesce("support", F.lit(0))
-    pr = F.coalesce("predicted", F.lit(0))
-    return j.select(*keys, "label", tp.alias("tp"), (pr - tp).alias("fp"), (sup - tp).alias("fn"),
-                    sup.alias("support"))
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
+    zero = F.lit(0).cast("long")
+    true = F.struct(F.col("label").alias("label"), F.col("n").alias("support"), hit.cast("long").alias("tp"),
+                    zero.alias("predicted"))
+    said = F.struct(F.col("prediction").alias("label"), zero.alias("support"), zero.alias("tp"),
+                    F.col("n").alias("predicted"))
+    # each cell counts for its true label and, if there is one, for the predicted label;
+    # grouping (not joining) keeps rows with null keys together
+    roles = F.filter(F.array(F.struct(F.lit(True).alias("use"), true.alias("r")),
+                             F.struct(F.col("prediction").isNotNull().alias("use"), said.alias("r"))),
+                     lambda x: x["use"])
+    g = (conf.select(*keys, F.explode(roles).alias("x")).select(*keys, "x.r.*")
+             .groupBy(*keys, "label")
+             .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
+                  F.sum("predicted").alias("predicted")))
+    return g.select(*keys, "label", "tp", (F.col("predicted") - F.col("tp")).alias("fp"),
+                    (F.col("support") - F.col("tp")).alias("fn"), "support")
 
 
 def _with_prf(stats: DataFrame) -> DataFrame:
@@ -81,8 +87,8 @@ def micro_metrics(conf: DataFrame, keys=()) -> DataFrame:
 
 def per_domain_metrics(pred: DataFrame, domain: str = "publisher") -> DataFrame:
     """Per domain accuracy, macro P/R/F1 over that domain's label union,
-    support and number correct."""
-    conf = confusion(pred, [domain])
+    support and number correct. Rows without a domain are left out."""
+    conf = confusion(pred.where(F.col(domain).isNotNull()), [domain])
     m = macro_metrics(conf, [domain])
     return m.select(F.col(domain).alias("domain"), "accuracy", "precision", "recall", "f1",
                     F.col("n_samples").alias("support"),

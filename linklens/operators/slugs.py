@@ -52,11 +52,16 @@ def _fits_in_row(mapping: DataFrame) -> bool:
     return size is not None and size <= DEFAULT_BROADCAST_BYTES // 8
 
 
+def _last_rows(m: DataFrame) -> DataFrame:
+    """One row per slug, (slug, v): of repeated slugs the last row of the file counts."""
+    return m.groupBy("slug").agg(F.max(F.struct("slug_rank", "category")).alias("v"))
+
+
 def _j6_frame(m: DataFrame) -> DataFrame:
-    """One row: the J6 slug regex and slug -> category (lowest rank per slug).
+    """One row: the J6 slug regex and slug -> category (last row per slug).
     Slugs that can never be candidates (<= 2 chars, all digits) are left out."""
     cand = m.where((F.length("slug") > 2) & ~F.col("slug").rlike(r"(?U)^\d+$"))
-    best = cand.groupBy("slug").agg(F.min(F.struct("slug_rank", "category")).alias("v"))
+    best = _last_rows(cand)
     return best.agg(
         F.concat(F.lit(r"(?U)(?<=^|/)\s*("), F.array_join(F.collect_list(_quoted(F.col("slug"))), "|"),
                  F.lit(r")\s*(?=/|$)")).alias("_j6_pat"),
@@ -68,9 +73,13 @@ def _j7_frame(m: DataFrame) -> DataFrame:
     order and lower slug -> category of its lowest rank."""
     low = m.select("slug_rank", F.lower("slug").alias("s"), "category")
     best = low.groupBy("s").agg(F.min(F.struct("slug_rank", "category")).alias("v"))
-    alts = F.array_join(F.collect_list(_quoted(F.col("s"))), "|")
+    # alternatives in mapping order inside a look-ahead: every place is tried, and a match
+    # doesn't hide another that begins later or is longer
+    alts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("v.slug_rank"), F.col("s")))),
+                                    lambda x: _quoted(x["s"])), "|")
     return best.agg(
-        F.concat(F.lit("(?<=/)("), alts, F.lit(")(?=[/?#]|$)|^("), alts, F.lit(")(?=/)")).alias("_j7_pat"),
+        F.concat(F.lit("(?<=/)(?=("), alts, F.lit(")(?:[/?#]|$))")).alias("_j7_pat"),
+        F.concat(F.lit("^(?=("), alts, F.lit(")/)")).alias("_j7_start"),
         F.transform(F.array_sort(F.collect_list(F.struct(F.col("v.slug_rank"), F.col("s")))),
                     lambda x: x["s"]).alias("_j7_ranked"),
         F.map_from_entries(F.collect_list(F.struct(F.col("s"), F.col("v.category")))).alias("_j7_map"))
@@ -114,7 +123,7 @@ def weak_labels(df: DataFrame, mapping: DataFrame, url: str = "url") -> DataFram
     else:
         slugs = U.candidate_slugs(U.url_path(url))
         ex = (df.select("article_id", F.posexplode(slugs).alias("_pos", "_slug"))
-                .join(m.select(F.col("slug").alias("_slug"), "category"), "_slug")
+                .join(_last_rows(m).select(F.col("slug").alias("_slug"), F.col("v.category")), "_slug")
                 .groupBy("article_id")
                 .agg(F.min(F.struct("_pos", "_slug", "category")).alias("_hit")))
         out = (df.join(ex, "article_id", "left")
@@ -132,11 +141,12 @@ def mapped_category(df: DataFrame, mapping: DataFrame, text: str = "text",
     lowest rank."""
     mf = bounded_broadcast(_j7_frame(usable_mapping(mapping)))
     t = F.col(text) if isinstance(text, str) else text
-    found = F.regexp_extract_all(F.lower(t), F.col("_j7_pat"), 0)
+    found = F.concat(F.regexp_extract_all(F.lower(t), F.col("_j7_pat"), F.lit(1)),
+                     F.regexp_extract_all(F.lower(t), F.col("_j7_start"), F.lit(1)))
     first = F.get(F.array_intersect(F.col("_j7_ranked"), found), 0)
     return (df.crossJoin(mf)
               .withColumn(out, F.when(F.size(found) > 0, F.try_element_at(F.col("_j7_map"), first)))
-              .drop("_j7_pat", "_j7_ranked", "_j7_map"))
+              .drop("_j7_pat", "_j7_start", "_j7_ranked", "_j7_map"))
 
 
 def hash_sample(df: DataFrame, key: str = "article_id", n: int = 1000, seed: int = 42) -> DataFrame:

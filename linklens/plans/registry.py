@@ -76,7 +76,8 @@ def q_clean_path(spark, sf):
 
 @query("registered_domain", f"""
 SELECT page_id, url,
-  CASE WHEN h LIKE '%.%' AND NOT regexp_full_match(h, '[0-9.]+') AND (
+  CASE WHEN h LIKE '%.%' AND NOT regexp_full_match(h, '[0-9.]+')
+    AND h NOT IN ({', '.join(f"'{s}'" for s in U.PUBLIC_SUFFIXES)}) AND (
     {' OR '.join(f"ends_with(h, '.{s}')" for s in U.PUBLIC_SUFFIXES)}) THEN h END AS registered_host
 FROM (SELECT page_id, url, lower(regexp_replace(regexp_replace({S.netloc('url')}, '^.*@', ''), ':[0-9]*$', '')) AS h
       FROM pages)""")
@@ -88,7 +89,8 @@ def q_registered_domain(spark, sf):
 @query("domain_extraction_report", f"""
 SELECT count(*) AS total_urls, count(h) AS valid_domains,
        CAST(count(h) AS DOUBLE) / count(*) AS valid_share, count(DISTINCT h) AS unique_domains
-FROM (SELECT CASE WHEN h LIKE '%.%' AND NOT regexp_full_match(h, '[0-9.]+') AND (
+FROM (SELECT CASE WHEN h LIKE '%.%' AND NOT regexp_full_match(h, '[0-9.]+')
+    AND h NOT IN ({', '.join(f"'{s}'" for s in U.PUBLIC_SUFFIXES)}) AND (
     {' OR '.join(f"ends_with(h, '.{s}')" for s in U.PUBLIC_SUFFIXES)}) THEN h END AS h
   FROM (SELECT lower(regexp_replace(regexp_replace({S.netloc('url')}, '^.*@', ''), ':[0-9]*$', '')) AS h FROM pages))""")
 def q_domain_report(spark, sf):
@@ -866,9 +868,9 @@ PROMPT = "Classify the headline into one of: {categories}.\nHeadline: {text}\nCa
 
 @query("prompt_text", with_views(
     "SELECT article_id, replace(replace('" + PROMPT.replace("\n", "' || chr(10) || '") +
-    "', '{categories}', '" + ", ".join(CATEGORIES) + "'), '{text}', substr(title, 1, 30)) AS prompt FROM articles"))
+    "', '{categories}', '" + ", ".join(CATEGORIES) + "'), '{text}', substr(title, 1, 2500)) AS prompt FROM articles"))
 def q_prompt_text(spark, sf):
-    return arts(spark, sf).select("article_id", TX.prompt_text(PROMPT, CATEGORIES, "title", 30).alias("prompt"))
+    return arts(spark, sf).select("article_id", TX.prompt_text(PROMPT, CATEGORIES, "title", 2500).alias("prompt"))
 
 
 # ----------------------------------------------------------------- metrics ----
@@ -1314,7 +1316,7 @@ def q_predict_forest(spark, sf):
 
 @query("predict_gbt")
 def q_predict_gbt(spark, sf):
-    return _doc_model_run(spark, sf, "gbt", params={"maxIter": 20})
+    return _doc_model_run(spark, sf, "gbt")
 
 
 @query("predict_nb_ml")
@@ -1329,7 +1331,7 @@ def q_predict_gbt_embeddings(spark, sf):
     e = MD.embedding_features(SP.assign_split(e, key="vec_id")).withColumn("label", F.col("label").cast("string"))
     tr, te = e.where(F.col("split") == "train"), e.where(F.col("split") != "train")
     m = MD.train_model(tr, "gbt", None, "label", features="features",
-                       params={"maxDepth": 6, "maxIter": 20})
+                       params={"maxDepth": 6})
     return MD.predict(m, te, ("vec_id", "label"))
 
 
@@ -1337,13 +1339,14 @@ def _url_runs(spark, sf, variants: dict, model="log-reg"):
     """Train and score one model per feature column; macro metrics per run."""
     from linklens.session import materialize
     # one written copy of the split article table feeds every run
-    a = materialize(SP.assign_split(L.load_articles(arts(spark, sf), "articles"))
+    # the reference's threshold, which drops no category of the view
+    a = materialize(SP.assign_split(L.load_articles(arts(spark, sf), "articles", min_share=0.02))
                     .select("article_id", "category", "netloc", "path", "path_clean", "split"))
     def job(name, col):
         def run():
             d = a.select("article_id", "category", col.alias("text"), "split")
             tr, te = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-            m = MD.train_model(tr, model, "text", "category", params={"maxIter": 50})
+            m = MD.train_model(tr, model, "text", "category")
             p = MD.predict(m, te, ("article_id", "category")).withColumnRenamed("category", "label")
             return materialize(M.macro_metrics(M.confusion(p)).withColumn("run", F.lit(name)))
         return run
@@ -1385,7 +1388,7 @@ def q_learning_curve(spark, sf):
             return materialize(M.macro_metrics(M.confusion(MD.predict(m, te))).withColumn(
                 "train_size", F.lit(size if size else -1)).withColumn("n_train", F.lit(sub.count())))
         return run
-    sizes = (100, 200, None)
+    sizes = (1000, 3000, None)
     done = MD.fit_many({str(s_): job(s_) for s_ in sizes})
     out = None
     for s_ in sizes:

@@ -16,13 +16,12 @@ DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 def build_session(master: str | None = None, app: str = "linklens",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
-    """Local/test session. On a cluster, pass master=None and let spark-submit decide."""
+    """Session with what correctness needs. A local master also gets partitions and driver
+    memory for one machine; with master=None whatever the job was submitted with stays."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    cores = os.cpu_count() or 8
     conf = {
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or cores),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -30,8 +29,12 @@ def build_session(master: str | None = None, app: str = "linklens",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "16g",
     }
+    if master and master.startswith("local"):
+        conf["spark.sql.shuffle.partitions"] = str(os.cpu_count() or 8)
+        conf["spark.driver.memory"] = "16g"
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
