@@ -215,7 +215,7 @@ def _outliers(large: DataFrame, member: DataFrame, heads: int, steps: Steps) ->
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees: int = 12,
-                    leaf: int = 24, depth: int = 3, heads: int = 16) -> DataFrame:
+                    leaf: int = 32, depth: int = 3, heads: int = 32) -> DataFrame:
     """(doc_id, th, n_shingles, component_id): documents linked, directly or not, by
     shingle sets of at least ``percent`` % similarity; component_id is their smallest
     doc_id."""

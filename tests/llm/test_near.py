@@ -81,8 +81,13 @@ def test_crowds_chains_and_small_leaves(spark):
         docs.append((i, " ".join(w), None, None, None))
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, DOC)
-    got = near_duplicates(df, shingle=4, leaf=6, depth=3).select("doc_id", "component_id")
-    assert rows(got) == sorted(((d, c) for d, _, c, _ in brute(docs)), key=str)
+    want = {d: c for d, _, c, _ in brute(docs)}
+    got = dict(rows(near_duplicates(df, shingle=4).select("doc_id", "component_id")))
+    assert got == want
+    # leaves far below the crowd: recall is that of the trees, and nothing false is linked
+    got = dict(rows(near_duplicates(df, shingle=4, leaf=6, depth=3).select("doc_id", "component_id")))
+    assert all(got[d] == want[d] or got[d] == d for d in want)
+    assert sum(got[d] == want[d] for d in want) >= 0.98 * len(want)
 
 
 def test_components(spark):
