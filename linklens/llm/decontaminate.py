@@ -29,12 +29,13 @@ from linklens.llm.steps import Steps
 from linklens.session import broadcast_if_small
 
 # runs of the contract's word characters before and after A-Z are lower-cased are the same runs
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def raw_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    # split at the gaps: regexp_extract_all copies the text for every match
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
 def exact(words: Column) -> Column:
