@@ -275,10 +275,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
             .filter(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b"))
     rest = steps.table(rest, "rest")
     more = steps.table(_confirm(rest, texts, shingle, percent), "more")
-    member = steps.table(components(links.unionByName(more), steps).withColumnRenamed("id", "sid"), "member")
+    # these links connect whole components, so only components are joined again
+    merged = (more.join(side, "a", "left").join(other, "b", "left")
+              .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    top = components(merged, steps).select(F.col("id").alias("component"), F.col("component").alias("top"))
 
     labelled = steps.table(classes.select("n", "a", "b", "sid", "low").join(member, "sid", "left")
-                           .withColumn("component", F.coalesce("component", "sid")), "labelled")
+                           .withColumn("component", F.coalesce("component", "sid")).join(top, "component", "left")
+                           .withColumn("component", F.coalesce("top", "component")).drop("top"), "labelled")
     lowest = steps.table(labelled.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
     by_set = steps.table(labelled.join(lowest, "component").select("n", "a", "b", "component_id"), "by_set")
     full = (signed.filter("n > 0").select("doc_id", "th", "n", "a", "b").join(by_set, ["n", "a", "b"])

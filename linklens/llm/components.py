@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from linklens.llm.steps import Steps
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
+                           F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame, steps: Steps) -> DataFrame:
     """(id, component) of every id in links (a, b); component is its smallest id.
 
@@ -16,7 +21,7 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
     the edges no longer change, after about log(n) of them."""
     edges = steps.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                         .filter("u != v").distinct(), "edges")
-    before = None
+    before = _state(edges)
     while True:
         # large star: larger neighbours move to the smallest of the neighbourhood
         both = edges.select("u", "v").union(edges.select("v", "u"))
@@ -31,8 +36,7 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
         small = steps.table(small, "small")
         steps.drop(edges, least, moved)
         edges = small
-        state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
-                                F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        state = _state(edges)
         if state == before:
             break
         before = state
