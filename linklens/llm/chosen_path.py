@@ -12,10 +12,11 @@ compared to the node's smallest class, and then those outside its component to
 into a leaf are found through these members or not at all: this is where recall
 depends on the number of trees.
 
-Candidates are dropped only by set sizes and by 8-bit samples of 32 signature
-values that agree in fewer than 12 places (chance under 1e-7 for a linked pair).
-Every link is confirmed on the full shingle sets. Candidates inside a component
-that is already connected need no confirmation, which keeps crowds linear.
+Candidates are dropped only by set sizes and by 8-bit samples of the 64 signature
+values that agree in fewer than 31 places (chance under 1e-7 for a linked pair).
+Every link is confirmed on the full shingle sets: first each class with two
+partners, then whatever lies between components.
+Candidates inside a component need no confirmation, which keeps crowds linear.
 
 Hot nodes are never gathered: sizes come from partially aggregated counts and go
 back by equi-joins that adaptive execution splits.
@@ -41,7 +42,8 @@ from linklens.llm.repeats import keyed
 from linklens.llm.steps import Steps
 
 T = 64                  # signature values
-SAMPLE, AGREE = 32, 12  # 8-bit samples of a candidate, and how many must agree
+AGREE = 31              # of their 8-bit samples, how many must agree
+CACHE_BYTES = 1 << 25   # shingle sets that a confirming task holds at most, besides one pair
 ODD = X.mix((np.arange(T, dtype=X.U) + X.U(77)) * X.U(0x9E3779B97F4A7C15)) | X.U(1)
 
 
@@ -116,7 +118,7 @@ def _branch(rows: DataFrame, trees: int, similarity: float) -> DataFrame:
                 at, node = np.concatenate([at, at[more]]), np.concatenate([node, node[more]])
                 value = sig[at, pick.astype(np.int64)].astype(X.U)
                 child = X.mix(node * X.U(3) + X.mix((pick << X.U(32)) | value))
-                sample = np.ascontiguousarray((sig[:, :SAMPLE] & 0xFF).astype(np.uint8))
+                sample = (sig & 0xFF).astype(np.uint8)
                 raw = [r.tobytes() for r in sample]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(child.view(np.int64)), sid.take(pa.array(at)), n.take(pa.array(at)),
@@ -127,13 +129,30 @@ def _branch(rows: DataFrame, trees: int, similarity: float) -> DataFrame:
 
 
 def _maybe(n1: np.ndarray, n2: np.ndarray, s1: np.ndarray, s2: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs that sizes and samples leave possible."""
-    fits = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-    return fits & ((s1 == s2).sum(axis=1) >= AGREE)
+    """Positions of the pairs that sizes and samples leave possible."""
+    fits = np.flatnonzero(100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
+    return fits[(s1[fits] == s2[fits]).sum(axis=1) >= AGREE]
+
+
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) with a < b of pairs (a, an, asample, b, bn, bsample)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            n1, n2 = (b.column(c).to_numpy().astype(np.int64) for c in (1, 4))
+            ok = _maybe(n1, n2, _fixed(b.column(2), np.uint8, T), _fixed(b.column(5), np.uint8, T), percent)
+            p, q = b.column(0).to_numpy()[ok], b.column(3).to_numpy()[ok]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    return (pairs.select("a", "an", "asample", "b", "bn", "bsample")
+            .mapInArrow(run, "a long, b long").distinct())
 
 
 def _leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) with a < b of all classes that share a small node."""
+    """Candidates (a, b) with a < b of all classes that share a small node."""
 
     def pairs(node, sid, n, sample):
         cut = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
@@ -154,7 +173,7 @@ def _leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
         held = None
         for b in batches:
             now = (b.column(0).to_numpy(), b.column(1).to_numpy(),
-                   b.column(2).to_numpy().astype(np.int64), _fixed(b.column(3), np.uint8, SAMPLE))
+                   b.column(2).to_numpy().astype(np.int64), _fixed(b.column(3), np.uint8, T))
             if held is not None:
                 now = tuple(np.concatenate(x) for x in zip(held, now))
             if not len(now[0]):
@@ -177,41 +196,51 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
            .select("a", "b", "text_a", "text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = {}, 0
         for b in batches:
-            for i in range(0, len(b), 64):
-                part = b.slice(i, 64)
-                sets = {}
-                linked = np.zeros(len(part), dtype=bool)
-                for k in range(len(part)):
-                    found = []
-                    for side in (0, 1):
-                        sid = part.column(side)[k].as_py()
-                        if sid not in sets:
-                            raw = np.frombuffer(part.column(2 + side)[k].as_buffer(), dtype=np.uint8)
-                            sets[sid] = shingles(raw, np.array([0, len(raw)]), size)[0]
-                        found.append(sets[sid])
-                    common = len(np.intersect1d(*found, assume_unique=True))
-                    linked[k] = 100 * common >= percent * (len(found[0]) + len(found[1]) - common)
-                keep = pa.array(linked)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)],
-                                                 names=["a", "b"])
+            linked = np.zeros(len(b), dtype=bool)
+            for k in range(len(b)):
+                found = []
+                for side in (0, 1):
+                    sid = b.column(side)[k].as_py()
+                    one = sets.get(sid)
+                    if one is None:
+                        raw = np.frombuffer(b.column(2 + side)[k].as_buffer(), dtype=np.uint8)
+                        one = shingles(raw, np.array([0, len(raw)]), size)[0]
+                        if held + one.nbytes > CACHE_BYTES:
+                            sets, held = {}, 0
+                        sets[sid] = one
+                        held += one.nbytes
+                    found.append(one)
+                common = len(np.intersect1d(*found, assume_unique=True))
+                linked[k] = 100 * common >= percent * (len(found[0]) + len(found[1]) - common)
+            keep = pa.array(linked)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)],
+                                             names=["a", "b"])
 
     return two.mapInArrow(run, "a long, b long")
 
 
-def _outliers(large: DataFrame, member: DataFrame, heads: int, steps: Steps) -> DataFrame:
-    """Second pairs of crowds: members outside the component of their node's smallest
+def _outliers(large: DataFrame, member: DataFrame, heads: int, percent: int, steps: Steps) -> DataFrame:
+    """Second candidates of crowds: members outside the component of their node's smallest
     class, with ``heads`` spread members of the node (the smallest of each hash class)."""
     rows = steps.table(large.join(member, "sid", "left")
                        .withColumn("component", F.coalesce("component", "sid"))
-                       .select("node", "sid", "component"), "crowds")
+                       .select("node", "sid", "n", "sample", "component"), "crowds")
     first = (rows.groupBy("node").agg(F.min(F.struct("sid", "component")).alias("h"))
              .select("node", F.col("h.component").alias("main")))
     some = (rows.groupBy("node", F.pmod(F.hash("sid"), F.lit(heads)).alias("part"))
-            .agg(F.min("sid").alias("head")).select("node", "head"))
-    out = rows.join(first, "node").filter("component != main").select("node", "sid")
-    return (out.join(steps.table(some, "heads"), "node").filter("sid != head")
-            .select(F.least("sid", "head").alias("a"), F.greatest("sid", "head").alias("b")).distinct())
+            .agg(F.min(F.struct("sid", "n", "sample", "component")).alias("h"))
+            .select("node", F.col("h.sid").alias("a"), F.col("h.n").alias("an"), F.col("h.sample").alias("asample"),
+                    F.col("h.component").alias("head")))
+    out = (rows.join(first, "node").filter("component != main")
+           .select("node", F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("sample").alias("bsample"),
+                   "component"))
+    # sizes decide in the join, samples right after it
+    near = (out.join(steps.table(some, "heads"), "node")
+            .filter(F.col("head") != F.col("component"))
+            .filter(100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")))
+    return _possible(near, percent)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees: int = 12,
@@ -249,11 +278,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
     for f in found[1:]:
         pairs = pairs.unionByName(f)
     pairs = steps.table(pairs.distinct(), "candidates")
-    crowd = large.groupBy("node").agg(F.min("sid").alias("a"))
-    stars = large.join(crowd, "node").filter("sid != a").select("a", F.col("sid").alias("b")).distinct()
-    stars = steps.table(stars, "stars")
+    crowd = (large.groupBy("node").agg(F.min(F.struct("sid", "n", "sample")).alias("h"))
+             .select("node", F.col("h.sid").alias("a"), F.col("h.n").alias("an"), F.col("h.sample").alias("asample")))
+    stars = (large.join(crowd, "node").filter("sid != a")
+             .withColumnsRenamed({"sid": "b", "n": "bn", "sample": "bsample"}))
+    stars = steps.table(_possible(stars, percent), "stars")
 
-    # first the two smallest partners of each class, which connect most of a component
+    # first the smallest and one other partner of each class, which connect much of a component
     nearest = (pairs.unionByName(stars).groupBy("b")
                .agg(F.min("a").alias("a1"), F.max_by("a", F.xxhash64("a", "b")).alias("a2")))
     first = nearest.select(F.explode(F.array_distinct(F.array("a1", "a2"))).alias("a"), "b")
@@ -268,7 +299,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
     member = steps.table(components(links, steps).withColumnRenamed("id", "sid"), "member")
 
     # then whatever still lies between different components
-    rest = pairs.unionByName(stars).unionByName(_outliers(large, member, heads, steps)).distinct()
+    rest = pairs.unionByName(stars).unionByName(_outliers(large, member, heads, percent, steps))
+    rest = rest.select("a", "b").distinct()
     side = member.select(F.col("sid").alias("a"), F.col("component").alias("ca"))
     other = member.select(F.col("sid").alias("b"), F.col("component").alias("cb"))
     rest = (rest.join(first, ["a", "b"], "left_anti").join(side, "a", "left").join(other, "b", "left")

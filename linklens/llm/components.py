@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from linklens.llm.steps import Steps
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")),
-                           F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every id has one smaller neighbour or is the smaller end of all its edges."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")),
+                                          F.struct(F.col("v").alias("id"), F.lit(0).alias("up")))).alias("e"))
+    ids = ends.groupBy("e.id").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("low"))
+    return not ids.agg(F.sum(F.when((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("low") == 0)), 1))).first()[0]
 
 
 def components(links: DataFrame, steps: Steps) -> DataFrame:
@@ -18,11 +21,10 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
 
     Each round joins ids to the smallest neighbour found by a partially aggregated
     groupBy, so no id's neighbours are ever gathered in one row. Rounds stop when
-    the edges no longer change, after about log(n) of them."""
+    the edges are stars, after about log(n) of them."""
     edges = steps.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                         .filter("u != v").distinct(), "edges")
-    before = _state(edges)
-    while True:
+    while not _stars(edges):
         # large star: larger neighbours move to the smallest of the neighbourhood
         both = edges.select("u", "v").union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -36,9 +38,5 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
         small = steps.table(small, "small")
         steps.drop(edges, least, moved)
         edges = small
-        state = _state(edges)
-        if state == before:
-            break
-        before = state
     return (edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
             .union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct())
