@@ -8,14 +8,16 @@ child) and sends each class to the child of its value there. Nodes of at most
 ``leaf`` classes are compared exhaustively. Larger ones branch on, to ``depth``;
 what is still large then is a crowd of near copies, whose members are first
 compared to the node's smallest class, and then those outside its component to
-``heads`` members spread over the node. Links of a crowd that no tree separates
-into a leaf are found through these members or not at all: this is where recall
-depends on the number of trees.
-
-Candidates are dropped only by set sizes and by 8-bit samples of the 64 signature
-values that agree in fewer than 31 places (chance under 1e-7 for a linked pair).
+``heads`` members spread over the node. These members only join most of a crowd
+cheaply: what still lies in different components is joined exactly, by the
+shingles that two linked sets must share among their first in an order common to
+all sets, rare ones first (``_exact_rest``).
+
+Tree and crowd candidates are dropped only by set sizes and by 8-bit samples of the
+64 signature values that agree in fewer than 31 places (chance under 1e-7 for a
+linked pair); those of the exact rest by sizes and positions alone.
 Every link is confirmed on the full shingle sets: first each class with two
-partners, then whatever lies between components.
+partners, then whatever lies between components, then the exact rest.
 Candidates inside a component need no confirmation, which keeps crowds linear.
 
 Hot nodes are never gathered: sizes come from partially aggregated counts and go
@@ -43,6 +45,7 @@ from linklens.llm.steps import Steps
 
 T = 64                  # signature values
 AGREE = 31              # of their 8-bit samples, how many must agree
+HOT = 1 << 18           # shingles whose counts every task holds; the others come first in the order
 CACHE_BYTES = 1 << 25   # shingle sets that a confirming task holds at most, besides one pair
 ODD = X.mix((np.arange(T, dtype=X.U) + X.U(77)) * X.U(0x9E3779B97F4A7C15)) | X.U(1)
 
@@ -243,6 +246,79 @@ def _outliers(large: DataFrame, member: DataFrame, heads: int, percent: int, ste
     return _possible(near, percent)
 
 
+def _counts(texts: DataFrame, size: int) -> DataFrame:
+    """(shingle, c): in how many of the texts (sid, text) a shingle is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, off in X.pieces(batch.column(1)):
+                sh, c = np.unique(shingles(data, off, size)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(c)], names=["shingle", "c"])
+
+    return (texts.select("sid", "text").mapInArrow(run, "shingle long, c long")
+            .groupBy("shingle").agg(F.sum("c").alias("c")))
+
+
+def _prefixes(texts: DataFrame, size: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(shingle, sid, n, pos) of the first shingles of each text, as many as a partner of
+    the smallest possible size needs; ordered by the count of hot ones and the shingle."""
+    known = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, count = known.value
+        for batch in batches:
+            for row, data, off in X.pieces(batch.column(1)):
+                sh, text = shingles(data, off, size)
+                c = np.zeros(len(sh), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, sh), len(keys) - 1)
+                    c = np.where(keys[at] == sh, count[at], 0)
+                order = np.lexsort((sh, c, text))
+                sh, text = sh[order], text[order]
+                n = np.bincount(text, minlength=len(off) - 1)
+                pos = np.arange(len(sh)) - (np.cumsum(n) - n)[text]
+                keep = np.flatnonzero(pos <= n[text] - -(-percent * n[text] // 100))
+                sh, text, pos = sh[keep], text[keep], pos[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sh.view(np.int64)), batch.column(0).slice(row).take(pa.array(text)),
+                     pa.array(n[text].astype(np.int32)), pa.array(pos.astype(np.int32))],
+                    names=["shingle", "sid", "n", "pos"])
+
+    return texts.select("sid", "text").mapInArrow(run, "shingle long, sid long, n int, pos int")
+
+
+def _exact_rest(crowd: DataFrame, texts: DataFrame, size: int, percent: int, rare: int, steps: Steps) -> DataFrame:
+    """Candidates (a, b) with a < b: every linked pair of crowd classes (sid, component) in
+    different components is one of them.
+
+    Linked sets of m <= n shingles share o = percent (m + n) / (100 + percent) of them, so their
+    first common one in any common order is at most at place m - o of the one and n - o of the other.
+    The smaller set is looked up by its first m - 2 percent m / (100 + percent) places only, which is
+    what a crowd below the threshold differs in. At a shingle, the rows of its largest component
+    meet only those of others."""
+    texts = texts.join(crowd.select("sid"), "sid")
+    # the order decides only how many candidates there are
+    top = (_counts(texts, size).filter(F.col("c") > rare).orderBy(F.desc("c"), "shingle").limit(HOT)
+           .toPandas().to_numpy(dtype=np.int64).reshape(-1, 2))
+    keys = top[:, 0].copy().view(X.U)
+    order = np.argsort(keys)
+    rows = steps.table(_prefixes(texts, size, percent, (keys[order], top[order, 1].copy())).join(crowd, "sid"),
+                       "prefixes")
+    parts = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = (parts.groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("k"))
+            .filter("k > 1").select("shingle", F.col("m.component").alias("main")))
+    rows = steps.table(rows.join(main, "shingle").withColumn("out", F.col("component") != F.col("main"))
+                       .drop("main"), "meeting")
+    probe = rows.select("shingle", *[F.col(c).alias(f"p_{c}") for c in ("sid", "n", "pos", "component", "out")])
+    index = rows.filter(f"pos <= n - ceil({2 * percent} * n / {100 + percent})")
+    least = f"ceil({percent} * (n + p_n) / {100 + percent})"
+    fits = F.expr(f"""component != p_component AND (n < p_n OR n = p_n AND sid != p_sid)
+        AND 100 * n >= {percent} * p_n AND pos <= n - {least} AND p_pos <= p_n - {least}""")
+    met = (index.filter("out").join(probe, "shingle").filter(fits)
+           .unionByName(index.filter("NOT out").join(probe.filter("p_out"), "shingle").filter(fits)))
+    return met.select(F.least("sid", "p_sid").alias("a"), F.greatest("sid", "p_sid").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees: int = 12,
                     leaf: int = 32, depth: int = 3, heads: int = 32) -> DataFrame:
     """(doc_id, th, n_shingles, component_id): documents linked, directly or not, by
@@ -289,7 +365,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
                .agg(F.min("a").alias("a1"), F.max_by("a", F.xxhash64("a", "b")).alias("a2")))
     first = nearest.select(F.explode(F.array_distinct(F.array("a1", "a2"))).alias("a"), "b")
     first = steps.table(first, "first")
-    ids = (pairs.unionByName(stars).select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    ids = (pairs.unionByName(stars).select(F.explode(F.array("a", "b")).alias("sid"))
+           .unionByName(large.select("sid")).distinct()
            .join(classes.select("sid", "doc_id", "th"), "sid"))
     ids = steps.table(ids.dropDuplicates(["sid"]), "ids")
     texts = (rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]) & (rows["th"] == ids["th"]))
@@ -310,7 +387,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
     # these links connect whole components, so only components are joined again
     merged = (more.join(side, "a", "left").join(other, "b", "left")
               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    top = components(merged, steps).select(F.col("id").alias("component"), F.col("component").alias("top"))
+
+    def joined(edges: DataFrame) -> DataFrame:
+        return components(edges, steps).select(F.col("id").alias("component"), F.col("component").alias("top"))
+
+    top = joined(merged)
+    # and last the links of crowds that neither trees nor spread members met
+    crowd = (large.select("sid").distinct().join(member, "sid", "left")
+             .withColumn("component", F.coalesce("component", "sid")).join(top, "component", "left")
+             .select("sid", F.coalesce("top", "component").alias("component")))
+    crowd = steps.table(crowd, "crowd")
+    if crowd.select("component").distinct().limit(2).count() > 1:
+        last = steps.table(_exact_rest(crowd, texts, shingle, percent, leaf, steps), "last")
+        last = steps.table(_confirm(last, texts, shingle, percent), "late")
+        late = (last.join(crowd.select(F.col("sid").alias("a"), F.col("component").alias("ca")), "a")
+                .join(crowd.select(F.col("sid").alias("b"), F.col("component").alias("cb")), "b")
+                .select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        top = joined(merged.unionByName(late))
 
     labelled = steps.table(classes.select("n", "a", "b", "sid", "low").join(member, "sid", "left")
                            .withColumn("component", F.coalesce("component", "sid")).join(top, "component", "left")

@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from llmdata import DOC, SF01
 
@@ -90,6 +91,55 @@ def test_crowds_chains_and_small_leaves(spark):
     assert sum(got[d] == want[d] for d in want) >= 0.98 * len(want)
 
 
+def template_crowd(n, planted, slots, size):
+    """Pages of one template with five filled slots, any two below 80 %; planted pairs share
+    ``slots`` of them and are above."""
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(40 * size)]
+    docs = []
+    for i in range(n):
+        w = list(base)
+        for k in range(5):
+            shared = i < 2 * planted and k < slots
+            w[(2 + 8 * k) * size] = f"s{i // 2}k{k}" if shared else f"u{i}k{k}v{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w), "en", "src", 0))
+    return docs
+
+
+def crowd_brute(docs, size):
+    """component_id of each doc: dense products for common shingles, lists for the others."""
+    sets = sets_of(docs, size)
+    where = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            where[x].append(i)
+    n = np.array([len(s) for s in sets], np.float32)
+    dense = [v for v in where.values() if len(v) > 50]
+    has = np.zeros((len(docs), len(dense)), np.float32)
+    for k, v in enumerate(dense):
+        has[v, k] = 1
+    common = has @ has.T
+    for v in where.values():
+        if 1 < len(v) <= 50:
+            common[np.ix_(v, v)] += 1
+    linked = 100 * common >= 80 * (n[:, None] + n[None, :] - common)
+    np.fill_diagonal(linked, True)
+    low = np.arange(len(docs))
+    while True:
+        new = np.where(linked, low[None, :], len(docs)).min(axis=1)
+        if (new == low).all():
+            return {docs[i][0]: docs[int(c)][0] for i, c in enumerate(low)}
+        low = new
+
+
+def test_pairs_inside_a_crowd_below_the_threshold(spark):
+    docs = template_crowd(3000, planted=60, slots=1, size=4)
+    want = crowd_brute(docs, 4)
+    assert sum(d != c for d, c in want.items()) == 60
+    got = near_duplicates(spark.createDataFrame(docs, DOC).repartition(8), shingle=4)
+    assert dict(rows(got.select("doc_id", "component_id"))) == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (5, 5), (400, 300), (7, 3)]
     got = components(spark.createDataFrame(edges, "a long, b long"), Steps(spark, "cc")).collect()
