@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 from llmdata import DOC, SF01
+from test_near import crowd_brute, template_crowd
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import corpus_pipeline as P  # noqa: E402
@@ -36,6 +37,14 @@ def test_near_dedup_leaves_one_of_repeated_rows(spark):
         [(1, text), (0, "other words here"), (0, ""), (5, "")])
 
 
+def test_near_dedup_keeps_what_brute_force_keeps_of_a_crowd(spark):
+    docs = template_crowd(2000, planted=50, slots=1, size=5)
+    want = sorted(d for d, c in crowd_brute(docs, 5).items() if d == c)
+    assert len(want) == 1950
+    out = P.near_dedup(spark, spark.createDataFrame(docs, DOC).repartition(8), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == want
+
+
 def test_registry():
     numbers = sorted(int(k[2:].split("_")[0]) for k in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
