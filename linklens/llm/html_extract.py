@@ -6,7 +6,10 @@ in full, to its grandparent by half and to further ancestors by a third of their
 distance; an element's points are discounted by the share of its text that is
 inside links. The element with the most points is the container of the article;
 inside an article or main element that whole element is. Siblings that score a
-fifth of it, or are paragraphs with little linked text, are kept with it.
+fifth of it, or are paragraphs with little linked text, are kept with it. Without
+an article or main element every block outside the container is kept too if at
+least half of its text, or of an element around it that doesn't hold the
+container, is outside links: headings, short blocks and sections elsewhere.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments are taken out wherever they stand, known by element, role or
@@ -184,16 +187,17 @@ class Page:
             if self.tag[i] in BLOCKS:
                 has_block[self.parent[i]] = True
 
-        kept: list[tuple[int, str]] = []
+        kept: list[tuple[int, str, bool]] = []
         points, length, linked = [0.0] * n, [0] * n, [0] * n
         for block, run in self.blocks:
             run = [(node, t) for node, t in run if not skip[node]]
             text = " ".join(unescape("".join(t for _, t in run)).split())
             if not text:
                 continue
-            kept.append((block, text))
+            in_links = sum(len(t) for node, t in run if in_link[node])
+            kept.append((block, text, 2 * in_links <= len(text)))
             length[block] += len(text)
-            linked[block] += sum(len(t) for node, t in run if in_link[node])
+            linked[block] += in_links
             gives = 1 + text.count(",") + min(len(text) / 100, 3)
             leaf = self.tag[block] in LEAVES or not has_block[block]
             node, step = (self.parent[block], 0) if leaf and block else (block, 0)
@@ -221,10 +225,16 @@ class Page:
                 if self.parent[i] == self.parent[best] and length[i] and (
                         value[i] >= least or (self.tag[i] == "p" and density[i] < 0.25)):
                     roots.add(i)
+        around, node = {0}, best
+        while node > 0:
+            around.add(node)
+            node = self.parent[node]
+        whole = self.tag[best] not in ("article", "main")
         inside = [False] * n
         for i in range(n):
-            inside[i] = i in roots or (i > 0 and inside[self.parent[i]])
-        return "\n\n".join(text for block, text in kept if inside[block])
+            inside[i] = i in roots or (i > 0 and inside[self.parent[i]]) or (
+                whole and i not in around and length[i] > 0 and density[i] <= 0.5)
+        return "\n\n".join(text for block, text, plain in kept if inside[block] or (whole and plain))
 
 
 def main_text(html: str | None) -> str:

@@ -30,6 +30,21 @@ def test_container_without_article_element():
     assert main_text(sib).split("\n\n")[-1] == f"{LONG} end"
 
 
+def test_text_outside_the_best_container():
+    body = "".join(f"<p>{LONG} {i}</p>" for i in range(5))
+    texts = [f"{LONG} {i}" for i in range(5)]
+    menu = "<div><ul><li><a href=/>Home</a><li><a href=/b>News</a></ul></div>"
+    html = f"""<body>{menu}<h1>Title</h1><div>A short lead</div><div class=content>{body}</div><pre>x = 1</pre>
+        <blockquote>Quote</blockquote><ul><li>one<li>two</ul>{menu}<div class=sidebar>Side</div>bare
+        <footer>Foot</footer></body>"""
+    assert main_text(html).split("\n\n") == [
+        "Title", "A short lead", *texts, "x = 1", "Quote", "one", "two", "bare"]
+    part = f"<section><div><h2>Part</h2>{body}<ul><li><a href=x>Source</a></ul></div></section>"
+    assert main_text(f"<body>{menu}<div>{part}{part}</div>{menu}</body>").split("\n\n") == 2 * [
+        "Part", *texts, "Source"]
+    assert main_text(f"<body><h1>Site</h1><article>{body}</article></body>").split("\n\n") == texts
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == ""
     assert main_text("plain text only") == "plain text only"
