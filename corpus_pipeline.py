@@ -30,7 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, 80 %): its
-    smallest doc_id. Rows that repeat that document leave one."""
+    smallest doc_id, by ties and without ids the smallest text hash. Rows that repeat that
+    document leave one."""
     groups = near_duplicates(docs, shingle=5, percent=80)
     # equal keys on both sides, so that repeated rows meet in one partition
     def key(df: DataFrame, th) -> list:
@@ -38,8 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 df["doc_id"].isNull().alias("k_null"), th.alias("k_th")]
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-                       *key(docs, F.hash(F.coalesce(docs["text"], F.lit("")))))
-    drop = (groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+                       *key(docs, F.xxhash64(F.coalesce(docs["text"], F.lit("")))))
+    drop = (groups.filter(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("component_th"))))
             .select(*key(groups, groups["th"])).distinct())
     keys = ["k", "k_null", "k_th"]
     return rows.join(drop, keys, "left_anti").dropDuplicates(keys).select("row.*")

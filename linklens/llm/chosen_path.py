@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                      pa.array([r.tobytes() for r in sig], type=pa.binary())],
                     names=["doc_id", "th", "n", "a", "b", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, th int, n int, a long, b long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, th long, n int, a long, b long, sig binary")
 
 
 def _fixed(column: pa.Array, dtype: type, width: int) -> np.ndarray:
@@ -321,14 +321,15 @@ def _exact_rest(crowd: DataFrame, texts: DataFrame, size: int, percent: int, rar
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees: int = 12,
                     leaf: int = 32, depth: int = 3, heads: int = 32) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id): documents linked, directly or not, by
-    shingle sets of at least ``percent`` % similarity; component_id is their smallest
-    doc_id."""
+    """(doc_id, th, n_shingles, component_id, component_th): documents linked, directly or
+    not, by shingle sets of at least ``percent`` % similarity; component_id is their smallest
+    doc_id and component_th the text hash of the row that stands for them."""
     steps = Steps(docs.sparkSession, "near")
-    rows = keyed(docs)
+    # null ids are known by the hash alone, for which 32 bits are few
+    rows = keyed(docs).withColumn("th", F.xxhash64("text"))
     signed = steps.table(signatures(rows, shingle), "signatures")
     classes = (signed.filter("n > 0").groupBy("n", "a", "b")
-               .agg(F.min(F.struct("doc_id", "th", "sig")).alias("rep"), F.min("doc_id").alias("low"))
+               .agg(F.min(F.struct("doc_id", "th", "sig")).alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("low"))
                .select("n", "a", "b", "low", "rep.*").withColumn("sid", F.monotonically_increasing_id()))
     classes = steps.table(classes, "classes")
 
@@ -408,12 +409,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
     labelled = steps.table(classes.select("n", "a", "b", "sid", "low").join(member, "sid", "left")
                            .withColumn("component", F.coalesce("component", "sid")).join(top, "component", "left")
                            .withColumn("component", F.coalesce("top", "component")).drop("top"), "labelled")
-    lowest = steps.table(labelled.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
-    by_set = steps.table(labelled.join(lowest, "component").select("n", "a", "b", "component_id"), "by_set")
+    lowest = steps.table(labelled.groupBy("component").agg(F.min("low").alias("low")), "lowest")
+    by_set = steps.table(labelled.drop("low").join(lowest, "component").select(
+        "n", "a", "b", F.col("low.doc_id").alias("component_id"), F.col("low.th").alias("component_th")), "by_set")
     full = (signed.filter("n > 0").select("doc_id", "th", "n", "a", "b").join(by_set, ["n", "a", "b"])
-            .select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id"))
+            .select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "component_id",
+                    "component_th"))
     empty = signed.filter("n = 0").select("doc_id", "th", F.lit(0).cast("long").alias("n_shingles"),
-                                          F.col("doc_id").alias("component_id"))
+                                          F.col("doc_id").alias("component_id"), F.col("th").alias("component_th"))
     return full.unionByName(empty)
 
 

@@ -45,6 +45,19 @@ def test_near_dedup_keeps_what_brute_force_keeps_of_a_crowd(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == want
 
 
+def test_near_dedup_of_rows_without_ids(spark):
+    from pyspark.sql import functions as F
+    texts = spark.range(300_000).select(F.concat(F.lit("page "), F.col("id").cast("string")).alias("text"))
+    same = texts.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).filter("size(t) > 1")
+    pair = same.first()["t"][:2]                      # different texts with one 32-bit hash
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, t, None, None, None) for t in [*pair, near, near + " x", near + " y"]]
+    rows += [(3, near.upper().replace("W", "V"), "a", "s", 1)]
+    out = [r["text"] for r in P.near_dedup(spark, spark.createDataFrame(rows, DOC), "").collect()]
+    assert set(pair) <= set(out) and rows[-1][1] in out
+    assert len(out) == 4 and sum(t.startswith(near) for t in out) == 1
+
+
 def test_registry():
     numbers = sorted(int(k[2:].split("_")[0]) for k in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
