@@ -52,6 +52,32 @@ def test_files_round_trip_in_order(docs_df, small_docs):
     assert len(got) == len(small_docs)
 
 
+def test_no_token_array_is_shuffled(spark, docs_df):
+    plan = op4_token_orc(docs_df)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "NestedLoop" not in plan and "Exchange hashpartitioning" not in plan
+    assert plan.count("BroadcastExchange") >= 1
+
+
+def test_many_files_and_repeated_ids_spread(spark, monkeypatch, tmp_path):
+    from linklens.llm import token_orc
+    monkeypatch.setattr(token_orc, "FILES_BLOCK", 3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(None if i % 2 else 7, f"word {i} " * (i % 5)) for i in range(400)], "doc_id long, text string")
+        got = sorted(op4_token_orc(docs).collect(), key=lambda r: r["start"])
+        path = str(tmp_path / "t")
+        write_tokens(docs, path, default_path("word_bpe_49k.json"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "t").glob("*.orc"))) >= 6          # one id doesn't go to one file
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert len(got) == 400 and [r["doc_id"] for r in got] == [None] * 200 + [7] * 200
+
+
 def test_bloom_filters_and_stripes(spark, docs_df, tmp_path):
     import pyarrow.orc as orc
     path = str(tmp_path / "t")
