@@ -5,10 +5,11 @@ sets are one class from the start; only classes are joined. Independent trees
 branch the classes: a node picks one or two coordinates of the minhash signature
 (1/similarity on average, so a linked pair is expected to stay together in one
 child) and sends each class to the child of its value there. Nodes of at most
-``leaf`` classes are compared exhaustively. Larger ones branch on, to ``depth``;
-what is still large then is a crowd of near copies, whose members are first
-compared to the node's smallest class, and then those outside its component to
-``heads`` members spread over the node. These members only join most of a crowd
+``leaf`` classes are compared exhaustively: first each member with two others, and
+when these links have made components, all pairs between different ones. Larger
+nodes branch on, to ``depth``; what is still large then is a crowd of near copies,
+whose members are first compared to the node's smallest class, and then those
+outside its component to ``heads`` members spread over the node. These members only join most of a crowd
 cheaply: what still lies in different components is joined exactly, by the
 shingles that two linked sets must share among their first in an order common to
 all sets, rare ones first (``_exact_rest``).
@@ -46,6 +47,7 @@ from linklens.llm.steps import Steps
 T = 64                  # signature values
 AGREE = 31              # of their 8-bit samples, how many must agree
 HOT = 1 << 18           # shingles whose counts every task holds; the others come first in the order
+MARKS = 1 << 26         # bits of the filter of texts to compare
 CACHE_BYTES = 1 << 25   # shingle sets that a confirming task holds at most, besides one pair
 ODD = X.mix((np.arange(T, dtype=X.U) + X.U(77)) * X.U(0x9E3779B97F4A7C15)) | X.U(1)
 
@@ -154,10 +156,25 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, "a long, b long").distinct())
 
 
+def _picks(p: np.ndarray, q: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (p, q) each member's partner of the smallest sid and one by hash."""
+    me, other = np.concatenate([p, q]), np.concatenate([q, p])
+    chosen = []
+    for key in (sid[other].view(X.U), X.mix(sid[me].view(X.U) ^ (sid[other].view(X.U) * X.U(3)))):
+        order = np.lexsort((key, me))
+        at = order[np.concatenate([[True], me[order][1:] != me[order][:-1]])] if len(order) else order
+        chosen.append(at)
+    at = np.concatenate(chosen)
+    return me[at], other[at]
+
+
 def _leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) with a < b of all classes that share a small node."""
+    """Candidates (a, b) with a < b among the classes that share a small node. Rows are
+    (node, sid, n, sample), of which each member gets two partners, or have a component as
+    well, and then all pairs of different components are candidates."""
+    known = "component" in rows.columns
 
-    def pairs(node, sid, n, sample):
+    def pairs(node, sid, n, sample, component=None):
         cut = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
         first, size = cut[:-1], np.diff(cut)
         for c in np.unique(size[size > 1]):
@@ -165,10 +182,13 @@ def _leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
             at = first[size == c][:, None]
             for part in np.array_split(at, max(1, len(at) * len(i) // 200_000)):
                 p, q = (part + i).ravel(), (part + j).ravel()
-                ok = (sid[p] != sid[q])
+                ok = component[p] != component[q] if known else sid[p] != sid[q]
                 p, q = p[ok], q[ok]
                 ok = _maybe(n[p], n[q], sample[p], sample[q], percent)
-                p, q = sid[p[ok]], sid[q[ok]]
+                p, q = p[ok], q[ok]
+                if not known:
+                    p, q = _picks(p, q, sid)
+                p, q = sid[p], sid[q]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
@@ -176,7 +196,8 @@ def _leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
         held = None
         for b in batches:
             now = (b.column(0).to_numpy(), b.column(1).to_numpy(),
-                   b.column(2).to_numpy().astype(np.int64), _fixed(b.column(3), np.uint8, T))
+                   b.column(2).to_numpy().astype(np.int64), _fixed(b.column(3), np.uint8, T),
+                   *(b.column(k).to_numpy() for k in range(4, b.num_columns)))
             if held is not None:
                 now = tuple(np.concatenate(x) for x in zip(held, now))
             if not len(now[0]):
@@ -192,6 +213,26 @@ def _leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, "a long, b long").distinct())
 
 
+def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Those of ``rows`` (doc_id, th, text) that may be among ``keys`` (doc_id, th): a filter of
+    MARKS bits, the same size whatever the input, that spares most other texts the shuffle."""
+    place = F.pmod(F.xxhash64("doc_id", "th"), F.lit(MARKS))
+    cells = (keys.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("cell"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow())
+    marks = np.zeros(MARKS // 64, np.int64)
+    marks[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
+    held = rows.sparkSession.sparkContext.broadcast(marks.view(X.U))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = b.column(3).to_numpy()
+            hit = (held.value[p // 64] >> (p % 64).astype(X.U)) & X.U(1)
+            yield b.filter(pa.array(hit.astype(bool))).select(["doc_id", "th", "text"])
+
+    return (rows.select("doc_id", "th", "text", place.alias("p"))
+            .mapInArrow(run, "doc_id long, th long, text string"))
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough."""
     one = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
@@ -343,18 +384,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
         counts = steps.table(children.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "counts")
         shared = steps.table(children.join(counts, "node"), "shared")
         steps.drop(children, counts)
-        found.append(steps.table(_leaf_pairs(
-            shared.filter(F.col("c") <= leaf).select("node", "sid", "n", "sample"), percent), "pairs"))
+        found.append(shared.filter(F.col("c") <= leaf).select("node", "sid", "n", "sample"))
         large = shared.filter(F.col("c") > leaf).select("node", "sid", "n", "sample")
         if level == depth or large.isEmpty():
             break
         active = large.select("sid", "n", "node").join(classes.select("sid", "sig"), "sid").select(
             "sid", "n", "sig", "node")
 
-    pairs = found[0]
+    small = found[0]
     for f in found[1:]:
-        pairs = pairs.unionByName(f)
-    pairs = steps.table(pairs.distinct(), "candidates")
+        small = small.unionByName(f)
+    pairs = steps.table(_leaf_pairs(small, percent), "pairs")
     crowd = (large.groupBy("node").agg(F.min(F.struct("sid", "n", "sample")).alias("h"))
              .select("node", F.col("h.sid").alias("a"), F.col("h.n").alias("an"), F.col("h.sample").alias("asample")))
     stars = (large.join(crowd, "node").filter("sid != a")
@@ -370,19 +410,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
            .unionByName(large.select("sid")).distinct()
            .join(classes.select("sid", "doc_id", "th"), "sid"))
     ids = steps.table(ids.dropDuplicates(["sid"]), "ids")
-    texts = (rows.join(ids, rows["doc_id"].eqNullSafe(ids["doc_id"]) & (rows["th"] == ids["th"]))
+    texts = _marked(rows, ids)
+    texts = (texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]) & (texts["th"] == ids["th"]))
              .select("sid", "text"))
     texts = steps.table(texts.groupBy("sid").agg(F.first("text").alias("text")), "texts")
     links = steps.table(_confirm(first, texts, shingle, percent), "links")
     member = steps.table(components(links, steps).withColumnRenamed("id", "sid"), "member")
 
-    # then whatever still lies between different components
-    rest = pairs.unionByName(stars).unionByName(_outliers(large, member, heads, percent, steps))
-    rest = rest.select("a", "b").distinct()
+    # then all pairs of a node that still lie in different components; nodes whose members
+    # are in one component give none
     side = member.select(F.col("sid").alias("a"), F.col("component").alias("ca"))
     other = member.select(F.col("sid").alias("b"), F.col("component").alias("cb"))
-    rest = (rest.join(first, ["a", "b"], "left_anti").join(side, "a", "left").join(other, "b", "left")
-            .filter(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b"))
+    placed = small.join(member, "sid", "left").select(
+        "node", "sid", "n", "sample", F.coalesce("component", "sid").alias("component"))
+    between = _leaf_pairs(placed, percent)
+    heads_of = crowd.join(side, "a", "left").withColumn("ca", F.coalesce("ca", "a"))
+    far = (large.join(member, "sid", "left").join(heads_of, "node")
+           .filter(F.coalesce("component", "sid") != F.col("ca"))
+           .withColumnsRenamed({"sid": "b", "n": "bn", "sample": "bsample"}))
+    rest = between.unionByName(_possible(far, percent)).unionByName(_outliers(large, member, heads, percent, steps))
+    rest = rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     rest = steps.table(rest, "rest")
     more = steps.table(_confirm(rest, texts, shingle, percent), "more")
     # these links connect whole components, so only components are joined again
