@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from linklens.llm import texts as X
 from linklens.llm.steps import Steps
 
-ANCHORS = "kmer long, hull long, doc_id long, th int, start int, n int, u int"
-BLOCKS = "kmer long, block int, core long, hull long, doc_id long, th int, start int, n int, u int, val long"
+ANCHORS = "kmer long, hull long, doc_id long, th long, start int, n int, u int"
+BLOCKS = "kmer long, block int, core long, hull long, doc_id long, th long, start int, n int, u int, val long"
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ class Unit:
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, th, text) of the documents; a null text is empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("th"),
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"),
                        text.alias("text"))
 
 
@@ -94,7 +94,7 @@ def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
                 hull = X.mix(sp.hash(s, s + n - 1 + W) ^ (u.astype(X.U) << X.U(32)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(grams[p].view(np.int64)), pa.array(hull.view(np.int64)),
-                     ids.take(pa.array(row + d)), pa.array(th[row + d], type=pa.int32()),
+                     ids.take(pa.array(row + d)), pa.array(th[row + d]),
                      pa.array((s - uo[d]).astype(np.int32)), pa.array(n.astype(np.int32)),
                      pa.array(u.astype(np.int32))],
                     names=["kmer", "hull", "doc_id", "th", "start", "n", "u"])
@@ -138,7 +138,7 @@ def blocks(pending: DataFrame, docs: DataFrame, unit: Unit, size: int) -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(kmer[lo:hi][src]), pa.array(blk.astype(np.int32)),
                      pa.array(core.view(np.int64)), pa.array(hull.view(np.int64)),
-                     ids.take(pa.array(row + d)), pa.array(th[row + d], type=pa.int32()),
+                     ids.take(pa.array(row + d)), pa.array(th[row + d]),
                      pa.array((p - ub - uo[d]).astype(np.int32)),
                      pa.array((ub - ua + 1).astype(np.int32)), pa.array(ub.astype(np.int32)),
                      pa.array(val[lo:hi][src])],

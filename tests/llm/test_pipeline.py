@@ -60,6 +60,6 @@ def test_near_dedup_of_rows_without_ids(spark):
 
 def test_registry():
     numbers = sorted(int(k[2:].split("_")[0]) for k in QUERIES)
-    assert numbers == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     assert op6_near_dedup and [n for n, _ in P.STAGES] == [
         "quality_rules", "near_dedup", "decontaminate", "mix_sources", "token_output"]

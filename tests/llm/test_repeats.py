@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 from llmdata import DOC
+from pyspark.sql import functions as F
 
 from linklens.llm import repeats as R
 from linklens.llm.substring_dedup import op1_substring_dedup, substring_dedup
@@ -90,3 +91,19 @@ def test_long_text_is_one_slice():
     got = [(row, len(data), len(off) - 1) for row, data, off in X.pieces(col)]
     assert sum(n for _, _, n in got) == 5 and sum(n for _, n, _ in got) == 5_000_011
     assert R.Unit(False, 200, 48).spans(np.zeros(0, np.uint8), np.zeros(1, np.int64))[1].tolist() == [0]
+
+
+def test_texts_of_one_32_bit_hash_without_unique_ids(spark):
+    """Different texts that share a 32-bit hash, under one id or none, keep their own windows."""
+    from linklens.llm.lm_scoring import op3_lm_scoring
+    texts = spark.range(300_000).select(F.concat(F.lit("page "), F.col("id").cast("string"), F.lit(" of five words")).alias("text"))
+    pair = texts.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).filter("size(t) > 1").first()["t"][:2]
+    long = " ".join(f"w{i}" for i in range(90))
+    rows = [(d, t, "en", "s", 0) for d in (None, 5) for t in (pair[0], pair[1] + "", long, long + " tail")]
+    rows += [(d, t * 40, "en", "s", 0) for d in (None, 5) for t in pair]
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+    got = sorted((tuple(r) for r in op8_suffix_dedup(df).collect()), key=str)
+    assert got == sorted(brute_bytes(rows, 200), key=str)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    n = sorted(r["n_words"] for r in op3_lm_scoring(df, labels).collect())
+    assert n == sorted(len(t.split()) for _, t, *_ in rows)
