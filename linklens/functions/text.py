@@ -98,3 +98,8 @@ def replace_text(col, old: str, new: str) -> Column:
     """Substring relabel (e.g. a renamed feature)."""
     c = F.col(col) if isinstance(col, str) else col
     return F.replace(c, F.lit(old), F.lit(new))
+
+
+def variant_name(col, default: str = "cleaned_path") -> Column:
+    """The name of a URL variant; a missing one is the default variant."""
+    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(default))

@@ -236,9 +236,3 @@ def depth_columns(path, segs=None) -> dict[str, Column]:
         ("other_text_segments", (n_other - n_num).cast("long")),
         ("last_has_number", F.coalesce(last.rlike(_u(r"\d")), F.lit(False))),
     ])
-
-
-def publisher_or_host(publisher, url, suffixes=None) -> Column:
-    """The given publisher, else the registered host of the URL, else NULL."""
-    pub = F.col(publisher) if isinstance(publisher, str) else publisher
-    return F.coalesce(F.nullif(pub, F.lit("")), registered_host(url, suffixes))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linklens.functions import urls as U
+from linklens.operators.ranks import with_prefix_sum
 from linklens.session import bounded_broadcast, broadcast_if_small, materialize
 
 
@@ -23,6 +24,11 @@ def _keys(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by or [])
 
 
+def _rows(weight: str | None) -> Column:
+    """Rows of a group, or the sum of the counts that stand for them."""
+    return F.sum(weight).alias("n") if weight else F.count(F.lit(1)).alias("n")
+
+
 def log2(c: Column) -> Column:
     return F.log(2.0, c)
 
@@ -44,11 +50,12 @@ def entropy_of_counts(nlogn: Column, total: Column) -> Column:
     return F.greatest(log2(total) - nlogn / total, F.lit(0.0))
 
 
-def category_summary(df: DataFrame, col: str = "category", by=()) -> DataFrame:
+def category_summary(df: DataFrame, col: str = "category", by=(), weight: str | None = None) -> DataFrame:
     """A5: n_categories, most/least common (count desc, key asc), balance
-    ratio, entropy (base 2), Gini impurity."""
+    ratio, entropy (base 2), Gini impurity. ``weight`` here and below names the
+    count column of pre-counted rows."""
     by = _keys(by)
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(_rows(weight))
     total = F.sum("n")
     agg = counts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_categories"),
@@ -89,18 +96,17 @@ def text_length_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame
     return out
 
 
-def domain_counts(df: DataFrame, domain: str = "publisher", by=()) -> DataFrame:
+def domain_counts(df: DataFrame, domain: str = "publisher", by=(), weight: str | None = None) -> DataFrame:
     """(by.., domain, n) over non-null domains."""
     by = _keys(by)
-    return (df.where(F.col(domain).isNotNull()).groupBy(*by, domain)
-              .agg(F.count(F.lit(1)).alias("n")))
+    return df.where(F.col(domain).isNotNull()).groupBy(*by, domain).agg(_rows(weight))
 
 
-def domain_distribution(df: DataFrame, domain: str = "publisher", by=()) -> DataFrame:
+def domain_distribution(df: DataFrame, domain: str = "publisher", by=(), weight: str | None = None) -> DataFrame:
     """Count of domains and mean/median/sample std/min/max/q25/q75 of
     per-domain record counts."""
     by = _keys(by)
-    dc = domain_counts(df, domain, by)
+    dc = domain_counts(df, domain, by, weight)
     q = F.percentile("n", [0.25, 0.5, 0.75])
     return dc.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_domains"), F.avg("n").alias("mean"), q.alias("_q"),
@@ -109,14 +115,14 @@ def domain_distribution(df: DataFrame, domain: str = "publisher", by=()) -> Data
              F.col("_q")[0].alias("q25"), F.col("_q")[2].alias("q75"))
 
 
-def domain_skew(df: DataFrame, domain: str = "publisher", by=()) -> DataFrame:
+def domain_skew(df: DataFrame, domain: str = "publisher", by=(), weight: str | None = None) -> DataFrame:
     """Population skewness and excess kurtosis of domain counts, Gini
     coefficient, top-1 / top-5 % / top-10 % of domains share of all records,
     HHI, effective number of domains, small/large domain counts.
 
     Shares use all records (null domains included) as the denominator."""
     by = _keys(by)
-    all_counts = df.groupBy(*by, domain).agg(F.count(F.lit(1)).alias("n"))
+    all_counts = df.groupBy(*by, domain).agg(_rows(weight))
     totals = all_counts.groupBy(*by).agg(F.sum("n").alias("total_records"))
     dc = all_counts.where(F.col(domain).isNotNull())
     moments = dc.groupBy(*by).agg(
@@ -129,12 +135,9 @@ def domain_skew(df: DataFrame, domain: str = "publisher", by=()) -> DataFrame:
         F.count_if(F.col("n") > 100).alias("domains_with_gt_100_records"))
     # histogram of counts: m domains hold exactly n records each
     hist = dc.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("m"))
-    w_all = Window.partitionBy(*by)
-    asc = w_all.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    desc = w_all.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    h = (hist.withColumn("_below", F.coalesce(F.sum("m").over(asc), F.lit(0)))
-             .withColumn("_above", F.coalesce(F.sum("m").over(desc), F.lit(0)))
-             .withColumn("_d", F.sum("m").over(w_all)))
+    h = with_prefix_sum(hist, "m", "n", by).select(
+        *by, "n", "m", F.col("_before").alias("_below"), F.col("_total").alias("_d"))
+    h = h.withColumn("_above", F.col("_d") - F.col("_below") - F.col("m"))
     k5 = F.greatest(F.lit(1), F.floor(F.col("_d") / 20))
     k10 = F.greatest(F.lit(1), F.floor(F.col("_d") / 10))
 
@@ -164,13 +167,13 @@ def domain_skew(df: DataFrame, domain: str = "publisher", by=()) -> DataFrame:
 
 
 def category_per_domain(df: DataFrame, domain: str = "publisher", y: str = "category",
-                        by=(), with_counts: bool = False) -> DataFrame:
+                        by=(), with_counts: bool = False, weight: str | None = None) -> DataFrame:
     """Per domain total, number of categories, dominant category (count
     desc, key asc) and its share, entropy, single-category flag. Null domains
     are excluded. ``with_counts`` adds the category -> count map."""
     by = _keys(by)
     cells = (df.where(F.col(domain).isNotNull() & F.col(y).isNotNull())
-               .groupBy(*by, domain, y).agg(F.count(F.lit(1)).alias("n")))
+               .groupBy(*by, domain, y).agg(_rows(weight)))
     aggs = [F.sum("n").alias("total_records"), F.count(F.lit(1)).alias("n_categories"),
             F.min_by(y, F.struct(-F.col("n"), F.col(y))).alias("dominant_category"),
             F.max("n").alias("_top"), F.sum(F.col("n") * log2(F.col("n"))).alias("_nlogn")]
@@ -186,11 +189,11 @@ def category_per_domain(df: DataFrame, domain: str = "publisher", y: str = "cate
 
 
 def category_per_domain_summary(df: DataFrame, domain: str = "publisher",
-                                y: str = "category", by=()) -> DataFrame:
+                                y: str = "category", by=(), weight: str | None = None) -> DataFrame:
     """Mean and population std of per-domain entropy and dominant share;
     single-category domains and the records inside them (counts, shares)."""
     by = _keys(by)
-    per = category_per_domain(df, domain, y, by)
+    per = category_per_domain(df, domain, y, by, weight=weight)
     single = F.col("is_single_category")
     return per.groupBy(*by).agg(
         F.avg("entropy").alias("avg_entropy_per_domain"),
@@ -255,8 +258,11 @@ def _gammaincc(a: float, x: float) -> float:
 
 
 def chi2_sf(stat: float, dof: float) -> float:
-    if stat is None or dof is None or dof <= 0:
+    if stat is None or dof is None or math.isnan(stat) or math.isnan(dof) or dof <= 0:
         return float("nan")
+    if math.isinf(stat) or math.isinf(dof):
+        # no deviation is large against infinitely many degrees of freedom
+        return float("nan") if stat == dof else 0.0 if stat > dof else 1.0
     if dof > 1e6:
         # Wilson-Hilferty: the cube root of chi2 / dof is nearly normal, the better the
         # larger dof; here it is within 1e-7, and the series would need many steps
@@ -391,14 +397,39 @@ def dataset_comparison(df: DataFrame, by: str = "dataset", domain: str = "publis
                        y: str = "category") -> DataFrame:
     """One row per dataset: records, categories, domains, Gini, top-1
     share, single-category domain share and records share."""
-    cs = category_summary(df, y, by).select(by, "n_records", "n_categories")
-    sk = domain_skew(df, domain, by).select(by, "n_domains", "gini_coefficient",
-                                            "top_1_domain_share")
-    pd_ = category_per_domain_summary(df, domain, y, by).select(
+    # counted once; every part below rolls the cells up
+    cells = materialize(df.groupBy(by, domain, y).agg(F.count(F.lit(1)).alias("n")))
+    cs = category_summary(cells, y, by, "n").select(by, "n_records", "n_categories")
+    sk = domain_skew(cells, domain, by, "n").select(by, "n_domains", "gini_coefficient",
+                                                    "top_1_domain_share")
+    pd_ = category_per_domain_summary(cells, domain, y, by, "n").select(
         by, "single_category_domains_share", "records_in_single_category_domains_share")
+    # one row per dataset each
     return cs.join(sk, by).join(pd_, by)
 
 
+def chi2_by(cells: DataFrame, by: str, domain: str = "publisher", y: str = "category") -> DataFrame:
+    """A16 per group from counted cells (by, domain, y, n): statistic, degrees of freedom,
+    Cramer's V and p-value. With one degree of freedom Yates' correction applies; there all
+    four deviations are equal, so one of them and the margins give the sum."""
+    o = cells.where(F.col(domain).isNotNull() & F.col(y).isNotNull()).groupBy(by, domain, y).agg(F.sum("n").alias("o"))
+    rows = o.groupBy(by, domain).agg(F.sum("o").alias("r"))
+    cols = o.groupBy(by, y).agg(F.sum("o").alias("c"))
+    total = rows.groupBy(by).agg(F.count(F.lit(1)).alias("nr"), F.sum("r").alias("all"), F.sum(1 / F.col("r")).alias("ir"))
+    total = total.join(cols.groupBy(by).agg(F.count(F.lit(1)).alias("nc"), F.sum(1 / F.col("c")).alias("ic")), by)
+    met = o.join(rows, [by, domain]).join(broadcast_if_small(cols), [by, y]).join(broadcast_if_small(total), by)
+    e = F.col("r").cast("double") * F.col("c") / F.col("all")
+    g = met.groupBy(by, "nr", "nc", "all", "ir", "ic").agg(
+        F.sum(F.col("o").cast("double") * F.col("o") / (F.col("r").cast("double") * F.col("c"))).alias("s"),
+        F.max(F.abs(F.col("o") - e)).alias("dev"))
+    dof = (F.col("nr") - 1) * (F.col("nc") - 1)
+    off = F.greatest(F.col("dev") - 0.5, F.lit(0.0))
+    stat = F.when(dof == 1, off * off * F.col("all") * F.col("ir") * F.col("ic")).otherwise(F.col("all") * (F.col("s") - 1))
+    out = g.select(by, stat.alias("chi2_statistic"), dof.alias("degrees_of_freedom"),
+                   F.sqrt(stat / (F.col("all") * (F.least("nr", "nc") - 1))).alias("cramers_v"))
+    return out.withColumn("p_value", _chi2_sf_udf(F.col("chi2_statistic"), F.col("degrees_of_freedom").cast("double")))
+
+
 def basic_stats(df: DataFrame) -> DataFrame:
     """A2: rows, number of columns and the column names."""
     return df.agg(F.count(F.lit(1)).alias("n_records")).select(

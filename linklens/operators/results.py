@@ -7,53 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linklens.operators import distribution as D
-from linklens.operators import metrics as M
+from linklens.functions import urls as U
+from linklens.operators.runs import FEATURES
 from linklens.session import materialize
 
-# Evaluation grid of the derived run table: rule-based predictors that keep
-# the true label for a share of rows that depends on (model, feature,
-# condition). Indices feed the rule; names label the rows.
-RUN_MODELS = [(1, "log-reg"), (2, "svm"), (3, "tree-ensemble"), (4, "distant-labeling"),
-              (5, "naive-bayes")]
-RUN_FEATURES = [(1, "title"), (2, "url_raw"), (3, "url_path_raw")]
-RUN_CONDITIONS = [(0, "with_dates"), (1, "no_dates")]
-
-
-def evaluation_runs(articles: DataFrame) -> DataFrame:
-    """Macro metrics of every (dataset, model, feature, condition) run.
-
-    The rows are first reduced to (dataset, label, noise) counts, and the
-    run grid is expanded on that small aggregate (pre-aggregation before the
-    30x fan-out), so the cost is one scan of the article table."""
-    # one scan: the (dataset, label, noise) counts are written once and the
-    # metric and success-rate branches both read them
-    base = materialize(articles.groupBy(F.col("language").alias("dataset"), F.col("category").alias("label"),
-                                        "noise").agg(F.count(F.lit(1)).alias("n")))
-    grid = F.array(*[F.struct(F.lit(mi).alias("mi"), F.lit(m).alias("model"), F.lit(fi).alias("fi"),
-                              F.lit(f).alias("feature"), F.lit(ci).alias("ci"),
-                              F.lit(c).alias("condition"))
-                     for mi, m in RUN_MODELS for fi, f in RUN_FEATURES for ci, c in RUN_CONDITIONS])
-    x = base.select("dataset", "label", "noise", "n", F.explode(grid).alias("v")).select(
-        "dataset", "label", "noise", "n", "v.*")
-    keep = 3 + (F.col("mi") * 2 + F.col("fi") + F.col("ci")) % 6
-    pred = (F.when(F.col("noise") < keep, F.col("label"))
-             .when(F.col("noise") % 2 == 0, "PROMO").otherwise("UNSEEN"))
-    keys = ["dataset", "model", "feature", "condition"]
-    conf = (x.withColumn("prediction", pred)
-             .groupBy(*keys, "mi", "label", "prediction").agg(F.sum("n").alias("n")))
-    mac = M.macro_metrics(conf, keys + ["mi"])
-    ok = conf.groupBy(*keys).agg(
-        (F.sum(F.when(F.col("prediction") != "UNSEEN", F.col("n")).otherwise(0)) /
-         F.sum("n")).alias("success_rate"))
-    # metrics are fixed at 9 decimals so that runs with equal quality tie
-    # exactly (their averages otherwise differ in the last bits) and top-k
-    # ties fall to the key order
-    return materialize(mac.join(ok, keys).select(
-        *keys, *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
-        "n_samples", "success_rate",
-        (F.col("n_samples") / F.col("mi")).alias("throughput")))
-
-
 def topn_per_group(df: DataFrame, by, order: str = "f1", k: int = 5,
                    tiebreak=("model", "feature", "condition")) -> DataFrame:
     """The k best rows per group (order desc, tie-break keys asc), with
@@ -74,19 +31,19 @@ def top_k(df: DataFrame, order: str = "f1", k: int = 10, ascending: bool = False
 
 def f1_pivot(results: DataFrame, features=None, metric: str = "f1") -> DataFrame:
     """Mean metric, (dataset, model) x feature, over a known feature list."""
-    features = features or [f for _, f in RUN_FEATURES]
+    features = features or FEATURES
     return results.groupBy("dataset", "model").pivot("feature", features).agg(F.avg(metric))
 
 
 def model_summary(results: DataFrame) -> DataFrame:
     """Per model mean accuracy/precision/recall/f1, std and
-    median of f1, mean/std throughput."""
+    median of f1, mean/std throughput where it was measured."""
+    speed = [F.avg("throughput").alias("throughput_mean"), F.stddev_samp("throughput").alias("throughput_std")]
     return results.groupBy("model").agg(
         F.avg("accuracy").alias("accuracy_mean"), F.avg("precision").alias("precision_mean"),
         F.avg("recall").alias("recall_mean"), F.avg("f1").alias("f1_mean"),
         F.stddev_samp("f1").alias("f1_std"), F.percentile("f1", 0.5).alias("f1_median"),
-        F.avg("throughput").alias("throughput_mean"),
-        F.stddev_samp("throughput").alias("throughput_std"))
+        *(speed if "throughput" in results.columns else []))
 
 
 def model_perf_summary(results: DataFrame, decimals: int | None = 4) -> DataFrame:
@@ -124,43 +81,52 @@ def mean_f1_by(results: DataFrame, keys=("dataset", "model")) -> DataFrame:
     return results.groupBy(*keys).agg(F.avg("f1").alias("f1_mean"))
 
 
-def stats_report(df: DataFrame, by: str = "dataset", domain: str = "publisher",
-                 y: str = "category") -> DataFrame:
-    """The descriptive statistics as a tidy (dataset, section, metric,
-    value) table instead of formatted text."""
-    sections = {
-        "categories": D.category_summary(df, y, by).drop("most_common", "least_common"),
-        "domain_skew": D.domain_skew(df, domain, by),
-        "category_per_domain": D.category_per_domain_summary(df, domain, y, by),
-        "domain_distribution": D.domain_distribution(df, domain, by),
-    }
-    out = None
-    for name, frame in sections.items():
-        cols = [c for c in frame.columns if c != by]
-        stack = "stack({}, {}) as (metric, value)".format(
-            len(cols), ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols))
-        part = frame.selectExpr(by, f"'{name}' AS section", stack)
-        out = part if out is None else out.unionByName(part)
-    return out
+def _tidy(frame: DataFrame, by: str, section: str) -> DataFrame:
+    cols = [c for c in frame.columns if c != by]
+    stack = "stack({}, {}) as (metric, value)".format(
+        len(cols), ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols))
+    return frame.selectExpr(by, f"'{section}' AS section", stack)
 
 
-def evaluation_topic_runs(articles: DataFrame) -> DataFrame:
-    """Per-topic metrics of every run of the evaluation grid (input of W3)."""
-    base = (articles.groupBy(F.col("language").alias("dataset"), F.col("category").alias("label"),
-                             "noise").agg(F.count(F.lit(1)).alias("n")))
-    grid = F.array(*[F.struct(F.lit(mi).alias("mi"), F.lit(m).alias("model"), F.lit(fi).alias("fi"),
-                              F.lit(f).alias("feature"), F.lit(ci).alias("ci"),
-                              F.lit(c).alias("condition"))
-                     for mi, m in RUN_MODELS for fi, f in RUN_FEATURES for ci, c in RUN_CONDITIONS])
-    x = base.select("label", "noise", "n", F.explode(grid).alias("v")).select("label", "noise", "n", "v.*")
-    keep = 3 + (F.col("mi") * 2 + F.col("fi") + F.col("ci")) % 6
-    pred = (F.when(F.col("noise") < keep, F.col("label"))
-             .when(F.col("noise") % 2 == 0, "PROMO").otherwise("UNSEEN"))
-    keys = ["model", "feature", "condition"]
-    conf = (x.withColumn("prediction", pred).groupBy(*keys, "label", "prediction")
-              .agg(F.sum("n").alias("n")))
-    pt = M.per_topic_metrics(conf, keys)
-    return pt.select(*keys, F.col("label").alias("topic"), F.round("f1", 9).alias("f1"), "support")
+def stats_report(df: DataFrame, by: str = "dataset", domain: str = "publisher",
+                 y: str = "category", text: str = "title", url: str = "url", top: int = 10) -> DataFrame:
+    """The descriptive statistics as a tidy (dataset, section, metric, value) table
+    instead of formatted text: categories, text lengths, publishers (skew, distribution,
+    categories, the ``top`` largest), the chi-square test of publisher and category, and URL
+    types.
+
+    One scan counts (by, publisher, category), (by, text length) and (by, URL type) as
+    grouping sets; the counts are written once and every section rolls them up."""
+    rows = df.select(by, F.col(domain).alias("_d"), F.col(y).alias("_y"), F.length(text).alias("_len"),
+                     U.structure_columns(U.url_path(url))["url_type"].alias("_type"))
+    sets = [[by, "_d", "_y"], [by, "_len"], [by, "_type"]]
+    counts = materialize(rows.groupingSets(sets, by, "_d", "_y", "_len", "_type").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_set")))
+    ids = {0b0011: "cells", 0b1101: "length", 0b1110: "type"}
+    part = {name: counts.where(F.col("_set") == i) for i, name in ids.items()}
+    cells = part["cells"].select(by, F.col("_d").alias(domain), F.col("_y").alias(y), "n")
+    length = part["length"].where("_len IS NOT NULL")
+    q = F.percentile("_len", [0.25, 0.5, 0.75], F.col("n"))
+    n, total = F.sum("n"), F.sum(F.col("_len") * F.col("n"))
+    square = F.sum(F.col("_len").cast("double") * F.col("_len") * F.col("n"))
+    length = length.groupBy(by).agg((total / n).alias("mean"), q.alias("_q"),
+                                    F.sqrt((square - total * (total / n)) / (n - 1)).alias("std"),
+                                    F.min("_len").alias("min"), F.max("_len").alias("max"))
+    length = length.select(by, "mean", F.col("_q")[1].alias("median"), "std", "min", "max",
+                           F.col("_q")[0].alias("q25"), F.col("_q")[2].alias("q75"))
+    out = _tidy(D.category_summary(cells, y, by, "n").drop("most_common", "least_common"), by, "categories")
+    for name, frame in {"text_length": length, "domain_skew": D.domain_skew(cells, domain, by, "n"),
+                        "category_per_domain": D.category_per_domain_summary(cells, domain, y, by, "n"),
+                        "domain_distribution": D.domain_distribution(cells, domain, by, "n"),
+                        "chi_square": D.chi2_by(cells, by, domain, y).drop("p_value")}.items():
+        out = out.unionByName(_tidy(frame, by, name))
+    all_rows = cells.groupBy(by).agg(F.sum("n").alias("_all"))      # one row per dataset
+    largest = topn_per_group(D.domain_counts(cells, domain, by, "n"), by, "n", top, tiebreak=(domain,))
+    largest = largest.select(by, F.lit("top_domains").alias("section"), F.col(domain).alias("metric"), "n")
+    types = part["type"].select(by, F.lit("url_types").alias("section"), F.col("_type").alias("metric"), "n")
+    shares = largest.unionByName(types).join(F.broadcast(all_rows), by).select(
+        by, "section", "metric", (F.col("n") / F.col("_all")).alias("value"))
+    return out.unionByName(shares)
 
 
 def best_per_topic(topic_runs: DataFrame) -> DataFrame:

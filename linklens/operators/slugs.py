@@ -1,11 +1,13 @@
 """Slug mapping, URL-section labels and weak-label training sets
 (S15, J4-J7, D4-D5, M10, A32-A36, U6).
 
-The slug mapping is a small parameter table. Lookups fold it into a single
-map value (one row, broadcast) and match every article inside its own row:
-no shuffle of the article table, no join back, and the same plan works on a
-streaming DataFrame. When the mapping is too large for that, the lookup
-falls back to explode + equi-join + per-article min.
+A lookup (J6, J7) turns the mapping into an index of slugs, and a URL into the
+runs of path segments that a slug could be. The runs meet the index by an
+equi-join, which Spark broadcasts while the index passes its size check, and
+each article takes its first hit. The article's columns travel with its first
+run only, and runs without a hit go before the regrouping, so that shuffle
+moves each article once, by a number of its own: rows may repeat an id. The
+mapping may hold millions of slugs.
 """
 
 from __future__ import annotations
@@ -14,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linklens.functions import urls as U
-from linklens.session import (DEFAULT_BROADCAST_BYTES, bounded_broadcast, broadcast_if_small,
-                              materialize, plan_size_bytes)
+from linklens.session import bounded_broadcast, broadcast_if_small, materialize
 
 UNKNOWN = "unknown"
 
@@ -42,47 +43,59 @@ def valid_categories(mapping: DataFrame) -> DataFrame:
     return usable_mapping(mapping).select("category").distinct().orderBy("category")
 
 
-def _quoted(c: Column) -> Column:
-    """Column value as a literal regex fragment (quoted with Q...E)."""
-    return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+def _first_hits(df: DataFrame, runs: Column, index: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``_hit``, the struct (order, slug, category) of the first of its runs in
+    ``index`` (slug, slug_rank, category), null without one; ``order`` is ``_pos``, the place
+    of the run, or ``slug_rank``."""
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*df.columns).alias("_all"),
+                     runs.alias("_runs"))
+    # an article without runs keeps one row
+    runs_of = rows.select("_row", "_all", F.posexplode_outer("_runs").alias("_pos", "_run")).select(
+        "_row", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_all")).alias("_all"), "_pos", "_run")
+    known = broadcast_if_small(index.withColumnRenamed("slug", "_slug"))
+    met = runs_of.join(known, F.col("_run") == F.col("_slug"), "left").where(
+        F.col("_all").isNotNull() | F.col("_slug").isNotNull())
+    hit = F.when(F.col("_slug").isNotNull(), F.struct(order, F.col("_slug").alias("slug"), "category"))
+    return (met.groupBy("_row").agg(F.first("_all", ignorenulls=True).alias("_all"), F.min(hit).alias("_hit"))
+            .select("_all.*", "_hit"))
 
 
-def _fits_in_row(mapping: DataFrame) -> bool:
-    size = plan_size_bytes(mapping)
-    return size is not None and size <= DEFAULT_BROADCAST_BYTES // 8
+def _last_rows(m: DataFrame) -> DataFrame:
+    """(slug, slug_rank, category): of repeated slugs the last row of the file counts."""
+    return (m.groupBy("slug").agg(F.max(F.struct("slug_rank", "category")).alias("v"))
+            .select("slug", "v.slug_rank", "v.category"))
 
 
-def _last_rows(m: DataFrame) -> DataFrame:
-    """One row per slug, (slug, v): of repeated slugs the last row of the file counts."""
-    return m.groupBy("slug").agg(F.max(F.struct("slug_rank", "category")).alias("v"))
-
-
-def _j6_frame(m: DataFrame) -> DataFrame:
-    """One row: the J6 slug regex and slug -> category (last row per slug).
-    Slugs that can never be candidates (<= 2 chars, all digits) are left out."""
-    cand = m.where((F.length("slug") > 2) & ~F.col("slug").rlike(r"(?U)^\d+$"))
-    best = _last_rows(cand)
-    return best.agg(
-        F.concat(F.lit(r"(?U)(?<=^|/)\s*("), F.array_join(F.collect_list(_quoted(F.col("slug"))), "|"),
-                 F.lit(r")\s*(?=/|$)")).alias("_j6_pat"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("slug"), F.col("v.category")))).alias("_j6_map"))
-
-
-def _j7_frame(m: DataFrame) -> DataFrame:
-    """One row: the J7 regex over lower-cased slugs, the slugs in mapping
-    order and lower slug -> category of its lowest rank."""
-    low = m.select("slug_rank", F.lower("slug").alias("s"), "category")
-    best = low.groupBy("s").agg(F.min(F.struct("slug_rank", "category")).alias("v"))
-    # alternatives in mapping order inside a look-ahead: every place is tried, and a match
-    # doesn't hide another that begins later or is longer
-    alts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("v.slug_rank"), F.col("s")))),
-                                    lambda x: _quoted(x["s"])), "|")
-    return best.agg(
-        F.concat(F.lit("(?<=/)(?=("), alts, F.lit(")(?:[/?#]|$))")).alias("_j7_pat"),
-        F.concat(F.lit("^(?=("), alts, F.lit(")/)")).alias("_j7_start"),
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col("v.slug_rank"), F.col("s")))),
-                    lambda x: x["s"]).alias("_j7_ranked"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("s"), F.col("v.category")))).alias("_j7_map"))
+def _folded(m: DataFrame) -> DataFrame:
+    """(slug, slug_rank, category): lower-cased slugs with their first row of the file."""
+    return (m.groupBy(F.lower("slug").alias("slug")).agg(F.min(F.struct("slug_rank", "category")).alias("v"))
+            .select("slug", "v.slug_rank", "v.category"))
+
+
+def component_runs(text: Column, longest: int) -> Column:
+    """All texts s of up to ``longest`` '/'-separated segments for which ``text`` holds '/s/',
+    '/s?' or '/s#', ends with '/s' or starts with 's/'."""
+    segments = F.split(text, "/")
+    n = F.size(segments)
+
+    def ended(x: Column) -> Column:
+        """x up to each of its '?' and '#', and the whole of it."""
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))),
+                          lambda p: F.substr(x, p, F.lit(1)).isin("?", "#"))
+        cut = F.transform(places, lambda p: F.substr(x, F.lit(1), p - 1))
+        return F.when(x.rlike("[?#]"), F.concat(cut, F.array(x))).otherwise(F.array(x))
+
+    def runs_of(size: int) -> Column:
+        def run(i: Column) -> Column:
+            before = F.concat_ws("/", F.slice(segments, i + 1, F.lit(size - 1)), F.array(F.lit("")))
+            return F.transform(ended(F.get(segments, i + (size - 1))), lambda x: F.concat(before, x) if size > 1 else x)
+
+        later = F.flatten(F.transform(F.sequence(F.lit(1), n - size), run))
+        start = F.array(F.array_join(F.slice(segments, F.lit(1), F.lit(size)), "/"))
+        return F.when(n > size, F.concat(start, later)).otherwise(F.array().cast("array<string>"))
+
+    found = F.concat(*[runs_of(size) for size in range(1, longest + 1)])
+    return F.array_distinct(found)
 
 
 def section_label_join(df: DataFrame, mapping: DataFrame, url: str = "url",
@@ -106,47 +119,23 @@ def derive_labels(df: DataFrame, mapping: DataFrame, url: str = "url") -> DataFr
 
 def weak_labels(df: DataFrame, mapping: DataFrame, url: str = "url") -> DataFrame:
     """First candidate slug (path order, case-sensitive) found in the
-    mapping -> distant_label ('unknown' when none), url_category, matched_slug.
-
-    The mapping becomes one regex over path segments whose leftmost match is
-    the first mapped segment; it is built inside Spark from the mapping and
-    broadcast as a one-row frame. Mappings too large for one row fall back
-    to explode + equi-join + per-article minimum."""
-    m = usable_mapping(mapping)
-    if _fits_in_row(m):
-        mf = bounded_broadcast(_j6_frame(m))
-        # the pattern is a column (built from the mapping), compiled once per task
-        hit = F.call_function("regexp_extract", U.url_path(url), F.col("_j6_pat"), F.lit(1))
-        out = (df.crossJoin(mf).withColumn("matched_slug", F.nullif(hit, F.lit("")))
-                 .withColumn("url_category", F.try_element_at(F.col("_j6_map"), F.col("matched_slug")))
-                 .drop("_j6_pat", "_j6_map"))
-    else:
-        slugs = U.candidate_slugs(U.url_path(url))
-        ex = (df.select("article_id", F.posexplode(slugs).alias("_pos", "_slug"))
-                .join(_last_rows(m).select(F.col("slug").alias("_slug"), F.col("v.category")), "_slug")
-                .groupBy("article_id")
-                .agg(F.min(F.struct("_pos", "_slug", "category")).alias("_hit")))
-        out = (df.join(ex, "article_id", "left")
-                 .withColumn("matched_slug", F.col("_hit._slug"))
-                 .withColumn("url_category", F.col("_hit.category")).drop("_hit"))
-    return out.withColumn("distant_label", F.coalesce("url_category", F.lit(UNKNOWN)))
+    mapping -> distant_label ('unknown' when none), url_category, matched_slug."""
+    hits = _first_hits(df, U.candidate_slugs(U.url_path(url)), _last_rows(usable_mapping(mapping)), "_pos")
+    return hits.select(*df.columns, F.col("_hit.slug").alias("matched_slug"),
+                       F.col("_hit.category").alias("url_category"),
+                       F.coalesce("_hit.category", F.lit(UNKNOWN)).alias("distant_label"))
 
 
 def mapped_category(df: DataFrame, mapping: DataFrame, text: str = "text",
                     out: str = "mapped_category") -> DataFrame:
     """The category of the first mapping row (file order) whose slug
     appears in the lower-cased text as a path component ('/s/', ends '/s',
-    starts 's/', '/s?', '/s#'); NULL when none. One regex finds every mapped
-    component; array_intersect with the slugs in mapping order picks the
-    lowest rank."""
-    mf = bounded_broadcast(_j7_frame(usable_mapping(mapping)))
+    starts 's/', '/s?', '/s#'); NULL when none. A slug may hold '/' itself."""
+    index = _folded(usable_mapping(mapping))
+    longest = index.agg(F.max(F.size(F.split("slug", "/")))).first()[0] or 1
     t = F.col(text) if isinstance(text, str) else text
-    found = F.concat(F.regexp_extract_all(F.lower(t), F.col("_j7_pat"), F.lit(1)),
-                     F.regexp_extract_all(F.lower(t), F.col("_j7_start"), F.lit(1)))
-    first = F.get(F.array_intersect(F.col("_j7_ranked"), found), 0)
-    return (df.crossJoin(mf)
-              .withColumn(out, F.when(F.size(found) > 0, F.try_element_at(F.col("_j7_map"), first)))
-              .drop("_j7_pat", "_j7_start", "_j7_ranked", "_j7_map"))
+    hits = _first_hits(df, component_runs(F.lower(t), longest), index, "slug_rank")
+    return hits.select(*df.columns, F.col("_hit.category").alias(out))
 
 
 def hash_sample(df: DataFrame, key: str = "article_id", n: int = 1000, seed: int = 42) -> DataFrame:

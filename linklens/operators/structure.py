@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linklens.functions import urls as U
+from linklens.operators.ranks import exact_quantiles
 from linklens.session import bounded_broadcast
 
 STRUCT_MEASURES = ["path_length", "num_segments", "avg_segment_length"]
@@ -146,7 +147,7 @@ def high_low_comparison(combined: DataFrame) -> DataFrame:
     """Split at the median f1 (>= high, < low): mean of each structure
     metric in both halves and the difference."""
     scols = structure_columns_of(combined)
-    med = combined.agg(F.percentile("f1", 0.5).alias("_med"))
+    med = exact_quantiles(combined, "f1", [0.5], ["_med"])
     j = combined.crossJoin(bounded_broadcast(med))
     hi = F.col("f1") >= F.col("_med")
     aggs = []
@@ -161,11 +162,14 @@ def high_low_comparison(combined: DataFrame) -> DataFrame:
 
 def f1_by_semantic_share(combined: DataFrame) -> DataFrame:
     """Five-number summary of f1 for semantic share > .5 and <= .5."""
-    q = F.percentile("f1", [0.0, 0.25, 0.5, 0.75, 1.0])
-    return (combined.groupBy((F.col("is_semantic_mean") > 0.5).alias("mostly_semantic"))
-                    .agg(q.alias("_q"), F.count(F.lit(1)).alias("n"))
-                    .select("mostly_semantic", "n", *[F.col("_q")[i].alias(n) for i, n in
-                            enumerate(["min", "q25", "median", "q75", "max"])]))
+    names = ["min", "q25", "median", "q75", "max"]
+    rows = combined.select((F.col("is_semantic_mean") > 0.5).alias("mostly_semantic"), "f1")
+    n = rows.groupBy("mostly_semantic").agg(F.count(F.lit(1)).alias("n"))
+    # at most three groups
+    q = exact_quantiles(rows, "f1", [0.0, 0.25, 0.5, 0.75, 1.0], names, ["mostly_semantic"])
+    q = q.withColumnRenamed("mostly_semantic", "_g")
+    return (n.join(bounded_broadcast(q), F.col("mostly_semantic").eqNullSafe(F.col("_g")), "left")
+             .select("mostly_semantic", "n", *names))
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -247,9 +251,7 @@ def path_length_hist(struct: DataFrame, bins: int = 30) -> DataFrame:
 
 def describe_column(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max of one column."""
-    q = F.percentile(col, [0.25, 0.5, 0.75])
-    return df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"),
-                  F.stddev_samp(col).alias("std"), F.min(col).cast("double").alias("min"),
-                  q.alias("_q"), F.max(col).cast("double").alias("max")).select(
-        "count", "mean", "std", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-        F.col("_q")[2].alias("q75"), "max")
+    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
+    one = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
+                 F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"))
+    return one.crossJoin(bounded_broadcast(q)).select("count", "mean", "std", "min", "q25", "q50", "q75", "max")

@@ -1,4 +1,4 @@
-"""Relational text features and naive Bayes.
+"""Relational text features and naive Bayes.
 
 Token rule (scikit-learn's default ``\\b\\w\\w+\\b`` with Unicode word
 characters): maximal runs of letters, digits and '_' of length >= 2 on the
@@ -11,6 +11,9 @@ bounded by the vocabulary size.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,20 +36,25 @@ def term_frequencies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """M1b (corpus form): per term the number of documents and of occurrences."""
-    tf = term_frequencies(docs, doc_id, text)
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """M1b (corpus form): per term the number of documents and of occurrences. Terms are
+    told apart inside the row, so that only partial sums per term are shuffled."""
+    words = docs.select(F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_t"))
+    once = F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
+    each = F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
+    return (words.select(F.explode(F.concat(once, each)).alias("_s")).groupBy("_s.term")
+            .agg(F.sum("_s.df").alias("df"), F.sum("_s.cf").alias("cf")))
 
 
 def tfidf_vocabulary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                      max_features: int | None = 5000, min_df: int = 2,
                      max_df: float = 0.95, tf: DataFrame | None = None) -> DataFrame:
     """(term, df, cf, idf): terms with min_df <= df <= max_df * n_docs, the
-    max_features most frequent (ties by term), idf = ln((1+n)/(1+df)) + 1."""
-    tf = tf if tf is not None else term_frequencies(docs, doc_id, text)
+    max_features most frequent (ties by term), idf = ln((1+n)/(1+df)) + 1.
+    Counts come from ``tf`` (doc_id, term, tf) if given, else from the texts."""
     n = docs.agg(F.count(F.lit(1)).alias("_n"))
-    st = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    st = term_counts(docs, text) if tf is None else tf.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     st = st.crossJoin(bounded_broadcast(n)).where(
         (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("_n")))
     if max_features:
@@ -104,54 +112,185 @@ def nb_fit(train: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
     return tlp, classes.drop("_den")
 
 
+HOT_SHARE = 1e-3        # terms with a larger share of the training weight, at most 1 / HOT_SHARE of them
+SALTS = 32
+
+
+@dataclass
+class NaiveBayes:
+    """A fitted model: sorted labels, their log priors, and per term its idf, the log
+    probability under each label and whether it is hot."""
+    labels: list
+    log_prior: list[float]
+    terms: DataFrame            # (term, idf, logp array<double>, hot)
+    tfidf: bool
+
+
+def _terms_of(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(_row, keep.., term, tf) of rows numbered by ``_row``, with one row of a null term each.
+
+    Texts are shuffled once, by row number; both counts and what follows per row need no more."""
+    words = F.coalesce(tokens(text), F.array().cast("array<string>"))
+    one = F.array(F.lit(None).cast("string"))
+    return (rows.repartition("_row").select("_row", *keep, F.explode(F.concat(one, words)).alias("term"))
+            .groupBy("_row", "term").agg(*[F.first(c).alias(c) for c in keep], F.count(F.lit(1)).alias("tf")))
+
+
+def nb_train(train: DataFrame, text: str = "text", label: str = "label", alpha: float = 1.0, tfidf: bool = False,
+             max_features: int | None = None, min_df: int = 1, max_df: float = 1.0) -> NaiveBayes:
+    """Multinomial naive Bayes on term counts or on L2-normalised TF-IDF weights of the
+    ``max_features`` most frequent terms. Each row is a document; null labels drop."""
+    tr = train.select(F.col(label).alias("label"), F.col(text).alias("text")).where(F.col("label").isNotNull())
+    vocab = materialize_table(tfidf_vocabulary(tr, text="text", max_features=max_features, min_df=min_df, max_df=max_df))
+    near = bounded_broadcast if max_features else broadcast_if_small
+    idf = near(vocab.select("term", "idf"))
+    if tfidf:
+        rows = tr.withColumn("_row", F.monotonically_increasing_id())
+        w = _terms_of(rows, "text", "label").join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_row")))
+        w = w.withColumn("w", F.col("w") / norm)
+    else:
+        w = tr.select("label", F.explode(tokens("text")).alias("term")).join(
+            idf, "term", "left_semi").withColumn("w", F.lit(1.0))
+    weights = materialize_table(w.groupBy("label", "term").agg(F.sum("w").alias("w")))
+    # one row per label
+    totals = weights.groupBy("label").agg(F.sum("w").alias("total"))
+    found = tr.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(totals, "label", "left").collect()
+    found.sort(key=lambda r: r["label"])
+    labels, n_all, size = [r["label"] for r in found], sum(r["n"] for r in found), vocab.count()
+    # a term has one weight per label
+    per_term = weights.groupBy("term").agg(F.map_from_arrays(F.collect_list("label"), F.collect_list("w")).alias("m"),
+                                           F.sum("w").alias("sum"))
+    logp = [F.log((F.coalesce(F.try_element_at("m", F.lit(r["label"])), F.lit(0.0)) + F.lit(float(alpha)))
+                  / F.lit((r["total"] or 0.0) + alpha * size)) for r in found]
+    whole = sum(r["total"] or 0.0 for r in found)
+    logp = F.array(*logp) if logp else F.array().cast("array<double>")
+    terms = materialize_table(per_term.join(idf, "term").select(
+        "term", "idf", logp.alias("logp"), (F.col("sum") > HOT_SHARE * whole).alias("hot")))
+    return NaiveBayes(labels, [math.log(r["n"] / n_all) for r in found], terms, tfidf)
+
+
+def _with_terms(words: DataFrame, model: NaiveBayes) -> DataFrame:
+    """Left join of (_row, term, ..) to the model: broadcast if it passes the size check,
+    else by term and, for the at most 1 / HOT_SHARE hot ones, a salt of the row."""
+    small = broadcast_if_small(model.terms)
+    if small is not model.terms:
+        return words.join(small, "term", "left")
+    return _salted(words, model)
+
+
+def _salted(words: DataFrame, model: NaiveBayes) -> DataFrame:
+    hot = bounded_broadcast(model.terms.where("hot").select("term", "hot"))
+    words = words.join(hot, "term", "left").withColumn(
+        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("_row"), F.lit(SALTS))).otherwise(F.lit(0))).drop("hot")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    terms = model.terms.withColumn("salt", F.explode(copies)).withColumn("salt", F.col("salt").cast("long"))
+    return words.withColumn("salt", F.col("salt").cast("long")).join(terms, ["term", "salt"], "left")
+
+
+def nb_score(test: DataFrame, model: NaiveBayes, text: str = "text", out: str = "prediction") -> DataFrame:
+    """Every row of ``test`` with the label of the largest log prior + sum of weight * log
+    probability over its known terms (ties to the smallest label); null without labels.
+
+    A row's scores are one sum per label in one aggregate; no (row, label) rows are made, and
+    a row's columns travel with its null term, so rows may repeat an id."""
+    if not model.labels:
+        return test.withColumn(out, F.lit(None))
+    rows = test.select(F.monotonically_increasing_id().alias("_row"), F.struct(*test.columns).alias("_all"),
+                       F.col(text).alias("_text"))
+    words = (rows.repartition("_row")
+             .select("_row", "_all", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(
+                 tokens("_text"), F.array().cast("array<string>")))).alias("term"))
+             .select("_row", F.when(F.col("term").isNull(), F.col("_all")).alias("_all"), "term")
+             .groupBy("_row", "term").agg(F.first("_all", ignorenulls=True).alias("_all"), F.count(F.lit(1)).alias("tf")))
+    w = F.col("tf") * F.col("idf") if model.tfidf else F.col("tf").cast("double")
+    sums = [F.sum(F.col("w") * F.get("logp", F.lit(i))).alias(f"s{i}") for i in range(len(model.labels))]
+    scored = (_with_terms(words, model).withColumn("w", w).groupBy("_row")
+              .agg(F.first("_all", ignorenulls=True).alias("_all"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *sums))
+    norm = F.col("norm") if model.tfidf else F.lit(1.0)
+    scores = F.array(*[F.lit(p) + F.coalesce(F.col(f"s{i}") / F.when(norm > 0, norm), F.lit(0.0))
+                       for i, p in enumerate(model.log_prior)])
+    best = F.array_position(scores, F.array_max(scores)).cast("int")
+    labels = F.array(*[F.lit(v) for v in model.labels])
+    return scored.select("_all.*", F.element_at(labels, best).alias(out))
+
+
+def nb_tables_model(term_logprob: DataFrame, classes: DataFrame) -> NaiveBayes:
+    """The tables of ``nb_fit`` as a model to score with."""
+    rows = sorted(classes.select("label", "log_prior", "unseen_log_prob").collect(), key=lambda r: r["label"])
+    per_term = term_logprob.groupBy("term").agg(
+        F.map_from_arrays(F.collect_list("label"), F.collect_list("log_prob")).alias("m"), F.sum("count").alias("c"))
+    logp = [F.coalesce(F.try_element_at("m", F.lit(r["label"])), F.lit(r["unseen_log_prob"])) for r in rows]
+    logp = F.array(*logp) if logp else F.array().cast("array<double>")
+    whole = term_logprob.agg(F.sum("count")).first()[0] or 0
+    terms = materialize_table(per_term.select("term", F.lit(1.0).alias("idf"), logp.alias("logp"),
+                                              (F.col("c") > HOT_SHARE * whole).alias("hot")))
+    return NaiveBayes([r["label"] for r in rows], [r["log_prior"] for r in rows], terms, False)
+
+
 def nb_predict(term_logprob: DataFrame, classes: DataFrame, test: DataFrame, doc_id: str = "doc_id",
-               text: str = "text", alpha: float = 1.0) -> DataFrame:
-    """(doc_id, prediction): argmax over classes of
-    log_prior + sum_t tf * log_prob(c, t) over in-vocabulary terms; ties go
+               text: str = "text") -> DataFrame:
+    """(doc_id, prediction) of every row of ``test`` under the tables of ``nb_fit``: argmax over
+    classes of log_prior + sum_t tf * log_prob(c, t) over in-vocabulary terms; ties go
     to the smallest label (first in sorted order)."""
-    tf = term_frequencies(test, doc_id, text)
-    # model-side tables are broadcast when their size check passes: test
-    # tokens are heavily skewed on common terms, and a broadcast join keeps
-    # them where they are
-    vocab = broadcast_if_small(term_logprob.select("term").distinct())
-    tfv = tf.join(vocab, "term", "left_semi")
-    n_in = tfv.groupBy(doc_id).agg(F.sum("tf").alias("_nv"))
-    # seen (class, term) pairs add tf * (log_prob - unseen_log_prob) on top of
-    # the unseen baseline that every in-vocabulary token gets
-    delta = (term_logprob.join(broadcast_if_small(classes.select("label", "unseen_log_prob")), "label")
-                         .select("label", "term", (F.col("log_prob") - F.col("unseen_log_prob")).alias("_d")))
-    seen = (tfv.join(broadcast_if_small(delta), "term").groupBy(doc_id, "label")
-               .agg(F.sum(F.col("tf") * F.col("_d")).alias("_s")))
-    ids = test.select(doc_id).distinct().join(n_in, doc_id, "left")
-    # every document is scored against every class; classes are the label set
-    base = ids.crossJoin(bounded_broadcast(classes.select("label", "log_prior", "unseen_log_prob")))
-    score = (base.join(seen, [doc_id, "label"], "left")
-                 .select(doc_id, "label", (F.col("log_prior") + F.coalesce("_nv", F.lit(0)) * F.col("unseen_log_prob")
-                                           + F.coalesce("_s", F.lit(0.0))).alias("score")))
-    return score.groupBy(doc_id).agg(
-        F.min_by("label", F.struct(-F.col("score"), F.col("label"))).alias("prediction"))
-
-
-def two_stage_predict(test: DataFrame, train_weak: DataFrame, mapping: DataFrame,
-                      doc_id: str = "article_id", text: str = "url", truth: str = "category") -> DataFrame:
-    """M9: weak-label scoring. Stage 1 takes the mapping-order URL match
-    when its category is a trained label; stage 2 scores only the remaining
-    rows with the naive Bayes model trained on the weak labels."""
+    return nb_score(test.select(doc_id, text), nb_tables_model(term_logprob, classes), text).select(doc_id, "prediction")
+
+
+# ---- weak-label models (M9, M11, M12) ----------------------------------------
+
+def weak_or_true_labels(train: DataFrame, mapping: DataFrame, url: str = "url", truth: str = "category",
+                        **check) -> DataFrame:
+    """M11's training rows: ``train`` with ``label`` and ``label_source``. If the URL check
+    (D5) passes and any row has a mapped slug, the rows with one, labelled by it (``url``);
+    else every row with a true label (``true``). One row decides, inside the plan."""
+    from linklens.operators.slugs import UNKNOWN, url_tagging_check, weak_labels
+    lab = weak_labels(train, mapping, url).withColumn("_weak", F.nullif("distant_label", F.lit(UNKNOWN)))
+    gate = url_tagging_check(train, mapping, url, **check).select("uses_url_tagging")
+    some = lab.agg((F.count("_weak") > 0).alias("_some"))
+    use = materialize_table(gate.crossJoin(some).select(
+        (F.coalesce("uses_url_tagging", F.lit(False)) & F.col("_some")).alias("_use")))
+    label = F.when(F.col("_use"), F.col("_weak")).otherwise(F.col(truth))
+    return (lab.crossJoin(bounded_broadcast(use)).withColumn("label", label).where(F.col("label").isNotNull())
+            .select(*train.columns, "label", F.when(F.col("_use"), "url").otherwise("true").alias("label_source")))
+
+
+def weak_label_model(train: DataFrame, mapping: DataFrame, url: str = "url", text: str = "url", truth: str = "category",
+                     max_features: int = 10000, **check) -> NaiveBayes:
+    """Naive Bayes on TF-IDF of the weakly labelled rows, or of all by their true labels."""
+    return nb_train(weak_or_true_labels(train, mapping, url, truth, **check), text, "label", tfidf=True,
+                    max_features=max_features)
+
+
+def two_stage_predict(test: DataFrame, model: NaiveBayes, mapping: DataFrame | None, doc_id: str = "article_id",
+                      text: str = "url", truth: str = "category") -> DataFrame:
+    """M9: stage 1 takes the mapping-order match (J7) in the text when it is a label that the
+    model knows; stage 2 is the model, for the other rows only. (doc_id, label, prediction,
+    source); the source is ``mapping`` or ``classifier``, and ``none`` for a model without labels."""
     from linklens.operators.slugs import mapped_category
-    tr = train_weak.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
-                           F.col("category_label").alias("label"))
-    tlp, cls = nb_fit(tr, "doc_id", "text", "label")
-    trained = bounded_broadcast(cls.select(F.col("label").alias("_trained")))
-    m = mapped_category(test.select(doc_id, text, truth), mapping, text, "_mapped")
-    m = (m.join(trained, F.col("_mapped") == F.col("_trained"), "left")
-          .withColumn("_p1", F.when(F.col("_trained").isNotNull(), F.col("_mapped")))
-          .select(doc_id, text, truth, "_p1"))
-    # stage 1 output is read twice (rows left for stage 2, final answer):
-    # write the scored split once
-    m = materialize_table(m)
-    rest = m.where(F.col("_p1").isNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    p2 = nb_predict(tlp, cls, rest, "doc_id", "text").withColumnRenamed("doc_id", doc_id)
-    return (m.join(p2, doc_id, "left")
-             .select(doc_id, F.col(truth).alias("label"),
-                     F.coalesce("_p1", "prediction").alias("prediction"),
-                     F.when(F.col("_p1").isNotNull(), "mapping").otherwise("classifier").alias("source")))
+    rows = test.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(truth).alias("label"))
+    if mapping is None or not model.labels:
+        rows = rows.withColumn("_first", F.lit(None).cast("string"))
+    else:
+        rows = mapped_category(rows, mapping, "_text", "_first")
+        rows = rows.withColumn("_first", F.when(F.col("_first").isin(*model.labels), F.col("_first")))
+    # a row of stage 1 has no terms to score
+    rows = rows.withColumn("_text", F.when(F.col("_first").isNull(), F.col("_text")))
+    source = F.when(F.col("_first").isNotNull(), "mapping").otherwise(
+        F.lit("classifier" if model.labels else "none"))
+    return nb_score(rows, model, "_text", "_second").select(
+        F.col("_id").alias(doc_id), "label", F.coalesce("_first", "_second").alias("prediction"), source.alias("source"))
+
+
+def two_stage_evaluation(predicted: DataFrame, model: NaiveBayes) -> DataFrame:
+    """the predictions of rows whose true label the model knows."""
+    return predicted.where(F.col("label").isin(*model.labels) if model.labels else F.lit(False))
+
+
+def section_training_rows(df: DataFrame, mapping: DataFrame | None, url: str = "url", text: str = "title",
+                          truth: str = "category") -> DataFrame:
+    """M12's training pairs (article_id, x, y): by the mapped first section (J4); without a
+    mapping all rows with a true label."""
+    from linklens.operators.slugs import section_label_join
+    if mapping is None:
+        return df.where(F.col(truth).isNotNull()).select("article_id", F.col(text).alias("x"), F.col(truth).alias("y"))
+    return section_label_join(df, mapping, url, text)

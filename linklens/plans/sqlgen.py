@@ -158,3 +158,29 @@ def nb_ctes(train: str, test: str, p: str = "nb") -> str:
         f"FROM {p}_pairs pr LEFT JOIN {p}_contrib c USING (doc_id, label))",
         f"{p}_pred AS (SELECT doc_id, arg_min(label, (-score, label)) AS prediction FROM {p}_score GROUP BY 1)",
     ])
+
+
+def tfidf_nb_ctes(train: str, test: str, max_features: int, p: str = "tn") -> str:
+    """train(doc_id, text, label), test(doc_id, text) -> {p}_pred(doc_id, prediction): naive Bayes
+    on L2-normalised TF-IDF weights of the most frequent training terms; doc_id is unique."""
+    return ",\n".join([
+        tf_cte(train, "doc_id", "text", f"{p}_tr"),
+        f"{p}_n AS (SELECT count(*) AS n FROM {train})",
+        f"{p}_vocab AS (SELECT term, ln((1.0 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM {p}_tr, {p}_n "
+        f"GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {max_features})",
+        f"{p}_w AS (SELECT doc_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS w "
+        f"FROM {p}_tr JOIN {p}_vocab USING (term))",
+        f"{p}_dp AS (SELECT label, count(*) AS n_docs FROM {train} GROUP BY 1)",
+        f"{p}_fc AS (SELECT label, term, sum(w) AS fc FROM {p}_w JOIN {train} USING (doc_id) GROUP BY ALL)",
+        f"{p}_den AS (SELECT label, coalesce(sum(fc), 0) + (SELECT count(*) FROM {p}_vocab) AS den "
+        f"FROM {p}_dp LEFT JOIN {p}_fc USING (label) GROUP BY 1)",
+        f"{p}_lp AS (SELECT d.label, v.term, ln((coalesce(fc, 0) + 1.0) / den) AS lp FROM {p}_den d CROSS JOIN {p}_vocab v "
+        f"LEFT JOIN {p}_fc f ON f.label = d.label AND f.term = v.term)",
+        tf_cte(test, "doc_id", "text", f"{p}_te"),
+        f"{p}_tw AS (SELECT doc_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS w "
+        f"FROM {p}_te JOIN {p}_vocab USING (term))",
+        f"{p}_s AS (SELECT doc_id, label, sum(w * lp) AS s FROM {p}_tw JOIN {p}_lp USING (term) GROUP BY ALL)",
+        f"{p}_score AS (SELECT t.doc_id, d.label, ln(CAST(n_docs AS DOUBLE) / (SELECT n FROM {p}_n)) + coalesce(s, 0) AS score "
+        f"FROM {test} t CROSS JOIN {p}_dp d LEFT JOIN {p}_s s ON s.doc_id = t.doc_id AND s.label = d.label)",
+        f"{p}_pred AS (SELECT doc_id, arg_min(label, (-score, label)) AS prediction FROM {p}_score GROUP BY 1)",
+    ])

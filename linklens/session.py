@@ -106,7 +106,19 @@ def materialize(df: DataFrame) -> DataFrame:
     root = ensure_checkpoint_dir(df.sparkSession)
     path = f"{root.rstrip('/')}/linklens-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._table_path = path
+    return out
+
+
+def table_path(table: DataFrame) -> str:
+    """Where materialize() wrote a table."""
+    return table._table_path
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def drop_materialized(spark: SparkSession) -> None:

@@ -25,11 +25,15 @@ def write_split(df: DataFrame, path: str, split: str = "test", fmt: str = "csv")
 
 def write_run_metrics(tables: dict[str, DataFrame], root: str, run_id: str,
                       fmt: str = "parquet") -> None:
-    """The four metric tables (macro, topic, domain, domain_topic) of one
-    run, stamped with run_id and appended under root/<name>/run_id=<id>."""
+    """The metric tables (macro, topic, domain, domain_topic) of one run, stamped
+    with run_id, under root/<name>/run_id=<id>. A run written again replaces its own
+    partition and leaves the others."""
     for name, df in tables.items():
-        (df.withColumn("run_id", F.lit(run_id)).write.mode("append")
-           .partitionBy("run_id").format(fmt).save(f"{root.rstrip('/')}/{name}"))
+        w = (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
+               .option("partitionOverwriteMode", "dynamic").partitionBy("run_id"))
+        if fmt == "csv":
+            w = w.option("header", True)
+        w.format(fmt).save(f"{root.rstrip('/')}/{name}")
 
 
 def write_mapping_template(template: DataFrame, path: str) -> None:

@@ -115,3 +115,11 @@ def inline_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -
 
 def slug_map(spark: SparkSession) -> DataFrame:
     return inline_table(spark, SLUG_MAP_ROWS, SLUG_MAP_SCHEMA)
+
+
+# The test view's suffix rules, one of each kind; hosts under .org have none.
+SUFFIX_RULE_ROWS = [("com",), ("net",), ("org.uk",), ("example.com",), ("*.example.net",), ("!ththan.example.net",)]
+
+
+def suffix_rules(spark: SparkSession) -> DataFrame:
+    return inline_table(spark, SUFFIX_RULE_ROWS, T.StructType([T.StructField("rule", T.StringType(), False)]))

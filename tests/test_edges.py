@@ -45,11 +45,11 @@ def test_overlapping_slugs(spark):
     assert got == {"/a/b/c": "AB", "/a/x": "A", "/x/b/c": "BC", "a/b/": "AB", "http://h/a": "A", "/q": None}
 
 
-def test_repeated_slug_in_both_branches(spark, monkeypatch):
+def test_repeated_slug_with_and_without_broadcast(spark, monkeypatch):
     m = mapping(spark, ("tech", "ZZZ"), ("tech", "AAA"), ("news", "N"))
     df = spark.createDataFrame([(1, "http://h/tech/x"), (2, "http://h/q")], "article_id long, url string")
-    for fits in (True, False):
-        monkeypatch.setattr(SL, "_fits_in_row", lambda _, fits=fits: fits)
+    for small in (SL.broadcast_if_small, lambda d: d):
+        monkeypatch.setattr(SL, "broadcast_if_small", small)
         got = {r["article_id"]: r["distant_label"] for r in SL.weak_labels(df, m).collect()}
         assert got == {1: "AAA", 2: "unknown"}
 
