@@ -76,6 +76,13 @@ def success_pivot(results: DataFrame, datasets=("en", "es", "pt")) -> DataFrame:
     return results.groupBy("feature").pivot("dataset", list(datasets)).agg(F.avg("success_rate"))
 
 
+def overall_means(results: DataFrame) -> DataFrame:
+    """Number of runs, mean success rate, f1 and, where it was measured, throughput."""
+    speed = [F.avg("throughput").alias("throughput_mean")] if "throughput" in results.columns else []
+    return results.agg(F.count(F.lit(1)).alias("n_runs"), F.avg("success_rate").alias("success_rate_mean"),
+                       F.avg("f1").alias("f1_mean"), *speed)
+
+
 def mean_f1_by(results: DataFrame, keys=("dataset", "model")) -> DataFrame:
     """R8."""
     return results.groupBy(*keys).agg(F.avg("f1").alias("f1_mean"))

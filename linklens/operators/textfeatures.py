@@ -47,8 +47,8 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def tfidf_vocabulary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                     max_features: int | None = 5000, min_df: int = 2,
-                     max_df: float = 0.95, tf: DataFrame | None = None) -> DataFrame:
+                     max_features: int | None = 5000, min_df: int = 1,
+                     max_df: float = 1.0, tf: DataFrame | None = None) -> DataFrame:
     """(term, df, cf, idf): terms with min_df <= df <= max_df * n_docs, the
     max_features most frequent (ties by term), idf = ln((1+n)/(1+df)) + 1.
     Counts come from ``tf`` (doc_id, term, tf) if given, else from the texts."""
@@ -64,7 +64,7 @@ def tfidf_vocabulary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def tfidf(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_features: int | None = 5000,
-          min_df: int = 2, max_df: float = 0.95) -> DataFrame:
+          min_df: int = 1, max_df: float = 1.0) -> DataFrame:
     """M1: (doc_id, term, tf, weight) with L2-normalised tf * idf weights."""
     tf = term_frequencies(docs, doc_id, text)
     vocab = tfidf_vocabulary(docs, doc_id, text, max_features, min_df, max_df, tf=tf)

@@ -486,12 +486,12 @@ def q_publisher_overlap(spark, sf):
 
 
 @query("performance_by_url_type", struct_sql("""
-SELECT dominant_url_type, avg(accuracy) AS accuracy_mean, stddev_samp(accuracy) AS accuracy_std,
-       count(accuracy) AS accuracy_count, avg(f1) AS f1_mean, stddev_samp(f1) AS f1_std, count(f1) AS f1_count,
-       CAST(sum(support) AS BIGINT) AS support_sum
+SELECT dominant_url_type, round_even(avg(accuracy), 4) AS accuracy_mean, round_even(stddev_samp(accuracy), 4) AS accuracy_std,
+       count(accuracy) AS accuracy_count, round_even(avg(f1), 4) AS f1_mean, round_even(stddev_samp(f1), 4) AS f1_std,
+       count(f1) AS f1_count, CAST(sum(support) AS BIGINT) AS support_sum
 FROM combined GROUP BY 1""", combined=True))
 def q_performance_by_url_type(spark, sf):
-    return ST.performance_by_url_type(combined_frame(spark, sf))
+    return ST.performance_by_url_type(combined_frame(spark, sf), 4)
 
 
 _SCOLS = ["path_length_mean", "path_length_std", "num_segments_mean", "num_segments_std",
@@ -1204,6 +1204,15 @@ def q_success_pivot(spark, sf):
     return R.success_pivot(runs(spark, sf))
 
 
+@query("model_group_means", runs_sql("""
+SELECT count(*) AS n_runs, avg(success_rate) AS success_rate_mean, avg(f1) AS f1_mean FROM runs WHERE contains(model, 'mapping')
+OR contains(model, 'two-stage')"""))
+def q_model_group_means(spark, sf):
+    """R7's overall means, of the runs that may leave rows without a prediction."""
+    r = runs(spark, sf)
+    return R.overall_means(FL.name_contains(r, "model", "mapping").unionByName(FL.name_contains(r, "model", "two-stage")))
+
+
 @query("mean_f1_by_dataset_model", runs_sql("SELECT dataset, model, avg(f1) AS f1_mean FROM runs GROUP BY 1, 2"))
 def q_mean_f1_by(spark, sf):
     return R.mean_f1_by(runs(spark, sf))
