@@ -17,6 +17,7 @@ import regex
 from tokenizers import Tokenizer
 
 CACHE_WORDS = 400_000          # entries a worker keeps before it starts afresh
+RECENT_WORDS = 300_000         # the same for word ids, where the entries before stay in reach
 
 # The splitter patterns written in the two tokenizer files.
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d|"
@@ -49,27 +50,46 @@ def _letters(piece: str) -> str:
 
 class WordIds(dict):
     """word (bytes without white space) -> its ids as little-endian unsigned 32-bit
-    integers, for files whose splitter drops white space and lower-cases."""
+    integers, for files whose splitter drops white space and lower-cases.
+
+    Rare words are most of the work, and many differ only in case or punctuation, so the
+    splitter's pieces are kept too. A full cache becomes the one to look in second."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.before: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        text = word.decode()
-        if _LATIN.fullmatch(text) and "<|" not in text:
-            ids = [t.id for p in WORD_END_PIECES.findall(text.lower())
-                   for t in self.model.tokenize(_letters(p))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        value = array("I", ids).tobytes()
+        value = self.before.get(word)
+        if value is None:
+            value = self._ids(word.decode())
         if len(word) <= 64:
+            if len(self) >= RECENT_WORDS:
+                self.before = dict(self)
+                self.clear()
             self[word] = value
         return value
 
+    def _ids(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():
+            return self._piece(text.lower())
+        if _LATIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self._piece, WORD_END_PIECES.findall(text.lower())))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        value = self.pieces.get(piece)
+        if value is None:
+            value = array("I", [t.id for t in self.model.tokenize(_letters(piece))]).tobytes()
+            if len(piece) <= 64:
+                if len(self.pieces) >= RECENT_WORDS:
+                    self.pieces.clear()
+                self.pieces[piece] = value
+        return value
+
     def encode(self, text: bytes) -> bytes:
         # a combining mark after white space stays with it, so words are independent
         return b"".join(map(self.__getitem__, text.split()))
