@@ -267,7 +267,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 def _outliers(large: DataFrame, member: DataFrame, heads: int, percent: int, steps: Steps) -> DataFrame:
     """Second candidates of crowds: members outside the component of their node's smallest
-    class, with ``heads`` spread members of the node (the smallest of each hash class)."""
+    class, with ``heads`` spread members of the node (the smallest of each hash class). What
+    they leave apart is joined exactly afterwards."""
     rows = steps.table(large.join(member, "sid", "left")
                        .withColumn("component", F.coalesce("component", "sid"))
                        .select("node", "sid", "n", "sample", "component"), "crowds")
@@ -277,7 +278,9 @@ def _outliers(large: DataFrame, member: DataFrame, heads: int, percent: int, ste
             .agg(F.min(F.struct("sid", "n", "sample", "component")).alias("h"))
             .select("node", F.col("h.sid").alias("a"), F.col("h.n").alias("an"), F.col("h.sample").alias("asample"),
                     F.col("h.component").alias("head")))
-    out = (rows.join(first, "node").filter("component != main")
+    # a member meets the heads of two of its nodes, the same two for most members of a crowd
+    ends = rows.groupBy("sid").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    out = (rows.join(ends, "sid").filter("node IN (low, high)").join(first, "node").filter("component != main")
            .select("node", F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("sample").alias("bsample"),
                    "component"))
     # sizes decide in the join, samples right after it
@@ -424,11 +427,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, trees:
     placed = small.join(member, "sid", "left").select(
         "node", "sid", "n", "sample", F.coalesce("component", "sid").alias("component"))
     between = _leaf_pairs(placed, percent)
-    heads_of = crowd.join(side, "a", "left").withColumn("ca", F.coalesce("ca", "a"))
-    far = (large.join(member, "sid", "left").join(heads_of, "node")
-           .filter(F.coalesce("component", "sid") != F.col("ca"))
-           .withColumnsRenamed({"sid": "b", "n": "bn", "sample": "bsample"}))
-    rest = between.unionByName(_possible(far, percent)).unionByName(_outliers(large, member, heads, percent, steps))
+    # the smallest class of a crowd's node is one of its spread members
+    rest = between.unionByName(_outliers(large, member, heads, percent, steps))
     rest = rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     rest = steps.table(rest, "rest")
     more = steps.table(_confirm(rest, texts, shingle, percent), "more")
