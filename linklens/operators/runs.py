@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from linklens.functions import urls as U
 from linklens.operators import metrics as M
 from linklens.operators.slugs import mapped_category
-from linklens.operators.textfeatures import tokens
+from linklens.operators.textfeatures import HOT_SHARE, salted_terms, tokens
 from linklens.session import bounded_broadcast, broadcast_if_small, materialize
 
 
@@ -51,23 +51,34 @@ RUN = ["dataset", "feature", "condition"]
 
 
 def stacked_texts(articles: DataFrame) -> DataFrame:
-    """(_row, dataset, feature, condition, label, split, text): every article once per URL or
-    title feature, with and without dates."""
-    texts = {"title": F.col("title"), "url_raw": F.col("url"), "url_path_raw": U.url_path("url")}
+    """(_row, dataset, feature, condition, label, text): every article once per URL or title
+    feature, with and without dates. Rows are picked before: no filter passes below ``_row``."""
+    texts = {"title": F.col("title"), "url_raw": F.col("url"), "url_path_raw": F.col("_path")}
     stack = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(c).alias("condition"),
                                (texts[f] if c == "with_dates" else U.strip_dates(texts[f])).alias("text"))
                       for f in FEATURES for c in CONDITIONS])
     return (articles.select(F.monotonically_increasing_id().alias("_row"), F.col("language").alias("dataset"),
-                            F.col("category").alias("label"), "split", F.explode(stack).alias("s"))
-            .select("_row", "dataset", "s.feature", "s.condition", "label", "split", "s.text"))
+                            F.col("category").alias("label"), "title", "url", U.url_path("url").alias("_path"))
+            .select("_row", "dataset", "label", stack.alias("_stack"))
+            .select("_row", "dataset", "label", F.explode("_stack").alias("s"))
+            .select("_row", "dataset", "s.feature", "s.condition", "label", "s.text"))
+
+
+def _labelled(articles: DataFrame, split: str) -> DataFrame:
+    return articles.where((F.col("split") == split) & F.col("category").isNotNull())
 
 
 def _run_models(train: DataFrame) -> tuple[list, DataFrame, DataFrame]:
-    """(labels, per run, per (run, term)): log priors, the most frequent label, and the log
-    probability of the run's terms under every label, one array per smoothing."""
-    counts = materialize(train.select(*RUN, "label", F.explode(tokens("text")).alias("term"))
+    """(labels, per run, per (run, term)) of the articles ``train``: log priors, the most
+    frequent label, and the log probability of the run's terms under every label, one array
+    per smoothing, and whether the term is hot (at most 1 / HOT_SHARE terms of a run)."""
+    counts = materialize(stacked_texts(train).select(*RUN, "label", F.explode(tokens("text")).alias("term"))
                          .groupBy(*RUN, "label", "term").agg(F.count(F.lit(1)).alias("n")))
-    docs = train.groupBy(*RUN, "label").agg(F.count(F.lit(1)).alias("d"))
+    # every article counts once in each run of its dataset; no text is made for that
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(c).alias("condition")) for f in FEATURES for c in CONDITIONS])
+    docs = (train.groupBy(F.col("language").alias("dataset"), F.col("category").alias("label"))
+            .agg(F.count(F.lit(1)).alias("d")).withColumn("s", F.explode(each))
+            .select("dataset", "s.feature", "s.condition", "label", "d"))
     totals = counts.groupBy(*RUN, "label").agg(F.sum("n").alias("t"))
     sizes = counts.groupBy(*RUN, "term").agg(F.lit(1).alias("one")).groupBy(*RUN).agg(F.count(F.lit(1)).alias("v"))
     # a row per (run, label)
@@ -88,7 +99,9 @@ def _run_models(train: DataFrame) -> tuple[list, DataFrame, DataFrame]:
     per_term = per_term.join(bounded_broadcast(per_run.select(*RUN, "t", "v")), RUN)     # one row per run
     logp = [F.array(*[F.log((F.col(f"n{i}") + F.lit(a)) / (F.get("t", F.lit(i)) + F.lit(a) * F.col("v")))
                       for i in range(len(labels))]).alias(f"logp{k}") for k, a in enumerate(ALPHAS.values())]
-    return labels, per_run, materialize(per_term.select(*RUN, "term", *logp))
+    seen = sum((F.col(f"n{i}") for i in range(len(labels))), F.lit(0))
+    whole = F.aggregate("t", F.lit(0).cast("long"), lambda a, b: a + b)
+    return labels, per_run, materialize(per_term.select(*RUN, "term", *logp, (seen > HOT_SHARE * whole).alias("hot")))
 
 
 def _bayes(test: DataFrame, labels: list, per_run: DataFrame, per_term: DataFrame) -> DataFrame:
@@ -101,7 +114,8 @@ def _bayes(test: DataFrame, labels: list, per_run: DataFrame, per_term: DataFram
              .select("_row", *RUN, F.when(F.col("term").isNull(), F.col("_all")).alias("_all"), "term")
              .groupBy("_row", *RUN, "term")
              .agg(F.first("_all", ignorenulls=True).alias("_all"), F.count(F.lit(1)).alias("tf")))
-    met = words.join(broadcast_if_small(per_term), [*RUN, "term"], "left")
+    near, on = broadcast_if_small(per_term), [*RUN, "term"]
+    met = salted_terms(words, per_term, on) if near is per_term else words.join(near, on, "left")
     sums = [F.coalesce(F.sum(F.col("tf") * F.get(f"logp{k}", F.lit(i))), F.lit(0.0)).alias(f"s{k}_{i}")
             for k in range(len(ALPHAS)) for i in range(len(labels))]
     got = (met.groupBy("_row", *RUN).agg(F.first("_all", ignorenulls=True).alias("_all"), *sums)
@@ -122,9 +136,8 @@ def run_confusion(articles: DataFrame, mapping: DataFrame) -> DataFrame:
     test rows. All runs are fitted and scored together, keyed by (dataset, feature,
     condition): naive Bayes with two smoothings, the mapping match (J7; null without one), the
     mapping with naive Bayes behind it, and the most frequent training label."""
-    rows = stacked_texts(articles)
-    labels, per_run, per_term = _run_models(rows.where((F.col("split") == "train") & F.col("label").isNotNull()))
-    test = rows.where((F.col("split") == "test") & F.col("label").isNotNull())
+    labels, per_run, per_term = _run_models(_labelled(articles, "train"))
+    test = stacked_texts(_labelled(articles, "test"))
     scored = mapped_category(_bayes(test, labels, per_run, per_term), mapping, "text", "mapped")
     found = {**{m: F.col(f"p{k}") for k, m in enumerate(ALPHAS)}, "mapping": F.col("mapped"),
              "two-stage": F.coalesce("mapped", "p0"), "majority": F.col("majority")}
@@ -156,9 +169,8 @@ def evaluation_topic_runs(conf: DataFrame) -> DataFrame:
 def measured_throughput(articles: DataFrame, mapping: DataFrame) -> DataFrame:
     """E5: (dataset, model, rows, seconds, throughput) of scoring each dataset's test rows, by
     the clock; two-stage scoring takes both of its parts' time."""
-    rows = stacked_texts(articles)
-    labels, per_run, per_term = _run_models(rows.where((F.col("split") == "train") & F.col("label").isNotNull()))
-    test = materialize(rows.where((F.col("split") == "test") & F.col("label").isNotNull()))
+    labels, per_run, per_term = _run_models(_labelled(articles, "train"))
+    test = materialize(stacked_texts(_labelled(articles, "test")))
     out = []
     for (dataset,) in per_run.select("dataset").distinct().orderBy("dataset").collect():
         mine = test.where(F.col("dataset") == dataset)

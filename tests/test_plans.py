@@ -39,3 +39,13 @@ def test_materialize_roundtrip_and_cleanup(spark):
     root = ensure_checkpoint_dir(spark)
     drop_materialized(spark)
     assert not os.path.exists(os.path.join(root, "linklens-tables"))
+
+
+def test_compressed_table_is_measured_before_a_broadcast(spark):
+    from linklens.session import materialize, measured_bytes
+    same = F.array(*[F.lit(0.5)] * 12).alias("logp")
+    table = materialize(spark.range(200_000).select("id", same))
+    size = plan_size_bytes(table)
+    assert 256 * 1024 < size < 8 << 20 and measured_bytes(table) > 16 << 20
+    assert broadcast_if_small(table, 8 << 20) is table
+    assert broadcast_if_small(table, 64 << 20) is not table

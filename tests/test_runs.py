@@ -156,3 +156,29 @@ def test_tfidf_naive_bayes_weights(spark):
     want = {t: [math.log((d.get(t, 0) + 1) / (sum(d.values()) + 3)) for d in (d1, d2)] for t in idf}
     got = {r.term: list(r.logp) for r in model.terms.collect()}
     assert model.labels == ["x", "y"] and all(abs(a - b) < 1e-12 for t in want for a, b in zip(got[t], want[t]))
+
+
+def test_large_run_models_are_joined_without_a_broadcast(spark, monkeypatch):
+    words = ["alpha", "beta", "gamma", "delta", "2019", "12"]
+    rows = [(i, f"http://h.com/{words[i % 6]}/2019/0{i % 9 + 1}/{i // 2}" if i % 7 else None, f"{words[i % 4]} {words[i % 5]} common",
+             "xyz"[i % 3] if i % 11 else None, "ab"[i % 2], "test" if i % 4 == 0 else "train") for i in range(120)]
+    arts = spark.createDataFrame(rows, "article_id long, url string, title string, category string, language string, split string")
+    mapping = spark.createDataFrame([(0, "beta", "x")], "slug_rank int, slug string, category string")
+    near = sorted(map(str, RN.run_confusion(arts, mapping).collect()))
+    salted = []
+    monkeypatch.setattr(RN, "broadcast_if_small", lambda d, *a: d)
+    monkeypatch.setattr(RN, "salted_terms", lambda *a: salted.append(a) or TF.salted_terms(*a))
+    assert sorted(map(str, RN.run_confusion(arts, mapping).collect())) == near and salted
+
+
+def test_null_terms_are_spread_by_row(spark):
+    words = spark.range(400).select(F.col("id").alias("_row"), F.lit(None).cast("string").alias("term"))
+    terms = spark.createDataFrame([("a", 1.0, True)], "term string, idf double, hot boolean")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = TF.salted_terms(words, terms, ["term"]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 400

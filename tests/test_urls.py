@@ -98,3 +98,17 @@ def test_map_answer(spark):
 def test_parse_category_line(spark):
     df = one_col(spark, ["Category: Health\nmore", "no label", "Category: Other"])
     assert col_values(df, TX.parse_category_line("x", {"Health": 2})) == [2, None, None]
+
+
+def test_strip_dates_equals_all_patterns(spark):
+    import random
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["/", "-", "0", "1", "2", "9", "20", "199", "12", "a", "_", "\u0663"]) for _ in range(rng.randint(0, 14)))
+             for _ in range(3000)]
+    p = F.col("x")
+    for pattern in U.DATE_PATTERNS:
+        p = F.regexp_replace(p, "(?U)" + pattern, "")
+    for pattern, to in [("/{2,}", "/"), ("-{2,}", "-"), ("[/-]+$", "")]:
+        p = F.regexp_replace(p, pattern, to)
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert df.where(~p.eqNullSafe(U.strip_dates("x"))).count() == 0
