@@ -1645,7 +1645,7 @@ def section_nb_run(spark, sf, mapping):
     pairs = TF.section_training_rows(a.where(F.col("split") == "train"), mapping, "url", "title")
     model = TF.nb_train(pairs, "x", "y")
     te = a.where(F.col("split") == "test").select("article_id", F.col("category").alias("label"), "title")
-    return TF.nb_score(te, model, "title").drop("title")
+    return TF.nb_score(te, model, "title", doc="article_id").drop("title")
 
 
 @query("section_nb_predict", slug_sql(",\n" + G.nb_ctes("str", "ste") + SECTION_NB_OUT, *SECTION_NB))
