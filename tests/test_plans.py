@@ -49,3 +49,21 @@ def test_compressed_table_is_measured_before_a_broadcast(spark):
     assert 256 * 1024 < size < 8 << 20 and measured_bytes(table) > 16 << 20
     assert broadcast_if_small(table, 8 << 20) is table
     assert broadcast_if_small(table, 64 << 20) is not table
+
+
+def test_articles_of_a_file_of_one_row_group_are_made_by_many_tasks(spark, tmp_path):
+    n = 60_000
+    (spark.range(n, numPartitions=1).select(
+        "id", F.xxhash64("id").alias("l_orderkey"), (F.col("id") % 10).alias("l_partkey"),
+        (F.col("id") % 7).alias("l_suppkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"),
+        F.lit("2024-01-02").cast("date").alias("l_shipdate")).drop("id")
+     .write.parquet(str(tmp_path / "lineitem.parquet")))
+    spark.range(7).select(F.col("id").alias("s_suppkey"), F.lit("Supplier#1").alias("s_name")).write.parquet(
+        str(tmp_path / "supplier.parquet"))
+    spark.range(10).select(F.col("id").alias("p_partkey"), F.lit("red tin").alias("p_name"), F.lit("b").alias("p_brand"),
+                           F.lit("PROMO").alias("p_type")).write.parquet(str(tmp_path / "part.parquet"))
+    scan = T.read_table(spark, str(tmp_path), "lineitem")
+    assert scan.rdd.getNumPartitions() == 1
+    a = T.articles(spark, str(tmp_path))
+    assert a.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert a.count() == n and a.select("article_id").distinct().count() == n
