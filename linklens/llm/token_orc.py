@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linklens.llm import texts as X
-from linklens.llm.steps import Steps
+from linklens.llm.steps import Steps, batches_of
 from linklens.llm.tokens import WordIds, default_path, opened
 from linklens.session import broadcast_if_small
 
 FILE = "doc_id long, pos long, n int, ids array<int>"
+BATCH_ROWS = 256        # texts, or token arrays, that a worker holds at once
 FILES_BLOCK = 4096      # files whose sums one window task adds up
 
 
@@ -60,8 +61,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
                     names=["doc_id", "pos", "n", "ids"])
                 pos += int(bounds[-1])
 
-    (ordered.mapInArrow(encode, FILE).write.option("orc.compress", "zstd")
-     .option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", "1000").orc(path))
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        (ordered.mapInArrow(encode, FILE).write.option("orc.compress", "zstd")
+         .option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", "1000").orc(path))
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
@@ -109,5 +111,7 @@ def op4_token_orc(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     rows = _scan(spark, path).select("part", "doc_id", "pos", "ids").mapInArrow(
         digest, "part int, doc_id long, pos long, n_tokens long, ids_crc32 long")
+    with batches_of(spark, BATCH_ROWS):
+        rows = steps.table(rows, "digest")
     return (rows.join(broadcast_if_small(_before(spark, path, steps)), "part")
             .select("doc_id", (F.col("before") + F.col("pos")).alias("start"), "n_tokens", "ids_crc32"))

@@ -123,3 +123,22 @@ def test_empty_table_and_extra_columns(spark):
     assert op4_token_orc(df).count() == 1
     with pytest.raises(ValueError):
         token_counts(df, rule="half")
+
+
+def test_workers_get_small_batches(spark, docs_df, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from linklens.llm import steps, token_orc
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    for name in ("orc", "save"):
+        real = getattr(DataFrameWriter, name)
+        monkeypatch.setattr(DataFrameWriter, name, lambda self, *a, _real=real, **k: seen.append(
+            int(spark.conf.get(key))) or _real(self, *a, **k))
+    token_orc.op4_token_orc(docs_df).count()
+    assert seen.count(token_orc.BATCH_ROWS) == 2 and token_orc.BATCH_ROWS < 1000
+    assert spark.conf.get(key) == before
+    with steps.batches_of(spark, 100):
+        sizes = spark.range(1000, numPartitions=1).mapInArrow(
+            lambda it: (b.select(["id"]).slice(0, 1) for b in it), "id long").count()
+    assert sizes == 10
