@@ -304,8 +304,8 @@ def _counts(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(texts: DataFrame, size: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(shingle, sid, n, pos) of the first shingles of each text, as many as a partner of
-    the smallest possible size needs; ordered by the count of hot ones and the shingle."""
+    """(shingle, sid, n, pos, component) of the first shingles of each text (sid, text, component), as
+    many as a partner of the smallest possible size needs; ordered by the count of hot ones and the shingle."""
     known = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,10 +325,12 @@ def _prefixes(texts: DataFrame, size: int, percent: int, hot: tuple[np.ndarray,
                 sh, text, pos = sh[keep], text[keep], pos[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sh.view(np.int64)), batch.column(0).slice(row).take(pa.array(text)),
-                     pa.array(n[text].astype(np.int32)), pa.array(pos.astype(np.int32))],
-                    names=["shingle", "sid", "n", "pos"])
+                     pa.array(n[text].astype(np.int32)), pa.array(pos.astype(np.int32)),
+                     batch.column(2).slice(row).take(pa.array(text))],
+                    names=["shingle", "sid", "n", "pos", "component"])
 
-    return texts.select("sid", "text").mapInArrow(run, "shingle long, sid long, n int, pos int")
+    return (texts.select("sid", "text", "component")
+            .mapInArrow(run, "shingle long, sid long, n int, pos int, component long"))
 
 
 def _exact_rest(crowd: DataFrame, texts: DataFrame, size: int, percent: int, rare: int, steps: Steps) -> DataFrame:
@@ -340,14 +342,15 @@ def _exact_rest(crowd: DataFrame, texts: DataFrame, size: int, percent: int, rar
     The smaller set is looked up by its first m - 2 percent m / (100 + percent) places only, which is
     what a crowd below the threshold differs in. At a shingle, the rows of its largest component
     meet only those of others."""
-    texts = texts.join(crowd.select("sid"), "sid")
+    # components go with the texts: a join of the shingles' rows would be one of every text's first ones
+    texts = steps.table(texts.join(crowd, "sid"), "crowd_texts")
     # the order decides only how many candidates there are
     top = (_counts(texts, size).filter(F.col("c") > rare).orderBy(F.desc("c"), "shingle").limit(HOT)
            .toPandas().to_numpy(dtype=np.int64).reshape(-1, 2))
     keys = top[:, 0].copy().view(X.U)
     order = np.argsort(keys)
-    rows = steps.table(_prefixes(texts, size, percent, (keys[order], top[order, 1].copy())).join(crowd, "sid"),
-                       "prefixes")
+    rows = steps.table(_prefixes(texts, size, percent, (keys[order], top[order, 1].copy())), "prefixes")
+    steps.drop(texts)
     parts = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
     main = (parts.groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("k"))
             .filter("k > 1").select("shingle", F.col("m.component").alias("main")))

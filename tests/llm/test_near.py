@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from llmdata import DOC, SF01
 
-from linklens.llm.chosen_path import near_duplicates, op6_near_dedup
+from linklens.llm.chosen_path import _prefixes, near_duplicates, op6_near_dedup
 from linklens.llm.components import components
 from linklens.llm.steps import Steps
 
@@ -151,3 +151,11 @@ def test_components(spark):
 def test_no_shingles(spark, docs):
     got = op6_near_dedup(spark.createDataFrame(docs, DOC)).collect()
     assert sorted(tuple(r) for r in got) == [(d, 0, d, True) for d, *_ in docs]
+
+
+def test_first_shingles_carry_their_component(spark):
+    texts = spark.createDataFrame([(7, "a b c d e f g h", 3), (9, "p q r", 9), (8, "a b c d e f g i", 3)],
+                                  "sid long, text string, component long")
+    hot = np.array([], np.uint64), np.array([], np.int64)
+    got = _prefixes(texts, 4, 80, hot).select("sid", "n", "pos", "component").collect()
+    assert sorted(map(tuple, got)) == [(7, 5, 0, 3), (7, 5, 1, 3), (8, 5, 0, 3), (8, 5, 1, 3), (9, 1, 0, 9)]
