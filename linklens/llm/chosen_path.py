@@ -47,6 +47,8 @@ from linklens.llm.steps import Steps
 T = 64                  # signature values
 AGREE = 31              # of their 8-bit samples, how many must agree
 HOT = 1 << 18           # shingles whose counts every task holds; the others come first in the order
+CELLS = 1 << 18         # shingles are first counted by cells of their hash, CELLS // BLOCK rows a task
+BLOCK = 1 << 12
 MARKS = 1 << 26         # bits of the filter of texts to compare
 CACHE_BYTES = 1 << 25   # shingle sets that a confirming task holds at most, besides one pair
 ODD = X.mix((np.arange(T, dtype=X.U) + X.U(77)) * X.U(0x9E3779B97F4A7C15)) | X.U(1)
@@ -290,13 +292,50 @@ def _outliers(large: DataFrame, member: DataFrame, heads: int, percent: int, ste
     return _possible(near, percent)
 
 
-def _counts(texts: DataFrame, size: int) -> DataFrame:
-    """(shingle, c): in how many of the texts (sid, text) a shingle is."""
+def _cell(sh: np.ndarray) -> np.ndarray:
+    return (X.mix(sh) % X.U(CELLS)).astype(np.int64)
+
+
+def _often(texts: DataFrame, size: int, rare: int) -> np.ndarray:
+    """Which cells have more than ``rare`` shingles of the texts (sid, text), and so all cells of
+    shingles in more than ``rare`` texts. A task gives its counts in blocks, whatever it reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, data, off in X.pieces(batch.column(1)):
+                total += np.bincount(_cell(shingles(data, off, size)[0]), minlength=CELLS)
+        counts = np.minimum(total, rare + 1).astype(np.int32).reshape(-1, BLOCK)
+        some = np.flatnonzero(counts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([counts[k].tobytes() for k in some], type=pa.binary())],
+                                         names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int64()),
+                                          pa.array([(c > rare).tobytes() for c in total.values()], type=pa.binary())],
+                                         names=["block", "often"])
+
+    rows = (texts.select("sid", "text").mapInArrow(run, "block long, counts binary").repartition("block")
+            .mapInArrow(add, "block long, often binary").toArrow())
+    often = np.zeros((CELLS // BLOCK, BLOCK), dtype=bool)
+    for k, raw in zip(rows.column("block").to_pylist(), rows.column("often").to_pylist()):
+        often[k] = np.frombuffer(raw, dtype=bool)
+    return often.ravel()
+
+
+def _counts(texts: DataFrame, size: int, often: np.ndarray) -> DataFrame:
+    """(shingle, c): in how many of the texts (sid, text) a shingle of the cells ``often`` is."""
+    known = texts.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, off in X.pieces(batch.column(1)):
-                sh, c = np.unique(shingles(data, off, size)[0], return_counts=True)
+                sh = shingles(data, off, size)[0]
+                sh, c = np.unique(sh[known.value[_cell(sh)]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(c)], names=["shingle", "c"])
 
     return (texts.select("sid", "text").mapInArrow(run, "shingle long, c long")
@@ -345,7 +384,7 @@ def _exact_rest(crowd: DataFrame, texts: DataFrame, size: int, percent: int, rar
     # components go with the texts: a join of the shingles' rows would be one of every text's first ones
     texts = steps.table(texts.join(crowd, "sid"), "crowd_texts")
     # the order decides only how many candidates there are
-    top = (_counts(texts, size).filter(F.col("c") > rare).orderBy(F.desc("c"), "shingle").limit(HOT)
+    top = (_counts(texts, size, _often(texts, size, rare)).filter(F.col("c") > rare).orderBy(F.desc("c"), "shingle").limit(HOT)
            .toPandas().to_numpy(dtype=np.int64).reshape(-1, 2))
     keys = top[:, 0].copy().view(X.U)
     order = np.argsort(keys)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from llmdata import DOC, SF01
 
-from linklens.llm.chosen_path import _prefixes, near_duplicates, op6_near_dedup
+from linklens.llm.chosen_path import _counts, _often, _prefixes, near_duplicates, op6_near_dedup
 from linklens.llm.components import components
 from linklens.llm.steps import Steps
 
@@ -153,6 +153,17 @@ def test_no_shingles(spark, docs):
     assert sorted(tuple(r) for r in got) == [(d, 0, d, True) for d, *_ in docs]
 
 
+def test_rare_shingles_of_a_crowd_give_no_count_rows(spark):
+    common = " ".join(f"c{k}" for k in range(30))
+    rare = [" ".join(f"r{i}x{k}" for k in range(40)) for i in range(80)]
+    texts = spark.createDataFrame([(i, f"{common} {r}") for i, r in enumerate(rare)], "sid long, text string").repartition(3)
+    counts = _counts(texts, 4, _often(texts, 4, 32)).collect()
+    # a few rare ones may share a cell with a common one
+    assert 27 <= len(counts) < 40 and sorted(r["c"] for r in counts)[-27:] == [80] * 27
+    none = texts.filter("sid < 0")
+    assert not _often(none, 4, 32).any() and _counts(none, 4, _often(none, 4, 32)).count() == 0
+
+
 def test_first_shingles_carry_their_component(spark):
     texts = spark.createDataFrame([(7, "a b c d e f g h", 3), (9, "p q r", 9), (8, "a b c d e f g i", 3)],
                                   "sid long, text string, component long")
