@@ -160,6 +160,11 @@ def url_skeleton(path) -> Column:
     return F.concat(F.lit("/"), p)
 
 
+def maybe_date(text) -> Column:
+    """Whether a date pattern may be found in the text; without it strip_dates drops '/' and '-' only."""
+    return F.coalesce(_c(text).rlike(_u(MAYBE_DATE)), F.lit(False))
+
+
 def strip_dates(path, replacement: str = "") -> Column:
     whole = p = _c(path)
     for pat in DATE_PATTERNS:

@@ -1082,13 +1082,28 @@ def _stored(spark, sf, kind, make):
     return spark.read.parquet(_RUN_STORE[key])
 
 
+_RUN_MODELS: dict[tuple, RN.RunModels] = {}
+
+
+def _run_models(spark, sf, articles):
+    """The fitted runs: once per application and input as well."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _RUN_MODELS or not table_exists(spark, _RUN_MODELS[key].path):
+        _RUN_MODELS[key] = RN.run_models(RN.labelled(articles, "train"))
+    return _RUN_MODELS[key]
+
+
+def run_cells(spark, sf):
+    return _stored(spark, sf, "cells", lambda a, m: RN.run_confusion(a, m, _run_models(spark, sf, a)))
+
+
 def runs(spark, sf):
-    return RN.evaluation_runs(_stored(spark, sf, "cells", RN.run_confusion))
+    return RN.evaluation_runs(run_cells(spark, sf))
 
 
 def measured_runs(spark, sf):
     """The runs with the throughput that scoring their models took here."""
-    speed = _stored(spark, sf, "speed", lambda a, m: materialize(RN.measured_throughput(a, m)))
+    speed = _stored(spark, sf, "speed", lambda a, m: materialize(RN.measured_throughput(a, m, _run_models(spark, sf, a))))
     return runs(spark, sf).join(F.broadcast(speed.select("dataset", "model", "throughput")), ["dataset", "model"])
 
 
@@ -1603,7 +1618,7 @@ SELECT model, feature, condition, topic, f1, support FROM (
   SELECT *, row_number() OVER (PARTITION BY topic ORDER BY f1 DESC, model, feature, condition) AS rk FROM truns)
 WHERE rk = 1""", *TOPIC_RUNS))
 def q_best_per_topic(spark, sf):
-    return R.best_per_topic(RN.evaluation_topic_runs(_stored(spark, sf, "cells", RN.run_confusion)))
+    return R.best_per_topic(RN.evaluation_topic_runs(run_cells(spark, sf)))
 
 
 @query("url_type_extremes", struct_sql("""

@@ -182,3 +182,42 @@ def test_null_terms_are_spread_by_row(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 400
+
+
+def test_terms_of_each_text_come_from_shared_parts(spark):
+    """An article's texts share their words, and every run still has the terms of its own text."""
+    import random
+    from collections import Counter
+
+    from linklens.functions import urls as U
+    rng = random.Random(3)
+    bits = ["2019", "05", "/", "/", "-", "a", "b", "Σ", ";", "?", "#", "199", "٢٠١٩", ".", "//", "ab1", "_", "/05/", "2010-11-12"]
+    hosts = ["http://h.com", "HTTPS://H.COM/", "//h-05", "http://h1/", "", "h2019/"]
+    rows = [(rng.choice(hosts) + "".join(rng.choice(bits) for _ in range(rng.randrange(8))),
+             "".join(rng.choice(bits) for _ in range(rng.randrange(5))), "x", "d") for _ in range(600)]
+    rows += [(None, None, "x", "d"), ("http://www.h.com/news/one-two", "three four", "x", "d")]
+    arts = spark.createDataFrame(rows, "url string, title string, category string, language string").repartition(3)
+    none = F.array().cast("array<string>")
+    found = RN._with_words(arts).select(
+        "url", F.transform("words", lambda w: F.struct(w["runs"], F.coalesce(TF.tokens(w["text"]), none))).alias("parts"),
+        *[F.coalesce(TF.tokens(c if k == "with_dates" else U.strip_dates(c)), none).alias(f"{f} {k}")
+          for f, c in RN._TEXTS.items() for k in RN.CONDITIONS]).collect()
+    for r in found:
+        for k, (f, c) in enumerate(RN.RUNS):
+            assert Counter(t for runs, terms in r.parts if runs >> k & 1 for t in terms) == Counter(r[f"{f} {c}"]), (r.url, f, c)
+    plain = [r for r in found if r.url == "http://www.h.com/news/one-two"]
+    assert sum(len(terms) for _, terms in plain[0].parts) == len("three four http www com news one two".split())
+
+
+def test_runs_are_fitted_once_for_cells_and_throughput(spark, monkeypatch, tmp_path):
+    from linklens.plans import registry as R
+    rows = [(i, f"http://h.com/tech/{'ab'[i % 2]}{i}", f"w{i % 7} {'sun' if i % 2 else 'tax'}", "xy"[i % 2], "de"[i % 3 % 2]) for i in range(200)]
+    arts = spark.createDataFrame(rows, "article_id long, url string, title string, category string, language string")
+    monkeypatch.setattr(R, "arts", lambda *a: arts)
+    fits = []
+    real = RN.run_models
+    monkeypatch.setattr(RN, "run_models", lambda *a: fits.append(a) or real(*a))
+    speed = {(r.dataset, r.model): r.throughput for r in R.measured_runs(spark, str(tmp_path)).collect()}
+    assert len(fits) == 1 and len(speed) == 2 * len(RN.MODELS) and all(v > 0 for v in speed.values())
+    # a title has no slug, and so no run of the mapping
+    assert R.runs(spark, str(tmp_path)).count() == 2 * (len(RN.MODELS) * len(RN.RUNS) - 2) and len(fits) == 1
